@@ -70,7 +70,7 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
         .withColumn("text", F.when(F.col("often").isNull() | (F.col("mass") >= LONG), F.col("mass")).otherwise(0))
         .withColumn("above", F.coalesce(F.sum("text").over(before), F.lit(0)))
         .withColumn("all_text", F.sum("text").over(page))
-        .withColumn("slug", F.max("slug").over(page))
+        .withColumn("slug", F.coalesce(F.max(F.when(F.col("slug") != 0, F.col("slug"))).over(page), F.lit(0)))
         .withColumn("inner", ((F.col("above") > 0) & (F.col("all_text") > F.col("above") + F.col("text"))).cast("int"))
         .select("sid", "line", "page", "block", "path", "head", "tail", "slug", "kol", "term", "mass", "text", "all_text", "inner", "often")
         .persist()
