@@ -1,2 +1,116 @@
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+"""Problem 4: a sample that follows target shares by topic, genre and source.
+
+Cells are counted over distinct sentence_ids, quotas are allocated by largest
+remainder with floors and availability caps on the table of cells (bounded by
+the targets), and the rows with the smallest seeded hash of each cell are taken.
+The rows of a cell are ranked in hash ranges first, so no cell is one task.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gradja.llm.arrow import read
+
+#: The sample is one row in so many of those in the target cells.
+ONE_IN = 5
+SEED = 42
+#: Hash ranges by which the rows of one cell are ranked.
+RANGES = 256
+
+
+def cells_of(corpus: DataFrame) -> DataFrame:
+    """(sentence_id, topic, genre, source), each once; a genre field of two words holds genre and topic.
+
+    Rows with a null or unknown part are in no cell; case and outer spaces do not count.
+    """
+    tidy = lambda c: F.lower(F.trim(F.col(c)))
+    parts = F.split(tidy("genre"), r"\s+")
+    both = F.size(parts) == 2
+    cells = corpus.select(
+        "sentence_id",
+        F.when(both, parts[1]).otherwise(tidy("topic")).alias("topic"),
+        F.when(both, parts[0]).otherwise(tidy("genre")).alias("genre"),
+        tidy("source").alias("source"),
+    )
+    return cells.filter("sentence_id is not null and topic <> '' and genre <> '' and genre <> '?' and source <> ''").distinct()
+
+
+def counted(corpus: DataFrame, targets: DataFrame) -> DataFrame:
+    """The target cells with available and wanted rows; a cell without rows counts 0, repeated targets count once."""
+    have = cells_of(corpus).groupBy("topic", "genre", "source").agg(F.count("*").alias("available"))
+    t = targets.select("topic", "genre", "source", F.coalesce("share_bp", F.lit(0)).alias("share_bp"), F.coalesce("min_rows", F.lit(0)).alias("min_rows")).dropDuplicates(["topic", "genre", "source"])
+    own = [F.lower(F.trim(F.col(c))).alias(f"_{c}") for c in ("topic", "genre", "source")]
+    have = have.toDF("_topic", "_genre", "_source", "available")
+    cells = t.select("*", *own).join(have, ["_topic", "_genre", "_source"], "left").drop("_topic", "_genre", "_source")
+    cells = cells.withColumn("available", F.coalesce("available", F.lit(0)))
+    n = cells.agg(F.floor(F.coalesce(F.sum("available"), F.lit(0)) / ONE_IN).cast("long").alias("n"))
+    wanted = F.greatest(F.col("min_rows").cast("long"), F.expr("(share_bp * n + 9999) div 10000"))
+    return cells.crossJoin(F.broadcast(n)).withColumn("wanted", wanted)  # n is one row
+
+
+def quotas(cells: DataFrame) -> DataFrame:
+    """Integer quotas by largest remainder, with floors and caps: floor first, then the rest by share, leftovers by remainder.
+
+    The cells are those of the targets, some tens of rows, so one window over all is bounded.
+    """
+    every = Window.partitionBy(F.lit(1))
+    floor = F.least("min_rows", "available").cast("long")
+    ideal = F.least(F.greatest(floor, F.col("share_bp") * F.col("n") / F.lit(10000.0)), F.col("available").cast("double"))
+    q = cells.withColumn("ideal", ideal).withColumn("base", F.floor("ideal").cast("long")).withColumn("rest", F.col("ideal") - F.col("base"))
+    left = F.greatest(F.least(F.round(F.sum("ideal").over(every)).cast("long"), F.col("n")) - F.sum("base").over(every), F.lit(0))
+    rank = F.row_number().over(every.orderBy(F.desc("rest"), "topic", "genre", "source"))
+    return q.withColumn("quota", F.col("base") + ((rank <= left) & (F.col("base") < F.col("available"))).cast("long"))
+
+
+def smallest_keys(cells: DataFrame, quota: DataFrame, key: Column) -> DataFrame:
+    """Of each cell the rows with the smallest key, as many as its quota.
+
+    Two steps: rows per (cell, key range) are counted, which tells of each range
+    how many rows before it; only inside a range are rows ranked.
+    """
+    by = ["topic", "genre", "source"]
+    rows = cells.withColumn("_key", key).withColumn("_range", F.shiftrightunsigned("_key", 64 - 8).cast("int"))
+    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).join(F.broadcast(quota), by)
+    open_ranges = ranges.filter("_ahead < quota").select(*by, "_range", (F.col("quota") - F.col("_ahead")).alias("_take"))
+    ranked = Window.partitionBy(*by, "_range").orderBy("_key", "sentence_id")
+    return rows.join(F.broadcast(open_ranges), [*by, "_range"]).withColumn("_r", F.row_number().over(ranked)).filter("_r <= _take").drop("_key", "_range", "_take", "_r")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    cells = counted(read(spark, d, "corpus", "sentence_id", "topic", "genre", "source"), read(spark, d, "sample_targets", "topic", "genre", "source", "share_bp", "min_rows"))
+    return cells.filter("available < wanted").select("topic", "genre", "source")
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every target cell with what is available, wanted, its quota and its shortfall."""
+    cells = quotas(counted(read(spark, d, "corpus", "sentence_id", "topic", "genre", "source"), read(spark, d, "sample_targets", "topic", "genre", "source", "share_bp", "min_rows")))
+    return cells.select("topic", "genre", "source", "available", "wanted", "quota", F.greatest(F.col("wanted") - F.col("available"), F.lit(0)).alias("shortfall"))
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The sample itself: sentence_id and its cell."""
+    corpus = read(spark, d, "corpus", "sentence_id", "topic", "genre", "source")
+    quota = quotas(counted(corpus, read(spark, d, "sample_targets", "topic", "genre", "source", "share_bp", "min_rows"))).select("topic", "genre", "source", "quota")
+    return smallest_keys(cells_of(corpus), quota, F.xxhash64(F.lit(SEED), F.col("sentence_id")))
+
+
+_CELLS = """
+with c as (
+  select distinct sentence_id,
+    case when regexp_matches(g, '^\\S+\\s+\\S+$') then regexp_extract(g, '(\\S+)$', 1) else t end as topic,
+    case when regexp_matches(g, '^\\S+\\s+\\S+$') then regexp_extract(g, '^(\\S+)', 1) else g end as genre, s as source
+  from (select sentence_id, lower(trim(genre)) g, lower(trim(topic)) t, lower(trim(source)) s from corpus)
+), h as (
+  select t.topic, t.genre, t.source, t.share_bp, t.min_rows, count(c.sentence_id) as available
+  from sample_targets t left join c on c.topic = t.topic and c.genre = t.genre and c.source = t.source group by all
+), w as (
+  select *, greatest(min_rows, (share_bp * ((select sum(available) from h) // 5) + 9999) // 10000) as wanted from h
+)
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample}
+SQL = {"p4_found": _CELLS + "select topic, genre, source from w where available < wanted"}
