@@ -1,2 +1,159 @@
-QUERIES: dict = {}
+"""Problem 9: test items that stand in training documents, wholly or in part.
+
+Items are put into classes by their number of shingles (eight words each). Of an
+item with s shingles that must share m of them, the s - m + 1 smallest hashes are
+its MinHash sketch: a document that shares m shingles cannot miss all of those,
+so the containment search loses nothing. For one shared shingle (m = 1, what
+TESTDATA.md asks) the sketch is the whole set. Candidates are verified word by word.
+
+Items are the small side. They travel in the task closures in groups of at most
+ITEM_WORDS words, so their size is bounded whatever their number; more items mean
+more passes over the documents.
+
+Defined cases: null and blank texts and items of under eight words match
+nothing; an item that stands in a document twice gives one row.
+"""
+
+from __future__ import annotations
+
+import re
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradja.llm.arrow import map_batches, read
+from gradja.llm.textform import plain, to_latin
+
+WORDS = 8
+#: Shared shingles that make a leak.
+SHARED = 1
+ITEM_WORDS = 500_000
+
+_FOLD = str.maketrans({"č": "c", "ć": "c", "š": "s", "ž": "z"})
+_HIDDEN = {c: None for c in range(0x110000) if c in {0xAD, 0x34F, 0x61C, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), *range(0xFE00, 0xFE10)}}
+_TOKEN = re.compile(r"[^\W_]+")
+_ODD = re.compile("[­͏؜​-‏‪-‮⁠-⁯︀-️﻿]")
+
+
+def words(text: str | None) -> list[str]:
+    """The words that are compared: Latin spelling, no case, no accents but for đ, invisible characters skipped."""
+    if not text:
+        return []
+    s = plain(text)
+    if _ODD.search(s):
+        s = s.translate(_HIDDEN)
+    return _TOKEN.findall(to_latin(s).translate(_FOLD))
+
+
+class Index:
+    """Sketches of a group of items, by size class, over the ids of the words that items have."""
+
+    def __init__(self, items: list[tuple[int, str]], shared: int = SHARED):
+        self.ids: dict[str, int] = {}
+        self.shared = shared
+        self.items: dict[int, np.ndarray] = {}
+        by_class: dict[int, list[tuple[int, int, int]]] = {}
+        for item, text in items:
+            w = words(text)
+            if len(w) < WORDS + shared - 1:
+                continue
+            row = np.array([self.ids.setdefault(x, len(self.ids) + 1) for x in w], dtype=np.uint64)
+            self.items[item] = row
+            h = shingle_hashes(row)
+            first = {int(x): i for i, x in reversed(list(enumerate(h)))}
+            keep = sorted(first)[: max(1, len(first) - shared + 1)]
+            by_class.setdefault(len(first).bit_length(), []).extend((x, item, first[x]) for x in keep)
+        self.classes = []
+        for entries in by_class.values():
+            entries.sort()
+            self.classes.append((np.array([e[0] for e in entries], dtype=np.uint64), [e[1:] for e in entries]))
+
+    def matches(self, docs: list[list[str]]) -> list[tuple[int, int]]:
+        """(position of the document, item) of every document that holds enough of an item."""
+        get = self.ids.get
+        gap = [0] * WORDS
+        flat: list[int] = []
+        starts = []
+        for w in docs:
+            starts.append(len(flat))
+            flat += [get(x, 0) for x in w]
+            flat += gap
+        row = np.array(flat, dtype=np.uint64)
+        if len(row) < WORDS:
+            return []
+        known = np.convolve((row > 0).astype(np.int64), np.ones(WORDS, dtype=np.int64), "valid") == WORDS
+        at = np.flatnonzero(known)
+        if not len(at):
+            return []
+        h = shingle_hashes(row)[at]
+        found: dict[tuple[int, int], set[int]] = {}
+        begins = np.array(starts)
+        for sketch, entries in self.classes:
+            lo, hi = np.searchsorted(sketch, h, "left"), np.searchsorted(sketch, h, "right")
+            for k in np.flatnonzero(hi > lo):
+                p = int(at[k])
+                doc = int(np.searchsorted(begins, p, "right")) - 1
+                for item, i in entries[lo[k] : hi[k]]:
+                    if np.array_equal(row[p : p + WORDS], self.items[item][i : i + WORDS]):
+                        found.setdefault((doc, item), set()).add(i)
+        if self.shared == 1:
+            return list(found)
+        out = []
+        for doc, item in found:  # exact containment of the candidates
+            w = row[starts[doc] : starts[doc] + len(docs[doc])]
+            if len(set(shingle_hashes(w).tolist()) & set(shingle_hashes(self.items[item]).tolist())) >= self.shared:
+                out.append((doc, item))
+        return out
+
+
+def shingle_hashes(row: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every WORDS consecutive word ids."""
+    n = len(row) - WORDS + 1
+    h = np.zeros(max(n, 0), dtype=np.uint64)
+    for j in range(WORDS):
+        h = (h ^ row[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def leaks(documents: DataFrame, items: DataFrame, shared: int = SHARED) -> DataFrame:
+    """(doc_id, item_id) of every document and item with enough in common, each once."""
+    groups: list[list[tuple[int, str]]] = [[]]
+    size = 0
+    for r in items.filter("item_id is not null and text is not null").orderBy("item_id").toLocalIterator():
+        size += len(r.text) // 5
+        if size > ITEM_WORDS and groups[-1]:
+            groups.append([])
+            size = 0
+        groups[-1].append((r.item_id, sys.intern(r.text)))
+    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    out = None
+    for group in groups:
+        index = Index(group, shared)
+
+        def search(b, index=index):
+            keys = b.column(0).to_pylist()
+            hits = index.matches([words(t) for t in b.column(1).to_pylist()])
+            return pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in hits], pa.int64()), pa.array([x for _, x in hits], pa.int64())], ["doc_id", "item_id"])
+
+        part = map_batches(docs, search, "doc_id long, item_id long")
+        out = part if out is None else out.union(part)
+    return out.distinct()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(read(spark, d, "documents", "doc_id", "text"), read(spark, d, "eval_items", "item_id", "text"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every test item with the number of documents it leaked into, 0 included."""
+    found = p9_found(spark, d).groupBy("item_id").agg(F.count("*").alias("n"))
+    items = read(spark, d, "eval_items", "item_id", "kind").filter("item_id is not null")
+    return items.join(found, "item_id", "left").select("item_id", "kind", F.coalesce("n", F.lit(0)).alias("n_documents"))
+
+
+QUERIES = {"p9_found": p9_found, "p9_items": p9_items}
 SQL: dict[str, str] = {}
