@@ -1,2 +1,278 @@
-QUERIES: dict = {}
+"""Problem 10: the subject areas of each document.
+
+One-versus-rest linear classifiers on hashed word n-grams score the sentences of
+a document; an area counts if its share of the document's own sentences reaches a
+calibrated threshold. Labels are given by document and are few, partly wrong or
+incomplete, so they are weak labels of the sentences: a first fit takes a
+document's areas for each of its sentences, later fits give each sentence the one
+of them that it scores best on, or none. The slug of the page address joins the
+training text as a further sentence with the same weak label.
+
+Only the fit uses a sample: at most SAMPLE labelled documents, those with the
+smallest hash. Scoring covers every document and whole texts, in one pass
+without a shuffle.
+
+Defined cases: null, empty and blank texts have no row; a document without a
+sentence of any area has none; without usable labels there is no row at all.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gradja.llm.arrow import h64, read
+from gradja.llm.lines import url_slug
+from gradja.llm.textform import consistent, to_latin
+
+#: Bound of the labelled documents that the fit takes.
+SAMPLE = 4000
+#: Hashed n-gram features.
+FEATURES = 1 << 18
+ROUNDS, EPOCHS = 3, 40
+#: Share of own sentences around which thresholds are sought, per area.
+SHARES = np.linspace(0.1, 0.3, 17)
+
+_TOKEN = re.compile(r"[^\W\d_]+")
+_UNSPACED = re.compile("[฀-໿က-႟ក-៿぀-ヿ㐀-鿿가-힯]")
+_END = re.compile(r"[.!?…。！？।؟۔;]+[”\"“»)’]*(?:\s+|(?<=[。！？।])[”」]?)(?=[^a-zčćšžđа-яђјљњћџ\s])|\n+|(?<=[฀-໿])\s+(?=[฀-໿])")
+_NO_END = re.compile(r"(?:\b(?:dr|prof|mr|ms|mrs|ul|br|odn|tzv|npr|inc|e\.g|др|проф|ул|бр|одн|тзв|нпр|v|d|в|д)|\b[A-ZČĆŠŽĐА-ЯЂЈЉЊЋЏ])\.\s*$", re.I)
+_CLOSED = re.compile(r"[.!?…。！？।؟۔;][”\"“»)’\]]*\s*$|[฀-໿]\d*\s*$")
+
+
+def sentences(text: str) -> list[str]:
+    """Sentences of a text, near enough for counting; lines that end without an end mark (menus, headlines) fall out."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        if not line.strip():
+            continue
+        at, part = 0, []
+        for m in _END.finditer(line):
+            if _NO_END.search(line, max(at, m.start() - 8), m.end()):
+                continue
+            part.append(line[at : m.end()])
+            at = m.end()
+        rest = line[at:]
+        if rest.strip() and (part or _CLOSED.search(rest)):
+            part.append(rest)
+        out += part
+    return out
+
+
+class Features:
+    """Hashed word unigrams and bigrams; names (capitalised words inside a sentence) are left out."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def of(self, sentence: str) -> list[int]:
+        out = []
+        memo = self.memo
+        for i, w in enumerate(_TOKEN.findall(sentence)):
+            h = memo.get(w)
+            if h is None:
+                if len(memo) > 500_000:
+                    memo.clear()
+                if _UNSPACED.search(w):
+                    h = -2
+                elif w[0].isupper() and w[1:].islower():
+                    h = -1
+                else:
+                    h = h64(w.lower()) & 0x7FFFFFFF
+                memo[w] = h
+            if h >= 0:
+                out.append(h)
+            elif h == -2:
+                out += [h64(w[k : k + 2]) & 0x7FFFFFFF for k in range(len(w) - 1)]
+            elif i == 0:
+                out.append(h64(w.lower()) & 0x7FFFFFFF)
+        return out
+
+
+def matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature indexes, row starts) of the unigrams and bigrams of each row; every row has one constant feature."""
+    lens = np.array([len(r) for r in rows], dtype=np.int64)
+    flat = np.fromiter((x for r in rows for x in r), dtype=np.int64, count=int(lens.sum()))
+    uni = (flat * 2654435761 >> 8) % (FEATURES - 1) + 1
+    owner = np.repeat(np.arange(len(rows)), lens)
+    two = (flat[:-1] * 40503 + flat[1:] * 2654435761 >> 7) % (FEATURES - 1) + 1 if len(flat) > 1 else flat[:0]
+    same = owner[:-1] == owner[1:] if len(flat) > 1 else np.zeros(0, bool)
+    idx = np.concatenate([np.zeros(len(rows), np.int64), uni, two[same]])
+    own = np.concatenate([np.arange(len(rows)), owner, owner[:-1][same] if len(flat) > 1 else owner[:0]])
+    order = np.argsort(own, kind="stable")
+    counts = np.bincount(own, minlength=len(rows))
+    return idx[order], np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+
+
+def scores(w: np.ndarray, idx: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Mean weight of each row's features, by area."""
+    if not len(starts):
+        return np.zeros((0, w.shape[1]), dtype=np.float32)
+    n = np.diff(np.append(starts, len(idx)))[:, None]
+    return np.add.reduceat(w[idx], starts, axis=0) / np.sqrt(n)
+
+
+def fit_linear(idx: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS) -> np.ndarray:
+    """One-versus-rest logistic regression by full gradients with per-feature steps (Adagrad) and light shrinkage."""
+    k = y.shape[1]
+    w = np.zeros((FEATURES, k), dtype=np.float32)
+    used, inv = np.unique(idx, return_inverse=True)
+    wu, g2 = np.zeros((len(used), k), dtype=np.float32), np.full((len(used), k), 1e-6, dtype=np.float32)
+    n = np.diff(np.append(starts, len(idx)))
+    scale = (1 / np.sqrt(n)).astype(np.float32)
+    pos = np.maximum(y.sum(0), 1)
+    balance = np.where(y > 0.5, np.minimum(len(y) / (2 * pos), 8.0)[None, :], 1.0).astype(np.float32) * weight[:, None]
+    for _ in range(epochs):
+        z = np.add.reduceat(wu[inv], starts, axis=0) * scale[:, None]
+        err = (1 / (1 + np.exp(-z)) - y) * balance * scale[:, None]
+        for c in range(k):
+            g = np.bincount(inv, weights=np.repeat(err[:, c], n), minlength=len(used)).astype(np.float32) + 0.02 * wu[:, c]
+            g2[:, c] += g * g
+            wu[:, c] -= 0.5 * g / np.sqrt(g2[:, c])
+    w[used] = wu
+    return w
+
+
+class Model:
+    """Weights by area, the score from which a sentence counts, and the share from which a document has the area."""
+
+    def __init__(self, areas: list[str], w: np.ndarray, share: np.ndarray):
+        self.areas, self.share = areas, share
+        self.used = np.flatnonzero(np.abs(w).max(1) > 0)
+        self.values = w[self.used].astype(np.float16)
+
+    def weights(self) -> np.ndarray:
+        w = np.zeros((FEATURES, len(self.areas)), dtype=np.float32)
+        w[self.used] = self.values
+        return w
+
+
+def shares(w: np.ndarray, idx: np.ndarray, starts: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Share of each document's sentences by area; a sentence is about its best area if that scores above even odds."""
+    out = np.zeros((n_docs, w.shape[1]))
+    if not len(starts):
+        return out
+    z = scores(w, idx, starts)
+    best = z.argmax(1)
+    hit = z[np.arange(len(z)), best] > 0
+    np.add.at(out, (doc[hit], best[hit]), 1)
+    n = np.maximum(np.bincount(doc, minlength=n_docs), 1)
+    return out / n[:, None]
+
+
+def fit(rows: list[tuple], areas: list[str]) -> Model | None:
+    """Fit on labelled documents (doc_id, text, url, [areas]); None without any."""
+    index = {a: i for i, a in enumerate(areas)}
+    f = Features()
+    sents, doc, y0, slug_row = [], [], [], []
+    for i, (_, text, url, labels) in enumerate(rows):
+        y = np.zeros(len(areas), dtype=np.float32)
+        y[[index[a] for a in labels if a in index]] = 1
+        for s in sentences(consistent(text)):
+            x = f.of(to_latin(s))
+            if len(x) > 2:
+                sents.append(x)
+                doc.append(i)
+                y0.append(y)
+                slug_row.append(False)
+        if words := f.of(url_slug(url).replace("-", " ")):
+            sents.append(words)
+            doc.append(i)
+            y0.append(y)
+            slug_row.append(True)
+    if not sents:
+        return None
+    idx, starts = matrix(sents)
+    doc, given, is_slug = np.array(doc), np.array(y0), np.array(slug_row)
+    several = given.sum(1)
+    y, weight = given / np.maximum(several, 1)[:, None], np.where(several > 1, 0.3, 1.0).astype(np.float32)
+    for r in range(ROUNDS):
+        w = fit_linear(idx, starts, y, weight)
+        if r + 1 == ROUNDS:
+            break
+        z = scores(w, idx, starts)
+        allowed = np.where(given > 0, z, -1e9)
+        top = allowed.argmax(1)
+        value, other = allowed[np.arange(len(z)), top], z.max(1)
+        y = np.zeros_like(given)
+        sure = value > -0.5
+        y[np.flatnonzero(sure), top[sure]] = 1
+        # a sentence that clearly belongs to an area its document wasn't given doesn't teach; one of none teaches none
+        weight = np.where((other > value + 1) & (other > 0.5), 0.0, 1.0).astype(np.float32)
+    real = ~is_slug
+    own = shares(w, *matrix([s for s, ok in zip(sents, real) if ok]), doc[real], len(rows))
+    truth = np.zeros((len(rows), len(areas)), dtype=bool)
+    for i, r in enumerate(rows):
+        truth[i, [index[a] for a in r[3] if a in index]] = True
+
+    def f1(t, c):
+        got, want = own[:, c] >= t, truth[:, c]
+        return 2 * (got & want).sum() / np.maximum(got.sum() + want.sum(), 1)
+
+    everywhere = np.array([np.mean([f1(t, c) for c in range(len(areas))]) for t in SHARES])
+    # each area leans on all areas together, the more so the fewer its labels
+    lean = 60 / (60 + truth.sum(0))
+    share = np.array([SHARES[int(np.argmax([lean[c] * e + (1 - lean[c]) * f1(t, c) - 0.02 * abs(t - 0.2) for t, e in zip(SHARES, everywhere)]))] for c in range(len(areas))])
+    return Model(areas, w, share)
+
+
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Model | None:
+    """Fit on at most `sample` labelled documents; nulls and labels outside the areas don't count."""
+    areas = sorted(r.subject for r in subjects.filter("subject is not null").select("subject").distinct().collect())
+    given = labels.filter("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(areas))
+    by_doc = given.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("areas")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = documents.filter("trim(text) <> ''").join(by_doc, "doc_id").select("doc_id", "text", "url", "areas").collect()
+    return fit(sorted((r.doc_id, r.text, r.url, list(r.areas)) for r in rows) if rows else [], areas) if areas else None
+
+
+def subject_shares(documents: DataFrame, model: Model | None) -> DataFrame:
+    """(doc_id, subject, share) of the areas that reach their threshold."""
+    schema = "doc_id long, subject string, share double"
+    if model is None:
+        return documents.sparkSession.createDataFrame([], schema)
+    sent = documents.sparkSession.sparkContext.broadcast(model)  # FEATURES x areas at most, some megabytes
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        w, f = m.weights(), Features()
+        for b in it:
+            keys, rows, doc = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if key is None or not text or not text.strip():
+                    continue
+                keys.append(key)
+                for s in sentences(consistent(text)):
+                    x = f.of(to_latin(s))
+                    if len(x) > 2:
+                        rows.append(x)
+                        doc.append(len(keys) - 1)
+            own = shares(w, *matrix(rows), np.array(doc, dtype=np.int64), len(keys)) if rows else np.zeros((len(keys), len(m.areas)))
+            i, c = np.nonzero(own >= np.maximum(m.share, 1e-9)[None, :])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in i], pa.int64()), pa.array([m.areas[x] for x in c], pa.string()), pa.array(own[i, c], pa.float64())], ["doc_id", "subject", "share"])
+
+    return documents.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents", "doc_id", "text", "url")
+    return subject_shares(docs, train(docs, read(spark, d, "subject_labels", "doc_id", "subject"), read(spark, d, "subjects", "subject")))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Of each subject: documents about it and their share of all non-blank documents."""
+    n = read(spark, d, "documents", "text").filter("trim(text) <> ''").agg(F.count("*").alias("n"))
+    by = _scored(spark, d).groupBy("subject").agg(F.count_distinct("doc_id").alias("documents"))
+    return by.crossJoin(F.broadcast(n)).select("subject", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("share"))  # n is one row
+
+
+QUERIES = {"p10_found": p10_found, "p10_mix": p10_mix}
 SQL: dict[str, str] = {}
