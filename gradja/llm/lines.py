@@ -23,14 +23,21 @@ LINE_SCHEMA = "sid string, line int, page long, block int, idx int, src string,
 #: Rows of one page that are looked at together; longer pages are cut into blocks, so no page is a task of its own.
 BLOCK = 512
 
-#: Tokens of a line that its path takes in.
-DEPTH = 24
+#: Characters of a line that its path takes in.
+DEPTH = 200
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _ASCII = str.maketrans({"č": "c", "ć": "c", "š": "s", "ž": "z", "đ": "d"})
 _NOT_SLUG = re.compile("[^a-z0-9]+")
-_EDGE = "„“”\"'’‘«»(),;:!?.…[]"
-_SEPARATORS = frozenset("|>»•·/")
+_ANY_SEP = re.compile("[|>»•·/]")
+_SEP = re.compile(r"(?<=\s)[|>»•·/](?=\s)")
+_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d(?:[\d.,:/-]*\d)?")
+_NAME = re.compile(r"(?<=[\s„“\"(/–-])[A-ZČĆŠŽĐ]\w*(?:[\s.]+[A-ZČĆŠŽĐ]\w*)*")
+_FIRST_NAMES = re.compile(r"^[A-ZČĆŠŽĐ]\w*(?:\s+[A-ZČĆŠŽĐ]\w*)+")
+_PREFIX = re.compile(r"((?:[^\s:]+\s){0,4}[^\s:]+):(?=\s|$)")
+_LOW = re.compile(r"(?<=\s)[a-zčćšžđ]")
+_MARKS = re.compile(r"[„“”\"'’‘«»(),;:!?.…\[\]]+")
 _TERMINAL = re.compile(r"(?:[!?…。！？।؟]|(?<!\.\.)\.)[\"“”’»)\]]*$")
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 #: Scripts that mark the end of a sentence; text of others counts as text without.
@@ -53,35 +60,25 @@ def url_slug(url: str | None) -> str:
 
 
 def skeleton(line: str) -> str:
-    """The path of a line in consistent form: its first tokens, names as N, numbers as 0, lists by their separator."""
+    """The path of a line in consistent form: its beginning with names as N and numbers as 0, lists by their separator."""
     s = to_latin(line)
-    tokens = s.split()
-    if not tokens or not _ASCII_LETTER.search(s):
+    if not _ASCII_LETTER.search(s):
         return s
-    shout = line.isupper() and len(tokens) > 1
-    seps = [t for t in tokens if t in _SEPARATORS]
-    if len(seps) > 1:
-        return "list " + seps[0] + ("0" if any(c.isdigit() for c in s) else "")
-    if tokens[0] == "©":
+    if s[0] == "©":
         return "©"
-    out, n_low = [], 0
-    for i, t in enumerate(tokens[:DEPTH]):
-        core = t.strip(_EDGE)
-        if i < 5 and t[-1] == ":":
-            out.append(core.lower() if i == 0 or shout or not core[:1].isupper() else "N")
-            return " ".join(out) + ":"
-        if any(c.isdigit() for c in core):
-            m = "0"
-        elif not shout and core[:1].isupper() and (i or (len(tokens) > 1 and t == core and tokens[1][0].isupper())):
-            m = "N"
-        else:
-            m = core.lower()
-            n_low += bool(m) and i > 0
-        if m and not (m == "N" and out and out[-1] == "N"):
-            out.append(m)
-    if len(tokens) >= 4 and n_low * 4 <= min(len(tokens), DEPTH) and not shout and s[-1] not in ".!?…,;" and not any(c.isdigit() for c in s):
+    if _ANY_SEP.search(s) and len(seps := _SEP.findall(s)) > 1:
+        return "list " + seps[0] + ("0" if _DIGIT.search(s) else "")
+    shout = line.isupper() and " " in line
+    whole = _DIGITS.sub("0", s[:DEPTH])
+    if not shout:
+        masked = _NAME.sub("N", _FIRST_NAMES.sub("N", whole, 1))
+    else:
+        masked = whole
+    if m := _PREFIX.match(masked):
+        return (m.group(1) if m.group(1).startswith("N") else m.group(1).lower()) + ":"
+    if not shout and s[-1] not in ".!?…,;" and "0" not in whole and (n := len(s.split())) >= 4 and len(_LOW.findall(s)) * 4 <= n:
         return "names"
-    return " ".join(out)
+    return _MARKS.sub("", masked).lower()
 
 
 def _kol(genre: str | None) -> int:
@@ -89,7 +86,7 @@ def _kol(genre: str | None) -> int:
     return 1 if g.startswith("kolumna") else 0 if g.startswith("vest") else -1
 
 
-def _rows(sid: str, url: str | None, genre: str | None, source: str | None, text: str) -> list[tuple]:
+def _rows(sid: str, url: str | None, genre: str | None, source: str | None, text: str, keys: bool = True) -> list[tuple]:
     key, _, number = sid.rpartition("-")
     idx = int(number) if number.isdigit() else 0
     page, own, kol = h64(key), h64(s) if (s := url_slug(url)) else 0, _kol(genre)
@@ -107,7 +104,7 @@ def _rows(sid: str, url: str | None, genre: str | None, source: str | None, text
             cut = min((c for c in (s.find(": "), s.find(" – ")) if 0 < c < 40), default=-1)
             if cut > 0:
                 tail = h64(slug(s[cut + 2 :]))
-        letters = _NO_LETTERS.sub("", s.lower())
+        letters = _NO_LETTERS.sub("", s.lower()) if keys else ""
         out.append((sid, i, page, idx // BLOCK, idx, src, h64(skeleton(s)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, h64(letters) if letters else 0))
     return out
 
@@ -115,18 +112,19 @@ def _rows(sid: str, url: str | None, genre: str | None, source: str | None, text
 _ARROW = pa.schema([("sid", pa.string()), ("line", pa.int32()), ("page", pa.int64()), ("block", pa.int32()), ("idx", pa.int32()), ("src", pa.string())] + [(c, pa.int64()) for c in ("path", "head", "tail", "slug")] + [(c, pa.int32()) for c in ("kol", "mass", "term")] + [("lkey", pa.int64())])
 
 
-def line_table(corpus: DataFrame) -> DataFrame:
+def line_table(corpus: DataFrame, keys: bool = True) -> DataFrame:
     """The lines of every row of corpus, each (sentence_id, line) once however often it was delivered.
 
     Rows with a null sentence_id or a null text have no lines. Copies are folded
     map-side before the shuffle, so a row delivered a million times costs one row a task.
+    keys: also make the letter key of each line (problem 3).
     """
 
     def cut(b):
         rows: list[tuple] = []
         for r in zip(*(b.column(i).to_pylist() for i in range(5))):
             if r[0] is not None and r[4] is not None:
-                rows += _rows(*r)
+                rows += _rows(*r, keys)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_ARROW), _ARROW)], schema=_ARROW)
 
     cols = [c for c in LINE_SCHEMA.replace(",", "").split()[::2] if c not in ("sid", "line")]

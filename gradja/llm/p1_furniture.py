@@ -106,9 +106,9 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     return told.filter(is_furniture & (F.col("path") != empty)).select("sid", "line")
 
 
-def corpus_lines(spark: SparkSession, d: str) -> DataFrame:
+def corpus_lines(spark: SparkSession, d: str, keys: bool = False) -> DataFrame:
     """The line table of corpus, kept in memory and on disk for the steps that read it again."""
-    return line_table(read(spark, d, "corpus", "sentence_id", "url", "genre", "source", "text")).persist()
+    return line_table(read(spark, d, "corpus", "sentence_id", "url", "genre", "source", "text"), keys).persist()
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
