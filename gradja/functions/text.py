@@ -60,7 +60,7 @@ def split_sentences(text: str) -> Column:
 
     Closing quotes and brackets right after an end mark are consumed by the cut.
     """
-    s = F.trim(F.regexp_replace(text, r"\s+", " "))
+    s = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
     s = F.regexp_replace(s, r"(^|[^\p{L}])(" + "|".join(ABBREVIATIONS) + r")\.", "$1$2" + _MARK)
     s = F.regexp_replace(s, r"([0-9])\.([0-9])", "$1" + _MARK + "$2")
     s = F.regexp_replace(s, r"([.!?…])[\"»”')\]]* ", "$1")

@@ -44,11 +44,12 @@ def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All word n-grams from one to n words, as one array."""
-    out = tokens
-    for k in range(2, n + 1):
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (k - 1), F.lit(1))), lambda i, k=k: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
-        out = F.concat(out, F.when(F.size(tokens) >= k, grams).otherwise(F.array().cast("array<string>")))
-    return out
+
+    def of(k: int) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, F.lit(k)), " "))
+        return F.when(F.size(tokens) >= k, grams).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(tokens, *(of(k) for k in range(2, n + 1)))
 
 
 def term_counts(df: DataFrame, doc: str, text: str, n: int = 1, lower: bool = True, keep: Sequence[str] = ()) -> DataFrame:

@@ -217,9 +217,9 @@ def q_config_order(spark, d):
     return read(spark, d, "llm_preds", "model", "lang", "shots").distinct().withColumn("place", F.array_position(F.array(F.lit("model-b"), F.lit("model-a")), F.col("model")))
 
 
-@query("q_months", "select month from (select unnest(generate_series(date '2025-10-01', date '2026-03-01', interval 1 month))::date as month)")
+@query("q_months", "select strftime(m, '%Y-%m') as month from (select unnest(generate_series(date '2025-10-01', date '2026-03-01', interval 1 month)) as m)")
 def q_months(spark, d):
-    return spark.range(1).select(F.explode(F.expr("sequence(date '2025-10-01', date '2026-03-01', interval 1 month)")).alias("month"))
+    return spark.range(1).select(F.explode(F.expr("sequence(date '2025-10-01', date '2026-03-01', interval 1 month)")).alias("m")).select(F.date_format("m", "yyyy-MM").alias("month"))
 
 
 @query("q_annotator_split", f"{WITH} select art, ['A', 'B', 'C'][(row_number() over (partition by source, genre order by md5('3:' || art), art) - 1) % 3 + 1] as annotator from (select art, min(source) as source, min(genre) as genre from s group by art)")

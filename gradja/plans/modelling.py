@@ -24,8 +24,8 @@ def _tf(spark, d, n=1):
 
 @query(
     "q_ngrams",
-    f"""{_TF}, g as (select sentence_id, unnest(w) as term from t union all select sentence_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i : i + 1], ' '))) from t where len(w) >= 2
-    union all select sentence_id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i : i + 2], ' '))) from t where len(w) >= 3) select term, count(*) as n from g group by term""",
+    f"""{_TF}, i2 as (select w, unnest(range(1, len(w))) as i from t where len(w) >= 2), i3 as (select w, unnest(range(1, len(w) - 1)) as i from t where len(w) >= 3),
+    g as (select term from u union all select w[i] || ' ' || w[i + 1] from i2 union all select w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] from i3) select term, count(*) as n from g group by term""",
 )
 def q_ngrams(spark, d):
     return _tf(spark, d, 3).groupBy("term").agg(F.sum("tf").alias("n"))
@@ -47,7 +47,7 @@ def q_tfidf(spark, d):
 
 
 _CHAR = f"""{WITH}, w as (select sentence_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) || ' ' as w from s where label in ('OBJ', 'SUBJ') and text is not null),
-g as (select sentence_id, unnest(list_transform(generate_series(1, greatest(length(w) - 3, 1)), lambda i: substr(w, i, 4))) as term from w), c as (select sentence_id, term, count(*) as tf from g group by all)"""
+k4 as (select sentence_id, w, unnest(range(1, greatest(length(w) - 3, 1) + 1)) as i from w), g as (select sentence_id, substr(w, i, 4) as term from k4), c as (select sentence_id, term, count(*) as tf from g group by all)"""
 
 
 @query("q_charwb", f"{_CHAR} select term, count(*) as df, sum(tf) as tf from c group by term having count(*) >= 2")
@@ -110,7 +110,7 @@ def q_contrast(spark, d):
     return g.filter("subj + obj >= 8 and subj >= 2 * obj")
 
 
-@query("q_feature_count", f"{_TF}, b as (select sentence_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: array_to_string(w[i : i + 1], ' '))) as term from t where len(w) >= 2), x as (select distinct sentence_id, term from b) select 'w1' as config, count(*) as n from v union all select 'w12', (select count(*) from v) + (select count(*) from (select term from x group by term having count(*) >= 2))")
+@query("q_feature_count", f"{_TF}, i2 as (select sentence_id, w, unnest(range(1, len(w))) as i from t where len(w) >= 2), b as (select sentence_id, w[i] || ' ' || w[i + 1] as term from i2), x as (select distinct sentence_id, term from b) select 'w1' as config, count(*) as n from v union all select 'w12', (select count(*) from v) + (select count(*) from (select term from x group by term having count(*) >= 2))")
 def q_feature_count(spark, d):
     one = V.vocabulary(_tf(spark, d)).agg(F.count("*").alias("n")).select(F.lit("w1").alias("config"), "n")
     return one.union(V.vocabulary(_tf(spark, d, 2)).agg(F.count("*").alias("n")).select(F.lit("w12").alias("config"), "n"))

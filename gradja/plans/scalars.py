@@ -28,7 +28,7 @@ _B = chr(0xE001)
 
 @query(
     "q_split",
-    f"""{WITH}, t as (select sentence_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as x from s where text is not null),
+    f"""{WITH}, t as (select sentence_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) as x from s where text is not null),
     u as (select sentence_id, regexp_replace(regexp_replace(regexp_replace(x, '(^|[^\\p{{L}}])({_ABBR})\\.', '\\1\\2{_P}', 'g'), '([0-9])\\.([0-9])', '\\1{_P}\\2', 'g'), '([.!?…])["»”'')\\]]* ', '\\1{_B}', 'g') as x from t),
     v as (select sentence_id, list_filter(list_transform(string_split(x, '{_B}'), lambda y: trim(replace(y, '{_P}', '.'))), lambda y: y <> '') as parts from u)
     select sentence_id, unnest(parts) as sentence, generate_subscripts(parts, 1) - 1 as pos from v""",
