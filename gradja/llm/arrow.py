@@ -44,3 +44,20 @@ def shared_folder(spark: SparkSession) -> None:
         import tempfile
 
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradja-"))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: lineage and plan end here, and a lost executor loses nothing."""
+    import uuid
+
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """The rows as a local table, for tables with a proven bound of rows only."""
+    table = df.toArrow()
+    return df.sparkSession.createDataFrame(table) if table.num_rows else df.sparkSession.createDataFrame([], df.schema)

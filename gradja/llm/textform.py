@@ -213,7 +213,8 @@ def _lookalikes(text: str, model: Bigrams) -> str:
             if scripts == {"L"} and re.search("[þÞæÆ]", text):  # an alphabet that owns the letter
                 continue
             to = _best(word, main, model)
-            if to != word:
+            # a word that no single script can write is no word of any; it stays
+            if to != word and len({s for s in map(script, to) if s}) == 1:
                 out += [text[last : w.start()], to]
                 last, changed = w.end(), True
     if not changed:
