@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradja.llm.arrow import h64, map_batches, read
+from gradja.llm.arrow import h64, map_batches, read, small
 from gradja.llm.lines import line_table, slug, url_slug
 
 #: A path is frequent if it holds this share of all lines: at most 1 / SHARE paths, the bound of what is broadcast.
@@ -61,7 +61,7 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Empty lines are no furniture; an empty table gives none.
     """
-    often = F.broadcast(frequent_paths(lines))
+    often = F.broadcast(small(frequent_paths(lines)))
     page = Window.partitionBy("page", "block")
     before = page.orderBy("idx", "line").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
@@ -85,7 +85,7 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
         .select("path", F.when(F.col("standing"), 0).when(F.col("ratio") < F.when(F.col("length") >= LONG, INNER / 2).otherwise(INNER), 1).otherwise(0).alias("frame"))
     )
     known = known_headlines(inventory).unionByName(placed.filter("slug <> 0").select(F.col("slug").alias("known"))).distinct()
-    judged = placed.join(F.broadcast(paths), "path", "left").withColumn("own", (F.col("head") != 0) & (F.col("head") == F.col("slug")))
+    judged = placed.join(F.broadcast(small(paths.filter("frame = 1"))), "path", "left").withColumn("own", (F.col("head") != 0) & (F.col("head") == F.col("slug")))
     pointers = (
         judged.filter("not own and head <> 0")
         .select("sid", "line", F.explode(F.array("head", "tail")).alias("known"))
