@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """Tab-separated, with a header and no quoting; empty fields are empty strings, as they were written."""
-    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("escape", "").option("nullValue", "\0").option("emptyValue", "").csv(path)
+    return spark.read.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("escape", "").csv(path).na.fill("")
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
