@@ -21,13 +21,15 @@ def con():
 
 def rows(df, cols):
     def cell(x):
+        if hasattr(x, "__len__") and not isinstance(x, str):
+            return str(list(x))
         if x is None or x != x:
             return "null"
         if isinstance(x, bool) or type(x).__name__ == "bool_":
             return str(bool(x))
         if isinstance(x, (int, float)) or type(x).__name__.startswith(("int", "float", "Decimal")):
             return f"{float(x):.6g}"
-        return str(list(x)) if hasattr(x, "__len__") and not isinstance(x, str) else str(x)
+        return str(x)
 
     return sorted(tuple(map(cell, r)) for r in df[cols].astype(object).itertuples(index=False))
 
