@@ -137,7 +137,7 @@ def test_streaming_slice(spark, tmp_path):
     from gradja.streaming import slices
 
     src = str(tmp_path / "in")
-    spark.sql("select timestamp '2026-01-01 00:10:00' as ts, 'view' as event_type, 1.0 as value, 1L as id union all select timestamp '2026-01-01 00:50:00', 'view', 2.0, 1L").write.parquet(src)
+    spark.sql("select timestamp '2026-01-01 00:10:00' as ts, 'view' as event_type, 1.0D as value, 1L as id union all select timestamp '2026-01-01 00:50:00', 'view', 2.0D, 1L").write.parquet(src)
     stream = spark.readStream.schema("ts timestamp, event_type string, value double, id long").parquet(src)
     q = slices.hourly(stream.withColumn("value", F.col("value").cast("double")), "1 hour").writeStream.format("memory").queryName("hours").outputMode("complete").start()
     q.processAllAvailable()
