@@ -1,16 +1,16 @@
 """Problem 5: rows that repeat another row's text with small edits.
 
-HyperMinHash: each of a row's registers keeps, of the smallest hash of its words
-under one hash function, the leading-zero count and MANTISSA bits. Bands of
-registers are the keys by which candidates meet; the estimate of similarity from
-registers is corrected for chance collisions; candidates are verified exactly on
-their sets of words.
-
-What makes bands selective at size: registers are filled from a row's *rare*
-words (no more than RARE of all texts hold them, and at least its LEAST_RARE
-rarest), since texts printed from one pattern share the common words only. A
-similarity of 0.7 or more over all words leaves at least about 0.4 of the rare
-ones in common, which BANDS bands of ROWS registers find (README has the recall).
+Exact, by prefix filtering on an inverted index: words are put in one order from
+rare to common, and of two sets that share at least 0.7 the first word they share
+stands so early in both that only the beginning of each set needs postings. The
+postings of a word are compared among themselves by size, by how much can still
+be shared from that word on, and by sketches of 64 bits that differ in no more
+bits than the sets may differ in words: each of these tests is a bound, so no pair
+is lost. Candidates are verified on their sets of words. The order of words only
+decides how many candidates there are.
+
+Postings of a word that more than CHUNK sets begin with are cut into chunks that
+meet pairwise, so no task holds more than two chunks of a word.
 
 Rows whose words are the same set form one class; classes are compared, never
 copies. Of a class of more than WHOLE rows the first stands for the others and is
@@ -36,16 +36,18 @@ from gradja.llm.p3_repeated import repeated_lines
 from gradja.llm.textform import plain
 
 SIMILAR, MIN_WORDS = 0.7, 10
-BANDS, ROWS, MANTISSA = 14, 2, 16
 #: Words are common if this share of all texts holds them; the table of common words has at most (mean words a text) / RARE rows.
-RARE, LEAST_RARE = 0.002, 4
+RARE = 0.002
+#: Postings of one word that are compared in one task with those of another chunk.
+CHUNK = 16_384
 WHOLE = 50
-#: What the share of common bits of two sketches may fall short of the similarity; at 0.12 a pair of 0.7 or more is lost once in thousands.
-SLACK = 0.12
+#: Groups of postings up to this size are compared by shifting the whole batch, larger ones by blocks of equal size.
+NARROW = 512
+#: Pairs of sketches that are compared at once.
+AT_ONCE = 4_000_000
 
 _TOKEN = re.compile(r"[^\W_]+")
 _LATIN_CYRILLIC = re.compile("[A-Za-zÀ-ɏЀ-ԯ]")
-_MULT = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3) | 1) & (1 << 64) - 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
 
 
 def word_set(text: str | None) -> list[int] | None:
@@ -81,87 +83,150 @@ def word_rows(corpus: DataFrame) -> DataFrame:
     return corpus.select("sentence_id", "text").mapInArrow(run, "sid string, cls long, ws array<int>")
 
 
-def registers(flat: np.ndarray, starts: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
-    """HyperMinHash registers (one row per function): leading zeros of the smallest hash, then mantissa bits."""
-    x = flat.astype(np.uint64)
-    out = np.empty((len(_MULT), len(starts)), dtype=np.uint64)
-    for k, m in enumerate(_MULT):
-        h = (x + np.uint64(k + 1)) * m
-        h ^= h >> np.uint64(31)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        low = np.minimum.reduceat(h, starts) | np.uint64(1)
-        zeros = np.uint64(63) - np.floor(np.log2(low.astype(np.float64))).astype(np.uint64).clip(0, 63)
-        after = low << (zeros + np.uint64(1))
-        out[k] = (zeros << np.uint64(mantissa)) | (after >> np.uint64(64 - mantissa))
-    return out
+def common_words(classes: DataFrame, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
+    """Words that more than RARE of the classes, or more than chunk of them, hold, sorted, with their counts."""
+    n = classes.count()
+    rows = classes.select(F.explode("ws").alias("w")).groupBy("w").count().filter(F.col("count") > F.lit(min(RARE * n, chunk))).toArrow().sort_by("w")
+    return rows["w"].to_numpy().astype(np.int64), rows["count"].to_numpy()
 
 
-def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> np.ndarray:
-    """Jaccard similarity from registers, less the share that collides by chance."""
-    chance = 2.0 ** -(mantissa + 1)
-    return np.clip(((a == b).mean(axis=0) - chance) / (1 - chance), 0.0, 1.0)
+def _at_least(n: np.ndarray | int, s: int) -> np.ndarray | int:
+    """Words that two sets of n words together must share: the least o with o / (n - o) >= s / 1000."""
+    return (s * n + 999 + s) // (1000 + s)
 
 
-def rare_words(flat: np.ndarray, starts: np.ndarray, common: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the words that aren't common, filled up with its rarest to LEAST_RARE."""
-    owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
+def beginnings(ws: pa.ListArray, common: np.ndarray, count: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, word, place) of the words with which each set begins, and (size, sketch) of each set; common words, by their count, come last."""
+    starts = ws.offsets.to_numpy()[:-1].astype(np.int64) - ws.offsets[0].as_py()
+    flat = ws.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.diff(np.append(starts, len(flat)))
+    owner = np.repeat(np.arange(len(starts)), size)
+    n = np.zeros(len(flat), dtype=np.int64)
     if len(common):
         at = np.searchsorted(common, flat).clip(0, len(common) - 1)
         n = np.where(common[at] == flat, count[at], 0)
-    else:
-        n = np.zeros(len(flat), dtype=np.int64)
-    order = np.lexsort((flat, n, owner))
-    rank = np.arange(len(flat)) - starts[owner]  # rank within the row once sorted
-    keep = (n[order] == 0) | (rank < LEAST_RARE)
-    kept, own = flat[order][keep], owner[keep]
-    return kept, np.searchsorted(own, np.arange(len(starts)))
+    place = np.arange(len(flat)) - starts[owner]  # place within the set once sorted
+    word = flat[np.lexsort((flat, n, owner))]
+    keep = place <= (size - (s * size + 999) // 1000)[owner]
+    sketch = np.bitwise_or.reduceat(np.uint64(1) << ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)), starts)
+    return owner[keep], word[keep], place[keep], size, sketch.view(np.int64)
 
 
-def common_words(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words that more than RARE of the classes hold, sorted, with their counts; few whatever the size of the table."""
-    n = classes.count()
-    rows = classes.select(F.explode("ws").alias("w")).groupBy("w").count().filter(F.col("count") > F.lit(RARE * n)).collect()
-    rows.sort()
-    return np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int64)
+_POSTING = "group long, at long, cls long, sketch long"
+
+
+def postings(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+    """(group, at, cls, sketch): the beginning of each class; group is the word, of a hot word a pair of its chunks, at packs size, place and side."""
+    common, count = common_words(classes, chunk)
+    s = round(similar * 1000)
+    held = common[count > chunk]
+
+    def tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if b.num_rows:
+                word = beginnings(b.column(0), common, count, s)[1]
+                w, n = np.unique(word[np.isin(word, held)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["w", "n"])
 
+    hot, parts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    if len(held):
+        t = classes.select("ws").mapInArrow(tally, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") > chunk).toArrow().sort_by("w")
+        hot, parts = t["w"].to_numpy(), -(-t["n"].to_numpy() // chunk)
 
-def band_keys(classes: DataFrame) -> DataFrame:
-    """(key, cls, sketch): BANDS rows for each class; the sketch is 64 bits, one set by each word."""
-    common, count = common_words(classes)
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            if not b.num_rows:
+                continue
+            owner, word, place, size, sketch = beginnings(b.column(1), common, count, s)
+            cls = b.column(0).to_numpy()
+            at = (size[owner] << 33) | (place << 1)
+            if len(hot):
+                i = np.searchsorted(hot, word).clip(0, len(hot) - 1)
+                k = np.where(hot[i] == word, parts[i], 1)
+                own = (cls.view(np.uint64)[owner] % k.astype(np.uint64)).astype(np.int64)
+                row = np.repeat(np.arange(len(word)), k)
+                other = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
+                own, k = own[row], k[row]
+                pair = np.minimum(own, other) * k + np.maximum(own, other)
+                owner, at = owner[row], at[row] | (own > other)
+                word = word[row] | np.where(k > 1, (pair + 1) << 31, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(at), pa.array(cls[owner]), pa.array(sketch[owner])], ["group", "at", "cls", "sketch"])
+
+    return classes.select("cls", "ws").mapInArrow(run, _POSTING)
+
+
+def meeting(group: np.ndarray, at: np.ndarray, sketch: np.ndarray, s: int, narrow: int = NARROW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the postings, sorted by (group, at), that may belong to similar sets; only whole groups may be given, sketches unsigned."""
+    n, place, side = at >> 33, (at >> 1) & 0xFFFFFFFF, at & 1
+    bounds = np.flatnonzero(np.diff(group, prepend=group[:1] - 1, append=group[-1:] + 1))
+    lo, hi = bounds[:-1], bounds[1:]
+    size = hi - lo
+    end = np.repeat(hi, size)
+    across = np.repeat(np.maximum.reduceat(side, lo) > 0, size)  # two chunks of a hot word: each is compared within elsewhere
+    a = np.flatnonzero(np.repeat(size <= narrow, size))
+    a, d = a[n[a] - place[a] >= _at_least(2 * n[a], s)], 0
+    while len(a):
+        d += 1
+        a = a[a + d < end[a]]
+        a = a[n[a + d] * s <= n[a] * 1000]
+        b = a + d
+        least = _at_least(n[a] + n[b], s)
+        fits = (n[a] - place[a] >= least) & (n[b] - place[b] >= least) & (np.bitwise_count(sketch[a] ^ sketch[b]) <= n[a] + n[b] - 2 * least) & (~across[a] | (side[a] != side[b]))
+        yield a[fits], b[fits]
+    for g0, g1 in zip(lo[size > narrow].tolist(), hi[size > narrow].tolist()):
+        sizes, first = np.unique(n[g0:g1], return_index=True)
+        ends, sizes = np.append(first, g1 - g0) + g0, sizes.tolist()
+        for x, na in enumerate(sizes):
+            for y in range(x, len(sizes)):
+                nb = sizes[y]
+                least = _at_least(na + nb, s)
+                if nb * s > na * 1000 or na < least:
+                    break
+                a0, b0 = int(ends[x]), int(ends[y])
+                a1 = a0 + int(np.searchsorted(place[a0 : ends[x + 1]], na - least, "right"))
+                b1 = b0 + int(np.searchsorted(place[b0 : ends[y + 1]], nb - least, "right"))
+                step = max(1, AT_ONCE // max(1, b1 - b0))
+                for c in range(a0, a1, step):
+                    i, j = np.nonzero(np.bitwise_count(sketch[c : min(a1, c + step), None] ^ sketch[None, b0:b1]) <= na + nb - 2 * least)
+                    i, j = i + c, j + b0
+                    fits = ((i < j) | (x != y)) & (~across[i] | (side[i] != side[j]))
+                    yield i[fits], j[fits]
+
+
+def candidates(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+    """(a, b), a < b, each once: every two classes that may be similar."""
+    s = round(similar * 1000)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def compare(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            group, at, cls, sketch = (np.concatenate(c) for c in zip(*parts))
+            for i, j in meeting(group, at, sketch.view(np.uint64), s):
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
+
         for b in it:
+            cols = [c.to_numpy() for c in b.columns]
             if not b.num_rows:
                 continue
-            ws = b.column(1)
-            starts = ws.offsets.to_numpy()[:-1] - ws.offsets[0].as_py()
-            flat = ws.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            reg = registers(*rare_words(flat, starts.astype(np.int64), common, count))
-            keys = np.empty((BANDS, b.num_rows), dtype=np.uint64)
-            for i in range(BANDS):
-                h = np.full(b.num_rows, i + 1, dtype=np.uint64)
-                for r in range(ROWS):
-                    h = (h ^ reg[i * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
-                    h ^= h >> np.uint64(29)
-                keys[i] = h
-            bits = np.bitwise_or.reduceat(np.uint64(1) << ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)), starts)
-            cls, sketch = np.tile(b.column(0).to_numpy(), BANDS), np.tile(bits.view(np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(cls), pa.array(sketch)], ["key", "cls", "sketch"])
-
-    return classes.select("cls", "ws").mapInArrow(run, "key long, cls long, sketch long")
-
-
-def similar_classes(classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """(a, b) of the classes whose sets of words are at least so similar, a < b.
-
-    A key that a third of all classes share is split by AQE on both sides of the
-    join; the size filter and the exact check come right behind it.
-    """
-    keys = band_keys(classes)
-    met = keys.select("key", F.col("cls").alias("a"), F.col("sketch").alias("sa")).join(keys.select("key", F.col("cls").alias("b"), F.col("sketch").alias("sb")), "key").filter("a < b")
-    both_bits, any_bits = F.bit_count(F.col("sa").bitwiseAND(F.col("sb"))), F.bit_count(F.col("sa").bitwiseOR(F.col("sb")))
-    pairs = met.filter(both_bits * 100 >= any_bits * int(100 * (similar - SLACK))).select("a", "b").distinct()
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
+            if held and (cut or held[-1][0][-1] != cols[0][0]):
+                yield from compare([*held, [c[:cut] for c in cols]])
+                held = []
+            elif cut:
+                yield from compare([[c[:cut] for c in cols]])
+            held.append([c[cut:] for c in cols])
+        if held:
+            yield from compare(held)
+
+    met = postings(classes, similar, chunk).repartition("group").sortWithinPartitions("group", "at").mapInArrow(run, "a long, b long")
+    return met.distinct()
+
+
+def similar_classes(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) of the classes whose sets of words are at least so similar, a < b."""
+    pairs = candidates(classes, similar, chunk)
     sets = classes.select("cls", "ws")
     both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("ws").alias("wa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("ws").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))

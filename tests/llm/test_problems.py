@@ -246,3 +246,35 @@ def test_subjects_on_held_out_documents(spark):
 
 def test_plain():
     assert plain("ＤＡ") == "da" and plain(None) is None
+
+
+# what the first review found missing
+def near(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "sentence_id string, text string")
+    members, classes = p5_near.near_rows(df, spark.createDataFrame([], "sid string"))
+    sets = {s: frozenset(w) for s, t in rows if (w := p5_near.word_set(t))}
+    named = {r.cls: sets[r.sid] for r in members.collect()}
+    got = [tuple(r) for r in p5_near.similar_classes(classes, **kw).collect()]
+    want = {(a, b) for a in named for b in named if a < b and 10 * len(named[a] & named[b]) >= 7 * len(named[a] | named[b])}
+    return got, want
+
+
+@pytest.mark.parametrize("share,edits", [(1.0, 2), (0.3, 3), (0.02, 2)])
+def test_every_pair_of_a_large_edited_group_is_found(spark, share, edits):
+    rng, rows, base = random.Random(7), [], [f"zajedno{i}" for i in range(25)]
+    for i in range(800):
+        w = list(base) if i < 800 * share else [f"ime{rng.randrange(4000)}" for _ in range(rng.randrange(10, 40))]
+        for e in range(edits if i < 800 * share else 0):
+            w[rng.randrange(25)] = f"izmena{i}n{e}"
+        rows.append((f"a-{i}-1", " ".join(w)))
+    got, want = near(spark, rows)
+    assert len(got) == len(set(got)) and set(got) == want and want
+    # a hot word's postings meet chunk by chunk
+    got, _ = near(spark, rows, chunk=50)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_pairs_of_a_tiny_table(spark):
+    text = [f"reč{i}" for i in range(12)]
+    got, want = near(spark, [("a-1-1", " ".join(text)), ("a-2-1", " ".join([*text[:11], "drugo"])), ("a-3-1", " ".join([*text[:6], *(f"t{i}" for i in range(6))]))])
+    assert set(got) == want and len(want) == 1
