@@ -2,7 +2,7 @@
 
 Tag-path ratios, on text: the path of a line is its skeleton (see
 :mod:`gradja.llm.lines`). Text mass and punctuation are summed along each page
-in reading order; over all pages of the table each frequent path gets
+in reading order; over all pages of the table each path of LEAST lines or more gets
 
 * its *inner ratio*: how often it stands between text of the page's body, smoothed
   towards what its punctuation lets expect,
@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from gradja.llm.arrow import h64, map_batches, read, small
 from gradja.llm.lines import line_table, slug, url_slug
 
-#: A path is frequent if it holds this share of all lines: at most 1 / SHARE paths, the bound of what is broadcast.
+#: Paths that hold this share of all lines are joined by broadcast: at most 1 / SHARE paths. The others are joined by shuffle; none of them is hot.
 SHARE = 2e-5
+#: A path is judged if it holds so many lines, whatever the size of the table.
 LEAST = 4
 #: Below this smoothed inner ratio a path frames the text.
 INNER = 0.5
@@ -50,10 +51,11 @@ def known_headlines(inventory: DataFrame) -> DataFrame:
     return map_batches(inventory.select("title", "url"), slugs, "known long").distinct()
 
 
-def frequent_paths(lines: DataFrame) -> DataFrame:
-    """Paths that hold SHARE of all lines or more; bounded by 1 / SHARE rows at any size."""
-    n = lines.count()
-    return lines.groupBy("path").count().filter(F.col("count") >= F.lit(max(LEAST, SHARE * n))).select("path", F.lit(1).alias("often"))
+def frequent_paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, often) of the paths of LEAST lines or more: those that hold SHARE of all lines (often = 2, at most 1 / SHARE rows), and the rest (often = 1)."""
+    hot = F.col("count") >= F.lit(SHARE * lines.count())
+    counts = lines.groupBy("path").count().filter(F.col("count") >= LEAST).persist()
+    return counts.filter(hot).select("path", F.lit(2).alias("often")), counts.filter(~hot).select("path", F.lit(1).alias("often"))
 
 
 def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -61,12 +63,15 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Empty lines are no furniture; an empty table gives none.
     """
-    often = F.broadcast(small(frequent_paths(lines)))
+    hot, rest = frequent_paths(lines)
     page = Window.partitionBy("page", "block")
     before = page.orderBy("idx", "line").rowsBetween(Window.unboundedPreceding, -1)
+    flagged = lines.select("sid", "line", "page", "block", "idx", "path", "head", "tail", "slug", "kol", "term", "mass").join(F.broadcast(small(hot)), "path", "left")
     placed = (
-        lines.select("sid", "line", "page", "block", "idx", "path", "head", "tail", "slug", "kol", "term", "mass")
-        .join(often, "path", "left")
+        flagged.filter("often is null")
+        .drop("often")
+        .join(rest, "path", "left")
+        .unionByName(flagged.filter("often is not null"))
         .withColumn("text", F.when(F.col("often").isNull() | (F.col("mass") >= LONG), F.col("mass")).otherwise(0))
         .withColumn("above", F.coalesce(F.sum("text").over(before), F.lit(0)))
         .withColumn("all_text", F.sum("text").over(page))
@@ -77,15 +82,20 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     )
     prior = F.when((F.col("punct") > 0.95) & (F.col("length") >= LONG), 0.9).when(F.col("punct") > 0.95, 0.6).otherwise(0.35)
     paths = (
-        placed.filter("often = 1 and all_text > 0")
-        .groupBy("path")
+        placed.filter("often is not null and all_text > 0")
+        .groupBy("path", "often")
         .agg(F.count("*").alias("n"), F.sum("inner").alias("inside"), F.avg("term").alias("punct"), F.avg("mass").alias("length"), F.avg(F.when(F.col("kol") >= 0, F.col("kol"))).alias("opinion"))
         .withColumn("ratio", (F.col("inside") + _PRIOR * prior) / (F.col("n") + _PRIOR))
         .withColumn("standing", (F.col("punct") > 0.95) & (F.col("opinion") > 0.97) & (F.col("n") >= LEAST))
-        .select("path", F.when(F.col("standing"), 0).when(F.col("ratio") < F.when(F.col("length") >= LONG, INNER / 2).otherwise(INNER), 1).otherwise(0).alias("frame"))
+        .select("path", "often", F.when(F.col("standing"), 0).when(F.col("ratio") < F.when(F.col("length") >= LONG, INNER / 2).otherwise(INNER), 1).otherwise(0).alias("frame"))
+        .filter("frame = 1")
+        .persist()
     )
     known = known_headlines(inventory).unionByName(placed.filter("slug <> 0").select(F.col("slug").alias("known"))).distinct()
-    judged = placed.join(F.broadcast(small(paths.filter("frame = 1"))), "path", "left").withColumn("own", (F.col("head") != 0) & (F.col("head") == F.col("slug")))
+    of_hot = placed.filter("often = 2").join(F.broadcast(small(paths.filter("often = 2").select("path", "frame"))), "path", "left")
+    of_rest = placed.filter("often = 1").join(paths.filter("often = 1").select("path", "frame"), "path", "left")
+    of_none = placed.filter("often is null").withColumn("frame", F.lit(None).cast("int"))
+    judged = of_hot.unionByName(of_rest).unionByName(of_none).withColumn("own", (F.col("head") != 0) & (F.col("head") == F.col("slug")))
     pointers = (
         judged.filter("not own and head <> 0")
         .select("sid", "line", F.explode(F.array("head", "tail")).alias("known"))
@@ -95,7 +105,7 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
         .distinct()
     )
     told = judged.join(pointers, ["sid", "line"], "left")
-    body = F.when(F.col("own") | F.col("pointer").isNotNull() | (F.coalesce("frame", F.lit(0)) == 1), 0).otherwise(F.col("text") + F.when(F.col("often") == 1, F.col("term") * 10).otherwise(0))
+    body = F.when(F.col("own") | F.col("pointer").isNotNull() | (F.coalesce("frame", F.lit(0)) == 1), 0).otherwise(F.col("text") + F.when(F.col("often").isNotNull(), F.col("term") * 10).otherwise(0))
     page_of = Window.partitionBy("page", "block")
     told = (
         told.withColumn("own_text", F.sum(body).over(page_of))

@@ -278,3 +278,16 @@ def test_near_pairs_of_a_tiny_table(spark):
     text = [f"reč{i}" for i in range(12)]
     got, want = near(spark, [("a-1-1", " ".join(text)), ("a-2-1", " ".join([*text[:11], "drugo"])), ("a-3-1", " ".join([*text[:6], *(f"t{i}" for i in range(6))]))])
     assert set(got) == want and len(want) == 1
+
+
+def test_furniture_of_a_small_site_in_a_large_table(spark):
+    inv = spark.createDataFrame([], "title string, url string")
+    lines = line_table(site(spark).filter("sentence_id < 'abc-1010'")).cache()
+    other = spark.range(600_000).select(
+        F.concat(F.lit("f-"), "id", F.lit("-1")).alias("sid"), F.lit(0).alias("line"), F.col("id").alias("page"), F.lit(0).alias("block"), F.lit(1).alias("idx"), F.lit("fff").alias("src"), F.xxhash64("id").alias("path"),
+        *(F.lit(0).cast("long").alias(c) for c in ("head", "tail", "slug")), F.lit(0).alias("kol"), F.lit(40).alias("mass"), F.lit(1).alias("term"), F.xxhash64("id").alias("lkey"),
+    )
+    found = lambda df: {(r.sid, r.line) for r in p1_furniture.furniture_lines(df, inv).collect()}
+    alone = found(lines)
+    assert {f"abc-{1000 + a}-{i:03}" for a in range(10) for i in (1, 7)} <= {s for s, _ in alone}
+    assert found(lines.unionByName(other)) == alone
