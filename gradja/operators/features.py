@@ -102,11 +102,12 @@ def similar_pairs(w: DataFrame, doc: str, least: float = 0.9) -> DataFrame:
     return scored.filter(F.col("cos") >= least)
 
 
-def greedy_removal(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def greedy_removal(pairs: DataFrame) -> DataFrame:
     """(doc, kept_by): rows dropped because a surviving earlier row is similar; pairs are (a, b) with a < b.
 
     Rounds settle every row whose earlier partners are all settled: it survives if none of
-    them does. The pairs shrink each round and are cut loose by checkpoint().
+    them does. The pairs shrink each round and are cut loose by checkpoint(); the first open
+    row is settled in every round, so the rounds end, with no pair left open.
     """
     spark = pairs.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -114,14 +115,14 @@ def greedy_removal(pairs: DataFrame, rounds: int = 50) -> DataFrame:
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradja-"))
     open_pairs = pairs.select("a", "b").checkpoint()
-    dropped = None
-    for _ in range(rounds):
-        if open_pairs.isEmpty():
-            break
+    dropped, rounds = None, 0
+    while not open_pairs.isEmpty():
         # rows without an open earlier partner survive; what is similar to them goes
         alive = open_pairs.select("a").distinct().join(open_pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        gone = open_pairs.join(alive, "a").groupBy("b").agg(F.min("a").alias("kept_by")).withColumnRenamed("b", "doc")
+        gone = open_pairs.join(alive, "a").groupBy("b").agg(F.min("a").alias("kept_by")).withColumnRenamed("b", "doc").checkpoint()
         dropped = gone if dropped is None else dropped.union(gone)
+        if (rounds := rounds + 1) % 20 == 0:
+            dropped = dropped.checkpoint()  # else the plan grows with the rounds
         ids = gone.select("doc")
         open_pairs = open_pairs.join(alive, "a", "left_anti").join(ids, open_pairs["a"] == ids["doc"], "left_anti").join(ids, open_pairs["b"] == ids["doc"], "left_anti").checkpoint()
     return dropped if dropped is not None else pairs.select(F.col("a").alias("doc"), F.col("b").alias("kept_by")).limit(0)

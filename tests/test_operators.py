@@ -143,3 +143,8 @@ def test_streaming_slice(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r)[1:] for r in spark.table("hours").collect()] == [("view", 2, 3.0)]
+
+
+def test_greedy_removal_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(113)], "a string, b string")
+    assert sorted(map(tuple, features.greedy_removal(pairs).collect())) == [(f"{i + 1:03}", f"{i:03}") for i in range(0, 113, 2)]
