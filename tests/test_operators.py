@@ -148,3 +148,12 @@ def test_streaming_slice(spark, tmp_path):
 def test_greedy_removal_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(113)], "a string, b string")
     assert sorted(map(tuple, features.greedy_removal(pairs).collect())) == [(f"{i + 1:03}", f"{i:03}") for i in range(0, 113, 2)]
+
+
+def test_group_folds_of_many_groups(spark):
+    r = spark.range(66_000).select(F.expr("concat('a', id div 3)").alias("art"), F.when(F.expr("id % 7 = 0 or (id div 3) % 50 = 0"), "SUBJ").otherwise("OBJ").alias("label"))
+    f = models.group_folds(r, "art", "label", 5).cache()
+    assert f.count() == 66_000 and f.groupBy("art").agg(F.count_distinct("fold").alias("k")).filter("k > 1").count() == 0
+    n = {(x.fold, x.label): x["count"] for x in f.groupBy("fold", "label").count().collect()}
+    assert all(max(v) - min(v) <= 6 for v in ([n[i, y] for i in range(5)] for y in ("OBJ", "SUBJ")))
+    assert models.group_folds(r.limit(0), "art", "label", 5).count() == 0
