@@ -10,7 +10,9 @@ articles overlap by HALO rows, so no article is ever held as a whole.
 
 Defined cases: null and blank texts have no units; a row delivered again counts
 once; where rows are missing before a row, only its own text can tell whether it
-continues (it begins in lower case, or closes a quotation it didn't open).
+continues (it begins in lower case, or closes a quotation it didn't open). A
+quotation, bracket or remark is open for as long as it takes within a block; one
+that runs over more than HALO rows before a block is seen from the block on only.
 """
 
 from __future__ import annotations
@@ -29,8 +31,6 @@ from gradja.llm.textform import consistent, to_latin
 
 #: Rows of an article that are looked at together, and how many before them are looked at again.
 BLOCK, HALO = 512, 32
-#: Longest quotation that is looked for.
-QUOTE = 1500
 
 # Abbreviations, Latin spelling, lower case. After the first kind a sentence never ends, after the second
 # it ends where the next word is capitalised.
@@ -49,8 +49,9 @@ _SHOUT = re.compile(r"[^\W\d_]{2,}\b")
 _DASH = "-–—―"
 #: The dash between a remark and its attribution.
 _SAID = re.compile(r"[\s!?…][-–—―]\s*(?=([^\W\d_]))")
-#: How far on the attribution of a remark of several sentences is looked for.
-REMARK = 400
+#: Where a remark ends at the latest: the end of its paragraph, or a row that begins with a quotation.
+_PARAGRAPH = re.compile("\n|\x1f„")
+_BRACKET = re.compile(r"[()\[\]（）【】]")
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 
 
@@ -117,6 +118,19 @@ def _ends(text: str, p: int, e: int, n: int) -> bool:
     return (len(word) >= 3 or text[p - 1 : p] in (")", "“", "”", "»", '"')) and not text[n].islower() and _begins(text, n)
 
 
+def closed_brackets(text: str) -> set[int]:
+    """Offsets of the opening brackets that have a closing one of their own."""
+    out, stacks = set(), {c: [] for c in ")]）】"}
+    for m in _BRACKET.finditer(text):
+        c = m.group()
+        if c in stacks:
+            if stacks[c]:
+                out.add(stacks[c].pop())
+        else:
+            stacks[_OPEN[c]].append(m.start())
+    return out
+
+
 def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], bool]:
     """Offsets at which sentences begin after the first, and whether the text began inside a quotation.
 
@@ -127,15 +141,24 @@ def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], boo
     held: list[int] = []  # ends inside the open quotation; they count if it turns out not to be one
     inside = False
     spans = list(plain)
+    stop = -1
     size = len(text)
+    last = {c: text.rfind(c) for c in {*"".join(_OPEN.values()), *'"«»'}}  # an opening mark needs a closing one anywhere after it
+    balanced = closed_brackets(text)
     first = _SKIP.match(text).end()
     remark = first if first < size and text[first] in _DASH else -1  # where a dashed remark began whose attribution has not come yet
 
+    def paragraph_end(n: int) -> int:
+        nonlocal stop
+        if stop < n:
+            stop = m.start() if (m := _PARAGRAPH.search(text, n)) else size
+        return stop
+
     def begin(n: int) -> None:
         nonlocal remark
         if remark >= 0 and text[n] not in _DASH:
             said = _SAID.search(text, remark + 1, n)
-            ahead = None if said and said.group(1).islower() else _SAID.search(text, n, n + REMARK)
+            ahead = None if said and said.group(1).islower() else _SAID.search(text, n, paragraph_end(n))
             if ahead and ahead.group(1).islower():
                 return  # the remark goes on and its attribution is still to come
         out.append(n)
@@ -179,18 +202,17 @@ def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], boo
                 held.clear()
         elif c in "«»":
             other = "»" if c == "«" else "«"
-            if (p == 0 or not text[p - 1].isalnum()) and text[e : e + 1].strip() and 0 < text.find(other, e) < e + QUOTE:
+            if (p == 0 or not text[p - 1].isalnum()) and text[e : e + 1].strip() and last[other] >= e:
                 stack.append(c)
         elif c == '"':
-            if 0 < text.find('"', e) < e + QUOTE:
+            if last['"'] >= e:
                 stack.append(c)
         elif c in _OPEN and not (c == "“" and p and not text[p - 1].isspace() and text[p - 1] not in "(„、，,:：说" and (e >= size or not text[e].isalnum())):
             if c == "„" and "„" in stack and held:  # the one before was never closed
                 out += held
                 held.clear()
                 stack.clear()
-            ahead = min((i for i in (text.find(x, e) for x in _OPEN[c]) if i > 0), default=-1)
-            if 0 < ahead < e + (400 if c in "([（【" else QUOTE):
+            if p in balanced if c in "([（【" else any(last[x] >= e for x in _OPEN[c]):
                 stack.append(c)
         elif c in _CLOSE and c not in ")]）】" and not out and not stack:
             inside = True

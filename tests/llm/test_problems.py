@@ -291,3 +291,11 @@ def test_furniture_of_a_small_site_in_a_large_table(spark):
     alone = found(lines)
     assert {f"abc-{1000 + a}-{i:03}" for a in range(10) for i in (1, 7)} <= {s for s, _ in alone}
     assert found(lines.unionByName(other)) == alone
+
+
+def test_long_quotations_brackets_and_remarks():
+    said = " ".join(f"Rečenica broj {w} traje dugo i ne kaže ništa." for w in ["jedan", "dva", "tri", "pet"] * 15)
+    for text in (f"Kaže: „{said}“ ističe ministar. Kraj je tu.", f"Kaže: «{said}» ističe ministar. Kraj je tu.", f"Spisak ({said}) je dug. Kraj je tu.", f"– {said} – kaže ministar. Kraj je tu."):
+        assert [text[n:] for n in p2_sentences.starts(text)[0]] == ["Kraj je tu."]
+    # a bracket that is never closed holds nothing back
+    assert len(p2_sentences.starts("Prva (nije zatvorena. Druga je tu. Treća (jeste) tu.")[0]) == 2
