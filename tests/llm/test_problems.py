@@ -299,3 +299,13 @@ def test_long_quotations_brackets_and_remarks():
         assert [text[n:] for n in p2_sentences.starts(text)[0]] == ["Kraj je tu."]
     # a bracket that is never closed holds nothing back
     assert len(p2_sentences.starts("Prva (nije zatvorena. Druga je tu. Treća (jeste) tu.")[0]) == 2
+
+
+def test_spread_counts_clusters_and_listed_dates(spark, tmp_path):
+    d, n = str(tmp_path), 120
+    rows = [(f"abc-{a}-{i}", None, "vest", "abc", f"{a}", t, "2026-01-01") for a in range(n) for i, t in ((1, "Podelite ovu vest"), (2, "Isti tekst" if a < 3 else "Tekst " + "".join("abcdefghij"[int(c)] for c in str(a))))]
+    c = spark.createDataFrame(rows, "sentence_id string, url string, genre string, source string, article_id string, text string, collected_at string")
+    c.withColumn("collected_at", F.to_timestamp("collected_at")).write.parquet(f"{d}/corpus.parquet")
+    listed = [("ABC ", f"{a}", f"2025-{1 + a // 28:02}-{1 + a % 28:02}" + ("T04:40:00+01:00" if a % 5 else "")) for a in range(n - 1)] + [("abc", f"{n - 1}", None), ("abc", "3", "2025-12-30")]
+    spark.createDataFrame(listed, "source string, article_id string, date string").write.parquet(f"{d}/inventory.parquet")
+    assert [tuple(r) for r in p3_repeated.p3_spread(spark, d).collect()] == [("abc", 1, n, n - 2, n - 1)]
