@@ -1,7 +1,8 @@
-"""One narrow row per line of corpus: what problems 1, 3 and 5 need to know of it.
+"""One narrow row per line of corpus: what problems 1, 2, 3 and 5 need to know of it.
 
-One Arrow pass reads the text once and leaves only hashes and small numbers, so
-that every later shuffle moves some 60 bytes a line and never the text.
+One Arrow pass reads the text once and leaves only hashes and small numbers (for
+problem 5 also the hashed words of the row, with its first line), so that every
+later shuffle moves some 60 bytes a line and never the text.
 
 Plain text has no tags. The *path* of a line stands for its root-to-leaf tag
 path: the masked skeleton of the line (names, numbers and repeated separators
@@ -11,35 +12,39 @@ folded), which is the same wherever a site's template prints the same element.
 from __future__ import annotations
 
 import re
+from array import array
+from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradja.llm.arrow import h64, map_batches
+from gradja.llm.arrow import h64
 from gradja.llm.textform import consistent, to_latin
 
-LINE_SCHEMA = "sid string, line int, page long, block int, idx int, src string, path long, head long, tail long, slug long, kol int, mass int, term int, lkey long"
-#: Rows of one page that are looked at together; longer pages are cut into blocks, so no page is a task of its own.
+#: Rows of one page that are sorted and summed together; sums of a longer page go on from block to block.
 BLOCK = 512
-
-#: Characters of a line that its path takes in.
-DEPTH = 200
+#: Words whose hash a task remembers; it forgets them all beyond that.
+MEMO = 300_000
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
 _ASCII = str.maketrans({"č": "c", "ć": "c", "š": "s", "ž": "z", "đ": "d"})
 _NOT_SLUG = re.compile("[^a-z0-9]+")
-_ANY_SEP = re.compile("[|>»•·/]")
-_SEP = re.compile(r"(?<=\s)[|>»•·/](?=\s)")
+_SEP = re.compile(r"[|>»•·/](?<=\s.)(?=\s)")
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d(?:[\d.,:/-]*\d)?")
-_NAME = re.compile(r"(?<=[\s„“\"(/–-])[A-ZČĆŠŽĐ]\w*(?:[\s.]+[A-ZČĆŠŽĐ]\w*)*")
+_NAME = re.compile(r"[A-ZČĆŠŽĐ](?<=[\s„“\"(/–-].)\w*(?:[\s.]+[A-ZČĆŠŽĐ]\w*)*")
 _FIRST_NAMES = re.compile(r"^[A-ZČĆŠŽĐ]\w*(?:\s+[A-ZČĆŠŽĐ]\w*)+")
 _PREFIX = re.compile(r"((?:[^\s:]+\s){0,4}[^\s:]+):(?=\s|$)")
-_LOW = re.compile(r"(?<=\s)[a-zčćšžđ]")
+_LOW = re.compile(r"\s[a-zčćšžđ]")
 _MARKS = re.compile(r"[„“”\"'’‘«»(),;:!?.…\[\]]+")
-_TERMINAL = re.compile(r"(?:[!?…。！？।؟]|(?<!\.\.)\.)[\"“”’»)\]]*$")
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_ENDS, _CLOSERS = frozenset("!?…。！？।؟."), "\"“”’»)]"
+_DIGIT_RUN = re.compile(r"\d+")
+_TOKEN = re.compile(r"[^\W_]+")
+#: A letter, or what may be one, outside the Latin and Cyrillic blocks.
+_OTHER_SCRIPT = re.compile("[^\x00-\u024f\u0400-\u052f]")
+_LATIN_CYRILLIC = re.compile("[A-Za-z\u00c0-\u024f\u0400-\u052f]")
 #: Scripts that mark the end of a sentence; text of others counts as text without.
 _SPACED = re.compile("[A-Za-z\u0370-\u052f]")
 _URL_TAIL = re.compile(r"[?#].*$")
@@ -48,7 +53,12 @@ _URL_NUMBER = re.compile(r"-\d+$")
 
 def slug(text: str) -> str:
     """The address form of a headline: Latin without accents, hyphens between words, 60 characters."""
-    return _NOT_SLUG.sub("-", to_latin(text).lower().translate(_ASCII)).strip("-")[:60].strip("-")
+    return _slug(to_latin(text))
+
+
+def _slug(latin: str) -> str:
+    low = latin.lower()
+    return _NOT_SLUG.sub("-", low if low.isascii() else low.translate(_ASCII)).strip("-")[:60].strip("-")
 
 
 def url_slug(url: str | None) -> str:
@@ -59,74 +69,157 @@ def url_slug(url: str | None) -> str:
     return _URL_NUMBER.sub("", last)[:60].strip("-")
 
 
-def skeleton(line: str) -> str:
-    """The path of a line in consistent form: its beginning with names as N and numbers as 0, lists by their separator."""
-    s = to_latin(line)
+def skeleton(line: str, latin: str | None = None) -> str:
+    """The path of a line in consistent form: names as N, numbers as 0, marks left out; a list is its separator. latin: its Latin spelling, if at hand."""
+    s = to_latin(line) if latin is None else latin
     if not _ASCII_LETTER.search(s):
         return s
     if s[0] == "©":
         return "©"
-    if _ANY_SEP.search(s) and len(seps := _SEP.findall(s)) > 1:
+    if len(seps := _SEP.findall(s)) > 1:
         return "list " + seps[0] + ("0" if _DIGIT.search(s) else "")
+    whole = _DIGITS.sub("0", s)
     shout = line.isupper() and " " in line
-    whole = _DIGITS.sub("0", s[:DEPTH])
-    if not shout:
-        masked = _NAME.sub("N", _FIRST_NAMES.sub("N", whole, 1))
-    else:
-        masked = whole
+    masked = whole if shout else _NAME.sub("N", _FIRST_NAMES.sub("N", whole, 1))
     if m := _PREFIX.match(masked):
-        return (m.group(1) if m.group(1).startswith("N") else m.group(1).lower()) + ":"
+        return (m.group(1) if m.group(1)[0] == "N" else m.group(1).lower()) + ":"
     if not shout and s[-1] not in ".!?…,;" and "0" not in whole and (n := len(s.split())) >= 4 and len(_LOW.findall(s)) * 4 <= n:
         return "names"
     return _MARKS.sub("", masked).lower()
 
 
+def ends_sentence(line: str) -> int:
+    """1 if the line ends with an end mark, closing quotes and brackets aside; three full stops are none."""
+    t = line.rstrip(_CLOSERS)
+    return 1 if t and t[-1] in _ENDS and t[-3:] != "..." else 0
+
+
 def _kol(genre: str | None) -> int:
     g = (genre or "").strip().lower()
     return 1 if g.startswith("kolumna") else 0 if g.startswith("vest") else -1
 
 
-def _rows(sid: str, url: str | None, genre: str | None, source: str | None, text: str, keys: bool = True) -> list[tuple]:
-    key, _, number = sid.rpartition("-")
-    idx = int(number) if number.isdigit() else 0
-    page, own, kol = h64(key), h64(s) if (s := url_slug(url)) else 0, _kol(genre)
-    src = (source or "").strip().lower() or key[:3]
-    out = []
-    for i, line in enumerate(consistent(text).split("\n")):
-        s = line.strip()
-        if not s:
-            out.append((sid, i, page, idx // BLOCK, idx, src, h64(""), 0, 0, own, kol, 0, 0, 0))
+#: Fewest distinct words of a row that problem 5 compares.
+MIN_WORDS = 10
+
+
+class Words:
+    """Sorted 31-bit hashes of the distinct words of a row, with a memory of words met before."""
+
+    def __init__(self) -> None:
+        self.memo: dict[str, int] = {}
+
+    def of(self, tokens: list[str]) -> list[int] | None:
+        """None if there are under MIN_WORDS words, or if they are mainly of other scripts than Latin and Cyrillic."""
+        words = set(tokens)
+        if len(words) < MIN_WORDS:
+            return None
+        joined = "".join(words)
+        if _OTHER_SCRIPT.search(joined) and len(_LATIN_CYRILLIC.findall(joined)) * 2 <= sum(map(str.isalpha, joined)):
+            return None
+        memo = self.memo
+        out = set(map(memo.get, words))
+        if None in out:
+            if len(memo) >= MEMO:
+                memo.clear()
+            for w in words:
+                if w not in memo:
+                    memo[w] = h64(w) & 0x7FFFFFFF
+            out = {memo[w] for w in words}
+        return sorted(out)
+
+
+_COLUMNS = {
+    "sid": pa.string(), "line": pa.int32(), "page": pa.int64(), "block": pa.int32(), "idx": pa.int32(), "src": pa.string(), "path": pa.int64(), "head": pa.int64(), "tail": pa.int64(),
+    "slug": pa.int64(), "kol": pa.int32(), "mass": pa.int32(), "term": pa.int32(), "lkey": pa.int64(), "cls": pa.int64(), "ws": pa.list_(pa.int32()),
+}
+_SQL = {"string": "string", "int32": "int", "int64": "long"}
+
+
+def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.RecordBatch:
+    """The lines of a batch of (sentence_id, url, genre, source, text)."""
+    rows: list[tuple] = []
+    flat, ends = array("i"), array("i", [0])
+    last_key = last_url = None
+    page = own = 0
+    for sid, url, genre, source, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
+        if sid is None or text is None:
             continue
-        term = 1 if _TERMINAL.search(s) else 0
-        head = tail = 0
-        if not term and len(s) < 200 or s.endswith("?"):
-            head = h64(slug(s))
-            cut = min((c for c in (s.find(": "), s.find(" – ")) if 0 < c < 40), default=-1)
-            if cut > 0:
-                tail = h64(slug(s[cut + 2 :]))
-        letters = _NO_LETTERS.sub("", s.lower()) if keys else ""
-        out.append((sid, i, page, idx // BLOCK, idx, src, h64(skeleton(s)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, h64(letters) if letters else 0))
-    return out
+        key, _, number = sid.rpartition("-")
+        if key != last_key:
+            page, last_key = h64(key), key
+        if url != last_url:
+            own, last_url = h64(u) if (u := url_slug(url)) else 0, url
+        idx = int(number) if number.isdecimal() and len(number) < 10 else 0
+        block, kol, src = idx // BLOCK, _kol(genre), (source or "").strip().lower() or key[:3]
+        tokens: list[str] = []
+        first = len(rows)
+        for i, line in enumerate(consistent(text).split("\n")):
+            s = line.strip()
+            if not s:
+                rows.append((sid, i, page, block, idx, src, _EMPTY, 0, 0, own, kol, 0, 0, 0, None))
+                continue
+            term, latin = ends_sentence(s), to_latin(s)
+            head = tail = 0
+            if not term and len(s) < 200 or s[-1] == "?":
+                head = h64(_slug(latin))
+                cut = min((c for c in (latin.find(": "), latin.find(" – ")) if 0 < c < 40), default=-1)
+                if cut > 0:
+                    tail = h64(_slug(latin[cut + 2 :]))
+            lkey = 0
+            if keys:
+                found = _TOKEN.findall(s.lower())
+                letters = "".join(found)
+                if words is not None:
+                    tokens += found
+                if _DIGIT.search(letters):
+                    letters = _DIGIT_RUN.sub("", letters)
+                lkey = h64(letters) if letters else 0
+            rows.append((sid, i, page, block, idx, src, h64(skeleton(s, latin)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, lkey, None))
+        if words is not None:
+            if (ws := words.of(tokens)) is not None:
+                hashed = array("i", ws)
+                flat += hashed
+                rows[first] = rows[first][:-1] + (xxhash.xxh3_64_intdigest(hashed.tobytes()) - (1 << 63),)
+            ends.extend([len(flat)] * (len(rows) - first))
+    names = [c for c in _COLUMNS if (keys or c != "lkey") and (words is not None or c not in ("cls", "ws"))]
+    cols = dict(zip(_COLUMNS, zip(*rows) if rows else [()] * 15))
+    arrays = [pa.array(cols[c], _COLUMNS[c]) for c in names if c != "ws"]
+    if words is not None:
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())))
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+_EMPTY = h64("")
+
+
+def cut_table(corpus: DataFrame, keys: bool = True, words: bool = False) -> DataFrame:
+    """The lines of every delivered row of corpus, copies included; no shuffle.
+
+    Rows with a null sentence_id or a null text have no lines. keys: with the letter
+    key of each line (problems 3 and 5). words: with the hash of the row's set of
+    words and the set itself, on the row's first line (problem 5).
+    """
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Words() if words else None
+        for b in it:
+            yield cut_lines(b, keys, memory)
 
-_ARROW = pa.schema([("sid", pa.string()), ("line", pa.int32()), ("page", pa.int64()), ("block", pa.int32()), ("idx", pa.int32()), ("src", pa.string())] + [(c, pa.int64()) for c in ("path", "head", "tail", "slug")] + [(c, pa.int32()) for c in ("kol", "mass", "term")] + [("lkey", pa.int64())])
+    schema = [f"{c} {_SQL.get(str(t), 'array<int>')}" for c, t in _COLUMNS.items() if (keys or c != "lkey") and (words or c not in ("cls", "ws"))]
+    return corpus.select("sentence_id", "url", "genre", "source", "text").mapInArrow(run, ", ".join(schema))
 
 
-def line_table(corpus: DataFrame, keys: bool = True) -> DataFrame:
-    """The lines of every row of corpus, each (sentence_id, line) once however often it was delivered.
+#: What problem 1 reads of a line.
+LAYOUT = ("path", "head", "tail", "slug", "kol", "mass", "term")
 
-    Rows with a null sentence_id or a null text have no lines. Copies are folded
-    map-side before the shuffle, so a row delivered a million times costs one row a task.
-    keys: also make the letter key of each line (problem 3).
-    """
 
-    def cut(b):
-        rows: list[tuple] = []
-        for r in zip(*(b.column(i).to_pylist() for i in range(5))):
-            if r[0] is not None and r[4] is not None:
-                rows += _rows(*r, keys)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_ARROW), _ARROW)], schema=_ARROW)
+def line_table(cut: DataFrame) -> DataFrame:
+    """Each line of :func:`cut_table` once however often its row was delivered, laid out for problem 1.
 
-    cols = [c for c in LINE_SCHEMA.replace(",", "").split()[::2] if c not in ("sid", "line")]
-    lines = map_batches(corpus.select("sentence_id", "url", "genre", "source", "text"), cut, LINE_SCHEMA)
-    return lines.groupBy("sid", "line").agg(*(F.max(c).alias(c) for c in cols))
+    The rows lie by (page, block) and, within a block, in reading order: the one
+    shuffle that steps by page need. A page longer than BLOCK lies in several blocks.
+    """
+    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut.select("page", "block", "idx", "sid", "line", *LAYOUT).repartition(n, "page", "block")
+    return placed.groupBy("page", "block", "idx", "sid", "line").agg(*(F.max(c).alias(c) for c in LAYOUT))

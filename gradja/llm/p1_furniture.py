@@ -13,16 +13,20 @@ is a full sentence that only columns have (a columnist's standing phrase).
 Headlines are told apart by address: the slug of the page's own url makes a
 line its headline, any other page's slug or listed title makes it a pointer.
 A page with neither text nor headline of its own is a listing, furniture throughout.
+
+The lines are shuffled once, by page, and stay there; what is looked up elsewhere
+(paths, headlines) comes back as marks on single lines. Sums of a page that fills
+several blocks are put together from the sums of its blocks.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradja.llm.arrow import h64, map_batches, read, small
-from gradja.llm.lines import line_table, slug, url_slug
+from gradja.llm.lines import cut_table, line_table, slug, url_slug
 
 #: Paths that hold this share of all lines are joined by broadcast: at most 1 / SHARE paths. The others are joined by shuffle; none of them is hot.
 SHARE = 2e-5
@@ -32,12 +36,13 @@ LEAST = 4
 INNER = 0.5
 #: Weight of the prior, in lines.
 _PRIOR = 4.0
-#: Mass (a sixth of the characters) from which a punctuated line counts as text whatever its path.
-LONG = 23
+#: Mass (a sixth of the characters) from which a punctuated line counts as text of its page, and from which it is a long one.
+TEXT, LONG = 12, 23
+_AT = ["page", "block"]
 
 
 def known_headlines(inventory: DataFrame) -> DataFrame:
-    """Hashes of the slugs of every listed title and address, each once; null titles and addresses have none."""
+    """Hashes of the slugs of every listed title and address; null titles and addresses have none."""
 
     def slugs(b):
         out = set()
@@ -48,14 +53,51 @@ def known_headlines(inventory: DataFrame) -> DataFrame:
                 out.add(h64(s))
         return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64())], ["known"])
 
-    return map_batches(inventory.select("title", "url"), slugs, "known long").distinct()
+    return map_batches(inventory.select("title", "url"), slugs, "known long")
+
+
+def laid_out(lines: DataFrame) -> DataFrame:
+    """The lines of :func:`line_table` with the text of their page before and after them and the page's own slug."""
+    ahead = Window.partitionBy(*_AT).orderBy("idx", "sid", "line").rowsBetween(Window.unboundedPreceding, -1)
+    text = F.when(F.col("mass") >= TEXT, F.col("mass")).otherwise(0)
+    kept = lines.withColumn("text", text).withColumn("ahead", F.coalesce(F.sum("text").over(ahead), F.lit(0)))
+    kept = kept.withColumn("key", F.xxhash64("sid", "line")).drop("idx").persist()
+    blocks = kept.groupBy(*_AT).agg(F.sum("text").alias("sum"), F.max(F.when(F.col("slug") != 0, F.col("slug"))).alias("own"))
+    page = Window.partitionBy("page")
+    before = page.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    pages = blocks.select(
+        *_AT,
+        F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("before"),
+        F.sum("sum").over(page).alias("all_text"),
+        F.coalesce(F.max("own").over(page), F.lit(0)).alias("own_slug"),
+    )
+    above = F.col("ahead") + F.col("before")
+    inner = ((above > 0) & (F.col("all_text") > above + F.col("text"))).cast("int")
+    own = (F.col("head") != 0) & (F.col("head") == F.col("own_slug"))
+    return kept.join(pages, _AT).select(*_AT, "sid", "line", "key", "path", "head", "tail", "kol", "term", "mass", "text", "all_text", "own_slug", inner.alias("inner"), own.alias("own"))
 
 
-def frequent_paths(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, often) of the paths of LEAST lines or more: those that hold SHARE of all lines (often = 2, at most 1 / SHARE rows), and the rest (often = 1)."""
-    hot = F.col("count") >= F.lit(SHARE * lines.count())
-    counts = lines.groupBy("path").count().filter(F.col("count") >= LEAST).persist()
-    return counts.filter(hot).select("path", F.lit(2).alias("often")), counts.filter(~hot).select("path", F.lit(1).alias("often"))
+def judged_paths(placed: DataFrame) -> DataFrame:
+    """(path, n, frame) of every path of LEAST lines or more on pages with text; frame = 1 if it frames the text."""
+    prior = F.when((F.col("punct") > 0.95) & (F.col("length") >= LONG), 0.9).when(F.col("punct") > 0.95, 0.6).otherwise(0.35)
+    paths = (
+        placed.filter("all_text > 0")
+        .groupBy("path")
+        .agg(F.count("*").alias("n"), F.sum("inner").alias("inside"), F.avg("term").alias("punct"), F.avg("mass").alias("length"), F.avg(F.when(F.col("kol") >= 0, F.col("kol"))).alias("opinion"))
+        .filter(F.col("n") >= LEAST)
+    )
+    ratio = (F.col("inside") + _PRIOR * prior) / (F.col("n") + _PRIOR)
+    standing = (F.col("punct") > 0.95) & (F.col("opinion") > 0.97)
+    frames = ratio < F.when(F.col("length") >= LONG, INNER / 2).otherwise(INNER)
+    return paths.select("path", "n", F.when(standing, 0).when(frames, 1).otherwise(0).alias("frame"))
+
+
+def _marks(found: DataFrame, name: str) -> DataFrame:
+    return found.select(*_AT, "key").groupBy(*_AT).agg(F.collect_set("key").alias(name))  # at most the lines of a block
+
+
+def _marked(name: str) -> Column:
+    return F.col(name).isNotNull() & F.array_contains(name, F.col("key"))
 
 
 def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -63,67 +105,40 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
 
     Empty lines are no furniture; an empty table gives none.
     """
-    hot, rest = frequent_paths(lines)
-    page = Window.partitionBy("page", "block")
-    before = page.orderBy("idx", "line").rowsBetween(Window.unboundedPreceding, -1)
-    flagged = lines.select("sid", "line", "page", "block", "idx", "path", "head", "tail", "slug", "kol", "term", "mass").join(F.broadcast(small(hot)), "path", "left")
-    placed = (
-        flagged.filter("often is null")
-        .drop("often")
-        .join(rest, "path", "left")
-        .unionByName(flagged.filter("often is not null"))
-        .withColumn("text", F.when(F.col("often").isNull() | (F.col("mass") >= LONG), F.col("mass")).otherwise(0))
-        .withColumn("above", F.coalesce(F.sum("text").over(before), F.lit(0)))
-        .withColumn("all_text", F.sum("text").over(page))
-        .withColumn("slug", F.coalesce(F.max(F.when(F.col("slug") != 0, F.col("slug"))).over(page), F.lit(0)))
-        .withColumn("inner", ((F.col("above") > 0) & (F.col("all_text") > F.col("above") + F.col("text"))).cast("int"))
-        .select("sid", "line", "page", "block", "path", "head", "tail", "slug", "kol", "term", "mass", "text", "all_text", "inner", "often")
-        .persist()
-    )
-    prior = F.when((F.col("punct") > 0.95) & (F.col("length") >= LONG), 0.9).when(F.col("punct") > 0.95, 0.6).otherwise(0.35)
-    paths = (
-        placed.filter("often is not null and all_text > 0")
-        .groupBy("path", "often")
-        .agg(F.count("*").alias("n"), F.sum("inner").alias("inside"), F.avg("term").alias("punct"), F.avg("mass").alias("length"), F.avg(F.when(F.col("kol") >= 0, F.col("kol"))).alias("opinion"))
-        .withColumn("ratio", (F.col("inside") + _PRIOR * prior) / (F.col("n") + _PRIOR))
-        .withColumn("standing", (F.col("punct") > 0.95) & (F.col("opinion") > 0.97) & (F.col("n") >= LEAST))
-        .select("path", "often", F.when(F.col("standing"), 0).when(F.col("ratio") < F.when(F.col("length") >= LONG, INNER / 2).otherwise(INNER), 1).otherwise(0).alias("frame"))
-        .filter("frame = 1")
-        .persist()
-    )
-    known = known_headlines(inventory).unionByName(placed.filter("slug <> 0").select(F.col("slug").alias("known"))).distinct()
-    of_hot = placed.filter("often = 2").join(F.broadcast(small(paths.filter("often = 2").select("path", "frame"))), "path", "left")
-    of_rest = placed.filter("often = 1").join(paths.filter("often = 1").select("path", "frame"), "path", "left")
-    of_none = placed.filter("often is null").withColumn("frame", F.lit(None).cast("int"))
-    judged = of_hot.unionByName(of_rest).unionByName(of_none).withColumn("own", (F.col("head") != 0) & (F.col("head") == F.col("slug")))
-    pointers = (
-        judged.filter("not own and head <> 0")
-        .select("sid", "line", F.explode(F.array("head", "tail")).alias("known"))
-        .filter("known <> 0")
-        .join(known, "known", "left_semi")
-        .select("sid", "line", F.lit(1).alias("pointer"))
-        .distinct()
-    )
-    told = judged.join(pointers, ["sid", "line"], "left")
-    body = F.when(F.col("own") | F.col("pointer").isNotNull() | (F.coalesce("frame", F.lit(0)) == 1), 0).otherwise(F.col("text") + F.when(F.col("often").isNotNull(), F.col("term") * 10).otherwise(0))
-    page_of = Window.partitionBy("page", "block")
-    told = (
-        told.withColumn("own_text", F.sum(body).over(page_of))
-        .withColumn("listing", (F.col("own_text") == 0) & (F.max(F.col("own").cast("int")).over(page_of) == 0))
-    )
-    empty = h64("")
-    is_furniture = F.col("listing") | (~F.col("own") & (F.col("pointer").isNotNull() | (F.coalesce("frame", F.lit(0)) == 1)))
-    return told.filter(is_furniture & (F.col("path") != empty)).select("sid", "line")
+    placed = laid_out(lines)
+    paths = judged_paths(placed).persist()
+    hot = small(paths.filter(F.col("n") >= F.lit(SHARE * lines_of(paths))).select("path", F.col("frame").alias("hot")))  # at most 1 / SHARE rows
+    placed = placed.join(F.broadcast(hot), "path", "left")
+    rest = placed.filter("hot is null and all_text > 0").select("path", *_AT, "key").join(paths.filter("frame = 1").select("path"), "path", "left_semi")
+    known = known_headlines(inventory).union(placed.filter("own_slug <> 0").select("own_slug").distinct())
+    pointers = placed.filter("not own and head <> 0").select(*_AT, "key", F.explode(F.array("head", "tail")).alias("known")).filter("known <> 0").join(known, "known", "left_semi")
+    told = placed.join(_marks(rest, "framed"), _AT, "left").join(_marks(pointers, "pointing"), _AT, "left")
+    out = ~F.col("own") & (_marked("framed") | _marked("pointing") | (F.coalesce("hot", F.lit(0)) == 1))
+    told = told.select(*_AT, "sid", "line", "path", "own", out.alias("out"), ((F.col("mass") > 0) | (F.col("term") > 0)).alias("body")).persist()
+    # a page with no line of its own, neither text nor headline, is a listing
+    by_block = told.groupBy(*_AT).agg(F.max((F.col("own") | (~F.col("out") & F.col("body"))).cast("int")).alias("has"))
+    listing = by_block.select(*_AT, F.max("has").over(Window.partitionBy("page")).alias("has")).filter("has = 0")
+    told = told.join(listing, _AT, "left").filter((F.col("out") | F.col("has").isNotNull()) & (F.col("path") != h64("")))
+    return told.select("sid", "line")
+
+
+def lines_of(paths: DataFrame) -> int:
+    """Lines on the judged paths."""
+    return paths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def corpus_cut(spark: SparkSession, d: str, keys: bool = False, words: bool = False) -> DataFrame:
+    """The lines of corpus as they were delivered."""
+    return cut_table(read(spark, d, "corpus", "sentence_id", "url", "genre", "source", "text"), keys, words)
 
 
-def corpus_lines(spark: SparkSession, d: str, keys: bool = False) -> DataFrame:
-    """The line table of corpus, kept in memory and on disk for the steps that read it again."""
-    return line_table(read(spark, d, "corpus", "sentence_id", "url", "genre", "source", "text"), keys).persist()
+def page_furniture(spark: SparkSession, d: str, cut: DataFrame | None = None) -> DataFrame:
+    """(sid, line) of the furniture of corpus; cut: its lines, if they are at hand."""
+    return furniture_lines(line_table(corpus_cut(spark, d) if cut is None else cut), read(spark, d, "inventory", "title", "url"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    found = furniture_lines(corpus_lines(spark, d), read(spark, d, "inventory", "title", "url"))
-    return found.select(F.col("sid").alias("sentence_id"), F.col("line").alias("line_no"))
+    return page_furniture(spark, d).select(F.col("sid").alias("sentence_id"), F.col("line").alias("line_no"))
 
 
 def drop_lines(corpus: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,8 +156,7 @@ def drop_lines(corpus: DataFrame, found: DataFrame) -> DataFrame:
 def p1_body(spark: SparkSession, d: str) -> DataFrame:
     """The main body of each row: sentence_id and text without its furniture; rows of furniture only are left out."""
     corpus = read(spark, d, "corpus", "sentence_id", "text").filter("sentence_id is not null").dropDuplicates(["sentence_id"])
-    found = furniture_lines(corpus_lines(spark, d), read(spark, d, "inventory", "title", "url"))
-    return drop_lines(corpus, found).filter("trim(text) <> ''")
+    return drop_lines(corpus, page_furniture(spark, d)).filter("trim(text) <> ''")
 
 
 QUERIES = {"p1_found": p1_found, "p1_body": p1_body}

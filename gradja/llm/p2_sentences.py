@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gradja.llm.arrow import article_key, read
 from gradja.llm.lines import slug, url_slug
-from gradja.llm.p1_furniture import corpus_lines, furniture_lines
+from gradja.llm.p1_furniture import page_furniture
 from gradja.llm.textform import consistent, to_latin
 
 #: Rows of an article that are looked at together, and how many before them are looked at again.
@@ -331,8 +331,7 @@ def sentence_corrections(corpus: DataFrame, skipped: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    furniture = furniture_lines(corpus_lines(spark, d), read(spark, d, "inventory", "title", "url"))
-    return sentence_corrections(read(spark, d, "corpus", "sentence_id", "url", "text"), furniture.select("sid"))
+    return sentence_corrections(read(spark, d, "corpus", "sentence_id", "url", "text"), page_furniture(spark, d).select("sid"))
 
 
 QUERIES = {"p2_found": p2_found}

@@ -1,16 +1,19 @@
 """Problem 5: rows that repeat another row's text with small edits.
 
-Exact, by prefix filtering on an inverted index: words are put in one order from
-rare to common, and of two sets that share at least 0.7 the first word they share
-stands so early in both that only the beginning of each set needs postings. The
-postings of a word are compared among themselves by size, by how much can still
-be shared from that word on, and by sketches of 64 bits that differ in no more
-bits than the sets may differ in words: each of these tests is a bound, so no pair
-is lost. Candidates are verified on their sets of words. The order of words only
-decides how many candidates there are.
-
-Postings of a word that more than CHUNK sets begin with are cut into chunks that
-meet pairwise, so no task holds more than two chunks of a word.
+HyperMinHash over the whole set of a row's words. Each of REGISTERS buckets keeps,
+of the smallest hash of the words under its own hash function, the leading zeros (4
+bits) and the MANTISSA bits that follow: one byte. Bands of BAND neighbouring
+registers are the keys under which classes meet. In a bucket two classes are
+compared by size and by a parity sketch of 64 bits, which differs in no more bits
+than the sets differ in words: both are bounds, so nothing similar is lost there.
+What meets is estimated from all registers, corrected for the collisions that
+registers of such sizes have by chance; only what the estimate lets through is
+verified on the sets of words.
+
+A pair of similarity s meets with probability 1 - (1 - s^4)^16: 0.988 at 0.7, 0.9998
+at 0.8; the estimate lies at most SPREAD standard deviations below. No bucket is
+capped: one of more than HOT classes is cut into chunks that meet pairwise, each
+pair a group of its own, so no task holds more than two chunks of it.
 
 Rows whose words are the same set form one class; classes are compared, never
 copies. Of a class of more than WHOLE rows the first stands for the others and is
@@ -22,7 +25,6 @@ mainly in other scripts have no pairs; rows delivered again count once.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,241 +32,301 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradja.llm.arrow import h64, read, written
-from gradja.llm.p1_furniture import corpus_lines, furniture_lines
+from gradja.llm.arrow import read, written
+from gradja.llm.lines import Words, _TOKEN, cut_table
+from gradja.llm.p1_furniture import corpus_cut, page_furniture
 from gradja.llm.p3_repeated import repeated_lines
 from gradja.llm.textform import plain
 
-SIMILAR, MIN_WORDS = 0.7, 10
-#: Words are common if this share of all texts holds them; the table of common words has at most (mean words a text) / RARE rows.
-RARE = 0.002
-#: Postings of one word that are compared in one task with those of another chunk.
-CHUNK = 16_384
+SIMILAR = 0.7
+#: Registers of a class, those of a band, and bits of a register after the leading zeros.
+REGISTERS, BAND, MANTISSA = 64, 4, 4
+BANDS = REGISTERS // BAND
+#: Standard deviations that the estimate may lie below the threshold.
+SPREAD = 4.0
+#: Classes of one bucket that are compared in one task with those of another chunk. A bucket is cut if it holds more
+#: than CHUNK classes and more than SHARE of all postings of a band, so the table of such buckets has at most BANDS / SHARE rows.
+CHUNK, SHARE = 16_384, 1e-4
 WHOLE = 50
-#: Groups of postings up to this size are compared by shifting the whole batch, larger ones by blocks of equal size.
+#: Groups of postings up to this size are compared by shifting the whole batch, larger ones by blocks.
 NARROW = 512
-#: Pairs of sketches that are compared at once.
-AT_ONCE = 4_000_000
+#: Pairs of sketches that are compared at once, and classes whose postings are packed at once.
+AT_ONCE, PACKED = 4_000_000, 32_768
 
-_TOKEN = re.compile(r"[^\W_]+")
-_LATIN_CYRILLIC = re.compile("[A-Za-zÀ-ɏЀ-ԯ]")
+_A, _B = (np.random.default_rng(5).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_POSTING = np.dtype([("key", "<u4"), ("cls", "<i8"), ("sketch", "<u8"), ("n", "<u2"), ("side", "u1")])
 
 
 def word_set(text: str | None) -> list[int] | None:
-    """Sorted 32-bit hashes of the distinct words in plain form; None if the row is no case."""
-    if not text:
-        return None
-    s = plain(text)
-    words = set(_TOKEN.findall(s))
-    if len(words) < MIN_WORDS:
-        return None
-    joined = "".join(words)
-    if not joined.isascii() and len(_LATIN_CYRILLIC.findall(joined)) * 2 <= sum(map(str.isalpha, joined)):
-        return None
-    return sorted(h64(w) & 0x7FFFFFFF for w in words)
-
-
-def word_rows(corpus: DataFrame) -> DataFrame:
-    """(sid, cls, ws) of every row that may have pairs: the hash of its set of words, and the words."""
+    """Sorted 31-bit hashes of the distinct words in plain form; None if the row is no case."""
+    return Words().of(_TOKEN.findall(plain(text))) if text else None
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids, classes, flat, ends = [], [], [], [0]
-            for sid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if sid is not None and (ws := word_set(text)) is not None:
-                    ids.append(sid)
-                    ws = list(dict.fromkeys(ws))
-                    flat += ws
-                    ends.append(len(flat))
-                    classes.append(h64(np.array(ws, dtype=np.int32).tobytes().hex()))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(classes, pa.int64()), lists], ["sid", "cls", "ws"])
-
-    return corpus.select("sentence_id", "text").mapInArrow(run, "sid string, cls long, ws array<int>")
-
-
-def common_words(classes: DataFrame, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray]:
-    """Words that more than RARE of the classes, or more than chunk of them, hold, sorted, with their counts."""
-    n = classes.count()
-    rows = classes.select(F.explode("ws").alias("w")).groupBy("w").count().filter(F.col("count") > F.lit(min(RARE * n, chunk))).toArrow().sort_by("w")
-    return rows["w"].to_numpy().astype(np.int64), rows["count"].to_numpy()
 
+def signatures(ws: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(registers, sketch) of each set of words: REGISTERS bytes, and the parity of its words in each of 64 places."""
+    starts = ws.offsets.to_numpy()[:-1].astype(np.int64) - ws.offsets[0].as_py()
+    word = ws.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+    registers = np.empty((len(ws), REGISTERS), dtype=np.uint8)
+    if not len(ws):
+        return registers, np.empty(0, dtype=np.uint64)
+    for k in range(REGISTERS):
+        least = np.minimum.reduceat(word * _A[k] + _B[k], starts)  # by its upper bits a strongly universal hash
+        registers[:, k] = register(least)
+    place = np.uint64(1) << ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+    return registers, np.bitwise_xor.reduceat(place, starts)
 
-def _at_least(n: np.ndarray | int, s: int) -> np.ndarray | int:
-    """Words that two sets of n words together must share: the least o with o / (n - o) >= s / 1000."""
-    return (s * n + 999 + s) // (1000 + s)
 
+def register(least: np.ndarray) -> np.ndarray:
+    """Leading zeros, 15 at most, and the bits after the first one, of 64-bit hashes."""
+    top = (least >> np.uint64(44)).astype(np.int64)  # 20 bits: 15 leading zeros, a one, 4 bits
+    zeros = np.minimum(20 - np.frexp(top.astype(np.float64))[1], 15)
+    after = np.where(zeros < 15, top >> np.maximum(15 - zeros, 0), top >> 1)
+    return ((zeros << MANTISSA) | (after & ((1 << MANTISSA) - 1))).astype(np.uint8)
+
+
+def _cells() -> np.ndarray:
+    """For each value of a register the hashes it stands for, as [low, high) of the unit interval."""
+    out = np.zeros((256, 2))
+    for z in range(16):
+        lo, width = (2.0 ** -(z + 1), 2.0 ** -(z + 1)) if z < 15 else (0.0, 2.0**-15)
+        for m in range(16):
+            out[z * 16 + m] = lo + width * m / 16, lo + width * (m + 1) / 16
+    return out
+
+
+_CELLS = _cells()
+
+
+def collisions(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The chance that a register of a set of na words equals that of a set of nb other words."""
+    sizes, inv = np.unique(np.concatenate([na, nb]), return_inverse=True)
+    p = (1 - _CELLS[:, 0][None]) ** sizes[:, None] - (1 - _CELLS[:, 1][None]) ** sizes[:, None]
+    return np.einsum("ij,ij->i", p[inv[: len(na)]], p[inv[len(na) :]])
+
+
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity that the registers of two classes tell, corrected for chance collisions."""
+    c = collisions(na, nb)
+    return ((a == b).mean(axis=1) - c) / (1 - c)
+
+
+def _signed(ws: pa.Array) -> pa.Array:
+    """Registers and sketch of a set of words, one after the other."""
+    registers, sketch = signatures(ws)
+    both = np.concatenate([registers, sketch[:, None].view(np.uint8)], axis=1)
+    ends = np.arange(len(both) + 1, dtype=np.int32) * both.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(both))])
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """The rows of a column of signatures."""
+    column = pa.concat_arrays([column])  # at offset 0
+    width = REGISTERS + 8
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8, count=len(column) * width).reshape(-1, width) if len(column) else np.empty((0, width), np.uint8)
+
+
+def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, ws, n, sig); rows in skipped (sid) are left out.
+
+    cut: the lines of :func:`gradja.llm.lines.cut_table`, with words.
+    """
+    rows = cut.filter("cls is not null")
+    members = written(rows.select("sid", "cls").distinct().join(skipped.select("sid"), "sid", "left_anti"))
+    good = members.select("cls").distinct()
+    n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: later joins find the classes in place
+    classes = rows.select("cls", "ws").repartition(n, "cls").join(good, "cls", "left_semi").groupBy("cls").agg(F.first("ws").alias("ws"))
+    return members, classes.select("cls", "ws", F.size("ws").alias("n"), F.arrow_udf(_signed, "binary")("ws").alias("sig")).persist()
 
-def beginnings(ws: pa.ListArray, common: np.ndarray, count: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, word, place) of the words with which each set begins, and (size, sketch) of each set; common words, by their count, come last."""
-    starts = ws.offsets.to_numpy()[:-1].astype(np.int64) - ws.offsets[0].as_py()
-    flat = ws.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    size = np.diff(np.append(starts, len(flat)))
-    owner = np.repeat(np.arange(len(starts)), size)
-    n = np.zeros(len(flat), dtype=np.int64)
-    if len(common):
-        at = np.searchsorted(common, flat).clip(0, len(common) - 1)
-        n = np.where(common[at] == flat, count[at], 0)
-    place = np.arange(len(flat)) - starts[owner]  # place within the set once sorted
-    word = flat[np.lexsort((flat, n, owner))]
-    keep = place <= (size - (s * size + 999) // 1000)[owner]
-    sketch = np.bitwise_or.reduceat(np.uint64(1) << ((flat.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58)), starts)
-    return owner[keep], word[keep], place[keep], size, sketch.view(np.int64)
-
-
-_POSTING = "group long, at long, cls long, sketch long"
-
-
-def postings(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """(group, at, cls, sketch): the beginning of each class; group is the word, of a hot word a pair of its chunks, at packs size, place and side."""
-    common, count = common_words(classes, chunk)
-    s = round(similar * 1000)
-    held = common[count > chunk]
+
+def _keys(sig: np.ndarray) -> np.ndarray:
+    """The key of each band: its registers as one number."""
+    return np.ascontiguousarray(sig[:, :REGISTERS]).view("<u4")
+
+
+def hot_buckets(classes: DataFrame, chunk: int = CHUNK, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, chunks) of the buckets to be cut, sorted; a bucket is its band and key.
+
+    Tasks report the keys they meet often, at the least a bucket's CHUNK divided by twice
+    their number, so no bucket of that size is missed and few small ones are told.
+    """
+    n = classes.count()
+    large = max(chunk, int(share * n))
+    often = max(2, large // (2 * max(1, classes.rdd.getNumPartitions())))
 
     def tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            if b.num_rows:
-                word = beginnings(b.column(0), common, count, s)[1]
-                w, n = np.unique(word[np.isin(word, held)], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n)], ["w", "n"])
+        rows = [_keys(_bytes(b.column(0))) for b in it if b.num_rows]
+        for band in range(BANDS if rows else 0):
+            key, count = np.unique(np.concatenate([r[:, band] for r in rows]), return_counts=True)
+            key, count = key[count >= often], count[count >= often]
+            yield pa.RecordBatch.from_arrays([pa.array((key.astype(np.int64) << 4) | band), pa.array(count)], ["bucket", "n"])
+
+    met = classes.select("sig").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > large // 2)
+    t = met.toArrow().sort_by("bucket")
+    return t["bucket"].to_numpy(), np.maximum(2, -(-t["n"].to_numpy() // chunk))
 
-    hot, parts = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    if len(held):
-        t = classes.select("ws").mapInArrow(tally, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).filter(F.col("n") > chunk).toArrow().sort_by("w")
-        hot, parts = t["w"].to_numpy(), -(-t["n"].to_numpy() // chunk)
+
+def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
+    """(part, grp, blob): the postings of all bands, packed by the partition in which they meet; grp is 0, or one pair of chunks of a hot bucket."""
+    hot, chunks = hot_buckets(classes, chunk)
+    per = -(-parts // BANDS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in it:
-            if not b.num_rows:
-                continue
-            owner, word, place, size, sketch = beginnings(b.column(1), common, count, s)
-            cls = b.column(0).to_numpy()
-            at = (size[owner] << 33) | (place << 1)
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _bytes(b.column(2))))
+                size += b.num_rows
+            if size >= PACKED:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    def packed(held: list[tuple]) -> pa.RecordBatch:
+        cls, n, sig = (np.concatenate(x) for x in zip(*held))
+        keys, sketch = _keys(sig), np.ascontiguousarray(sig[:, REGISTERS:]).view("<u8")[:, 0]
+        part, grp, blob = [], [], []
+        for band in range(BANDS):
+            rows = np.zeros(len(cls), _POSTING)
+            rows["key"], rows["cls"], rows["sketch"], rows["n"] = keys[:, band], cls, sketch, np.minimum(n, 0xFFFF)
             if len(hot):
-                i = np.searchsorted(hot, word).clip(0, len(hot) - 1)
-                k = np.where(hot[i] == word, parts[i], 1)
-                own = (cls.view(np.uint64)[owner] % k.astype(np.uint64)).astype(np.int64)
-                row = np.repeat(np.arange(len(word)), k)
-                other = np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
-                own, k = own[row], k[row]
-                pair = np.minimum(own, other) * k + np.maximum(own, other)
-                owner, at = owner[row], at[row] | (own > other)
-                word = word[row] | np.where(k > 1, (pair + 1) << 31, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(at), pa.array(cls[owner]), pa.array(sketch[owner])], ["group", "at", "cls", "sketch"])
-
-    return classes.select("cls", "ws").mapInArrow(run, _POSTING)
-
-
-def meeting(group: np.ndarray, at: np.ndarray, sketch: np.ndarray, s: int, narrow: int = NARROW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Numbers of the postings, sorted by (group, at), that may belong to similar sets; only whole groups may be given, sketches unsigned."""
-    n, place, side = at >> 33, (at >> 1) & 0xFFFFFFFF, at & 1
-    bounds = np.flatnonzero(np.diff(group, prepend=group[:1] - 1, append=group[-1:] + 1))
+                bucket = (keys[:, band].astype(np.int64) << 4) | band
+                at = np.searchsorted(hot, bucket).clip(0, len(hot) - 1)
+                is_hot = hot[at] == bucket
+                for h in np.unique(at[is_hot]):
+                    mine, k = rows[is_hot & (at == h)], int(chunks[h])
+                    own = (mine["cls"].view("<u8") % np.uint64(k)).astype(np.int64)
+                    for x in range(k):
+                        for y in range(k):
+                            pair = mine[own == x]
+                            if len(pair):
+                                pair["side"] = x > y
+                                name = 1 + int(h) * (1 << 24) + min(x, y) * k + max(x, y)
+                                part.append(name % (per * BANDS)), grp.append(name), blob.append(pair.tobytes())
+                rows = rows[~is_hot]
+            to = (rows["key"].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(per)
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(per + 1))
+            for i in range(per):
+                if ends[i] < ends[i + 1]:
+                    part.append(band * per + i), grp.append(0), blob.append(rows[order[ends[i] : ends[i + 1]]].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(grp, pa.int64()), pa.array(blob, pa.binary())], ["part", "grp", "blob"])
+
+    return classes.select("cls", "n", "sig").mapInArrow(run, "part int, grp long, blob binary").repartitionById(per * BANDS, "part")
+
+
+def _fits(na: np.ndarray | int, nb: np.ndarray | int, a: np.ndarray, b: np.ndarray, s: int) -> np.ndarray:
+    """Whether sets of na and nb words with these sketches may share s thousandths: by the words they must share, the rest may differ."""
+    least = (s * (na + nb) + 999 + s) // (1000 + s)
+    return np.bitwise_count(a ^ b) <= na + nb - 2 * least
+
+
+def meeting(rows: np.ndarray, s: int, across: bool = False, narrow: int = NARROW) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the postings, sorted by (key, n), of one bucket that may belong to similar sets; across: only of different sides."""
+    key, n, sketch, side = rows["key"].astype(np.int64), rows["n"].astype(np.int64), rows["sketch"].copy(), rows["side"]
+    bounds = np.flatnonzero(np.diff(key, prepend=key[:1] - 1, append=key[-1:] + 1))
     lo, hi = bounds[:-1], bounds[1:]
     size = hi - lo
     end = np.repeat(hi, size)
-    across = np.repeat(np.maximum.reduceat(side, lo) > 0, size)  # two chunks of a hot word: each is compared within elsewhere
-    a = np.flatnonzero(np.repeat(size <= narrow, size))
-    a, d = a[n[a] - place[a] >= _at_least(2 * n[a], s)], 0
+    a, d = np.flatnonzero(np.repeat(size <= narrow, size)), 0
     while len(a):
         d += 1
         a = a[a + d < end[a]]
-        a = a[n[a + d] * s <= n[a] * 1000]
+        a = a[n[a + d] * s <= n[a] * 1000]  # sizes only grow from here on
         b = a + d
-        least = _at_least(n[a] + n[b], s)
-        fits = (n[a] - place[a] >= least) & (n[b] - place[b] >= least) & (np.bitwise_count(sketch[a] ^ sketch[b]) <= n[a] + n[b] - 2 * least) & (~across[a] | (side[a] != side[b]))
-        yield a[fits], b[fits]
+        ok = _fits(n[a], n[b], sketch[a], sketch[b], s) & (side[a] != side[b] if across else True)
+        yield a[ok], b[ok]
     for g0, g1 in zip(lo[size > narrow].tolist(), hi[size > narrow].tolist()):
         sizes, first = np.unique(n[g0:g1], return_index=True)
         ends, sizes = np.append(first, g1 - g0) + g0, sizes.tolist()
         for x, na in enumerate(sizes):
             for y in range(x, len(sizes)):
                 nb = sizes[y]
-                least = _at_least(na + nb, s)
-                if nb * s > na * 1000 or na < least:
+                if nb * s > na * 1000:
                     break
-                a0, b0 = int(ends[x]), int(ends[y])
-                a1 = a0 + int(np.searchsorted(place[a0 : ends[x + 1]], na - least, "right"))
-                b1 = b0 + int(np.searchsorted(place[b0 : ends[y + 1]], nb - least, "right"))
+                a0, a1, b0, b1 = int(ends[x]), int(ends[x + 1]), int(ends[y]), int(ends[y + 1])
                 step = max(1, AT_ONCE // max(1, b1 - b0))
                 for c in range(a0, a1, step):
-                    i, j = np.nonzero(np.bitwise_count(sketch[c : min(a1, c + step), None] ^ sketch[None, b0:b1]) <= na + nb - 2 * least)
+                    i, j = np.nonzero(_fits(na, nb, sketch[c : min(a1, c + step), None], sketch[None, b0:b1], s))
                     i, j = i + c, j + b0
-                    fits = ((i < j) | (x != y)) & (~across[i] | (side[i] != side[j]))
-                    yield i[fits], j[fits]
+                    ok = ((i < j) | (x != y)) & (side[i] != side[j] if across else True)
+                    yield i[ok], j[ok]
 
 
 def candidates(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
-    """(a, b), a < b, each once: every two classes that may be similar."""
+    """(a, b), a < b, each once: every two classes that share a band and may be similar by size and sketch."""
     s = round(similar * 1000)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def compare(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-            group, at, cls, sketch = (np.concatenate(c) for c in zip(*parts))
-            for i, j in meeting(group, at, sketch.view(np.uint64), s):
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[i], cls[j])), pa.array(np.maximum(cls[i], cls[j]))], ["a", "b"])
-
+        held: dict[int, list[np.ndarray]] = {}
         for b in it:
-            cols = [c.to_numpy() for c in b.columns]
-            if not b.num_rows:
-                continue
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
-            if held and (cut or held[-1][0][-1] != cols[0][0]):
-                yield from compare([*held, [c[:cut] for c in cols]])
-                held = []
-            elif cut:
-                yield from compare([[c[:cut] for c in cols]])
-            held.append([c[cut:] for c in cols])
-        if held:
-            yield from compare(held)
-
-    met = postings(classes, similar, chunk).repartition("group").sortWithinPartitions("group", "at").mapInArrow(run, "a long, b long")
-    return met.distinct()
+            for grp, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                held.setdefault(grp, []).append(np.frombuffer(blob.as_buffer(), _POSTING))
+        while held:
+            grp, blobs = held.popitem()
+            rows = np.concatenate(blobs)
+            rows = rows[np.lexsort((rows["n"], rows["key"]))]
+            cls, found, size = rows["cls"].copy(), [], 0
+            for i, j in meeting(rows, s, bool(grp) and bool(rows["side"].any())):
+                x, y = cls[i], cls[j]
+                found.append(np.stack([np.minimum(x, y), np.maximum(x, y)]))
+                size += len(i)
+                if size >= AT_ONCE // 4:
+                    yield told(found)
+                    found, size = [], 0
+            if size:
+                yield told(found)
+
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if sum(f.shape[1] for f in found) < 100_000 else np.concatenate(found, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings(classes, parts, chunk).select("grp", "blob").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_classes(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK) -> DataFrame:
     """(a, b) of the classes whose sets of words are at least so similar, a < b."""
-    pairs = candidates(classes, similar, chunk)
-    sets = classes.select("cls", "ws")
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("ws").alias("wa")), "a").join(sets.select(F.col("cls").alias("b"), F.col("ws").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    # in whole numbers: shared / union >= similar
-    return both.withColumn("s", shared).filter(F.col("s") * 1000 >= (F.size("wa") + F.size("wb") - F.col("s")) * int(round(similar * 1000))).select("a", "b")
+    lowest = similar - SPREAD * (similar * (1 - similar) / REGISTERS) ** 0.5
+
+    @F.arrow_udf("boolean")
+    def likely(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        return pa.array(estimate(_bytes(sa)[:, :REGISTERS], _bytes(sb)[:, :REGISTERS], na.to_numpy(), nb.to_numpy()) >= lowest)
 
+    def side(x: str, *cols: str) -> DataFrame:
+        return classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
 
-def near_rows(corpus: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, ws); rows in skipped (sid) are left out."""
-    rows = word_rows(corpus).persist()
-    members = rows.select("sid", "cls").join(skipped.select("sid"), "sid", "left_anti").distinct()
-    members = written(members)
-    good = members.select(F.col("cls").alias("good")).distinct()
-    classes = rows.select("cls", "ws").join(good, F.col("cls") == F.col("good"), "left_semi").groupBy("cls").agg(F.first("ws").alias("ws")).persist()
-    return members, classes
+    met = candidates(classes, similar, chunk).join(side("a", "sig", "n"), "a").join(side("b", "sig", "n"), "b")
+    pairs = met.filter(likely("sig_a", "sig_b", "n_a", "n_b")).select("a", "b")
+    both = pairs.join(side("a", "ws"), "a").join(side("b", "ws"), "b")
+    shared = F.size(F.array_intersect("ws_a", "ws_b"))
+    # in whole numbers: shared / union >= similar
+    return both.withColumn("s", shared).filter(F.col("s") * 1000 >= (F.size("ws_a") + F.size("ws_b") - F.col("s")) * int(round(similar * 1000))).select("a", "b")
 
 
 def near_pairs(members: DataFrame, classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(sentence_id_a, sentence_id_b) of similar rows, a < b, classes written out as the module says."""
     size = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("sid").alias("rep"))
     links = written(similar_classes(classes, similar))
-    linked = links.select(F.col("a").alias("cls")).union(links.select(F.col("b").alias("cls"))).distinct()
-    several = size.filter("n > 1").select("cls")
-    needed = linked.union(several).distinct()
-    sized = members.join(needed, "cls").join(size, "cls")
-    shown = sized.filter(F.col("n") <= WHOLE).select("cls", "sid").union(sized.filter(F.col("n") > WHOLE).select("cls", F.col("rep").alias("sid")).distinct())
+    needed = links.select(F.col("a").alias("cls")).union(links.select("b")).union(size.filter("n > 1").select("cls")).distinct()
+    sized = members.join(size.join(needed, "cls", "left_semi"), "cls").persist()
+    shown = sized.filter((F.col("n") <= WHOLE) | (F.col("sid") == F.col("rep"))).select("cls", "sid")
     across = links.join(shown.select(F.col("cls").alias("a"), F.col("sid").alias("x")), "a").join(shown.select(F.col("cls").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
-    small = sized.filter((F.col("n") > 1) & (F.col("n") <= WHOLE)).select("cls", "sid")
-    within = small.select("cls", F.col("sid").alias("x")).join(small.select("cls", F.col("sid").alias("y")), "cls").filter("x < y").select("x", "y")
+    few = sized.filter((F.col("n") > 1) & (F.col("n") <= WHOLE)).select("cls", "sid")
+    within = few.select("cls", F.col("sid").alias("x")).join(few.select("cls", F.col("sid").alias("y")), "cls").filter("x < y").select("x", "y")
     star = sized.filter((F.col("n") > WHOLE) & (F.col("sid") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("sid").alias("y"))
     pairs = across.union(within).union(star)
     return pairs.select(F.least("x", "y").alias("sentence_id_a"), F.greatest("x", "y").alias("sentence_id_b"))
 
 
 def _rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines = corpus_lines(spark, d, keys=True)
-    skipped = furniture_lines(lines, read(spark, d, "inventory", "title", "url")).select("sid").union(repeated_lines(lines).select("sid"))
-    return near_rows(read(spark, d, "corpus", "sentence_id", "text"), skipped)
+    cut = corpus_cut(spark, d, keys=True, words=True).persist()
+    return near_rows(cut, page_furniture(spark, d, cut).select("sid").union(repeated_lines(cut).select("sid")))
+
+
+def near_rows_of(corpus: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same for any table with sentence_id, url, genre, source and text."""
+    return near_rows(cut_table(corpus, words=True), skipped)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

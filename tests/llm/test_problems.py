@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradja.llm import p1_furniture, p2_sentences, p3_repeated, p4_sample, p5_near, p6_splits, p7_consistent, p8_tokens, p9_leaks, p10_subjects
-from gradja.llm.lines import line_table
+from gradja.llm.lines import cut_table, line_table
 from gradja.llm.textform import consistent, plain
 
 CORPUS = "sentence_id string, url string, genre string, source string, text string, page string, n long"
@@ -60,19 +60,20 @@ def site(spark):
 def test_furniture_and_repeats(spark):
     df = site(spark)
     inv = spark.createDataFrame([], "title string, url string")
-    lines = line_table(df).cache()
+    cut = cut_table(df).cache()
+    lines = line_table(cut).cache()
     got = {(r.sid, r.line) for r in p1_furniture.furniture_lines(lines, inv).collect()}
     assert got == {(f"abc-{1000 + a}-{i:03}", 0) for a in range(40) for i in (1, 7, 8)}
-    again = {(r.sid, r.line) for r in p3_repeated.repeated_lines(lines).collect()}
+    again = {(r.sid, r.line) for r in p3_repeated.repeated_lines(cut).collect()}
     count = {}
-    for r in lines.filter("lkey <> 0").collect():
+    for r in cut.filter("lkey <> 0").collect():
         count.setdefault((r.src, r.lkey), set()).add(r.page)
-    want = {(r.sid, r.line) for r in lines.collect() if len(count.get((r.src, r.lkey), ())) >= 5}
+    want = {(r.sid, r.line) for r in cut.collect() if len(count.get((r.src, r.lkey), ())) >= 5}
     assert again == want and ("abc-1000-001", 0) in again
     kept = p1_furniture.drop_lines(df.filter("sentence_id = 'abc-1000-001'"), p1_furniture.furniture_lines(lines, inv)).first()
     assert kept.text == "" and kept.page == "clash"
-    empty = line_table(df.limit(0))
-    assert p1_furniture.furniture_lines(empty, inv).count() == 0 and p3_repeated.repeated_lines(empty).count() == 0
+    empty = cut_table(df.limit(0))
+    assert p1_furniture.furniture_lines(line_table(empty), inv).count() == 0 and p3_repeated.repeated_lines(empty).count() == 0
 
 
 # 2
@@ -134,13 +135,13 @@ def test_near_pairs_against_brute_force(spark):
         if i % 10 == 0:
             rows.append((f"a-{i}-3", " ".join(w).upper()))
     rows += [("a-900-1", None), ("a-900-2", ""), ("a-900-3", "samo tri reči"), ("a-900-4", "在 云 市 公 布 了 财 报 出 口 货 物")]
-    df = spark.createDataFrame(rows + rows[:20], "sentence_id string, text string")
+    df = corpus(spark, [(s, None, None, None, t) for s, t in rows + rows[:20]])
     skipped = spark.createDataFrame([("a-0-2",)], "sid string")
-    got = {tuple(r) for r in p5_near.near_pairs(*p5_near.near_rows(df, skipped)).collect()}
+    got = {tuple(r) for r in p5_near.near_pairs(*p5_near.near_rows_of(df, skipped)).collect()}
     sets = {s: set(w) for s, t in rows if s != "a-0-2" and (w := p5_near.word_set(t))}
     want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     assert got <= want and len(got) >= 0.97 * len(want)
-    assert p5_near.near_pairs(*p5_near.near_rows(df.limit(0), skipped)).count() == 0
+    assert p5_near.near_pairs(*p5_near.near_rows_of(df.limit(0), skipped)).count() == 0
 
 
 # 6
@@ -250,8 +251,8 @@ def test_plain():
 
 # what the first review found missing
 def near(spark, rows, **kw):
-    df = spark.createDataFrame(rows, "sentence_id string, text string")
-    members, classes = p5_near.near_rows(df, spark.createDataFrame([], "sid string"))
+    df = corpus(spark, [(s, None, None, None, t) for s, t in rows])
+    members, classes = p5_near.near_rows_of(df, spark.createDataFrame([], "sid string"))
     sets = {s: frozenset(w) for s, t in rows if (w := p5_near.word_set(t))}
     named = {r.cls: sets[r.sid] for r in members.collect()}
     got = [tuple(r) for r in p5_near.similar_classes(classes, **kw).collect()]
@@ -268,10 +269,10 @@ def test_every_pair_of_a_large_edited_group_is_found(spark, share, edits):
             w[rng.randrange(25)] = f"izmena{i}n{e}"
         rows.append((f"a-{i}-1", " ".join(w)))
     got, want = near(spark, rows)
-    assert len(got) == len(set(got)) and set(got) == want and want
-    # a hot word's postings meet chunk by chunk
-    got, _ = near(spark, rows, chunk=50)
-    assert len(got) == len(set(got)) and set(got) == want
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.98 * len(want) and want
+    # a hot bucket's postings meet chunk by chunk, and find the same
+    again, _ = near(spark, rows, chunk=50)
+    assert sorted(again) == sorted(got)
 
 
 def test_near_pairs_of_a_tiny_table(spark):
@@ -282,10 +283,10 @@ def test_near_pairs_of_a_tiny_table(spark):
 
 def test_furniture_of_a_small_site_in_a_large_table(spark):
     inv = spark.createDataFrame([], "title string, url string")
-    lines = line_table(site(spark).filter("sentence_id < 'abc-1010'")).cache()
+    lines = line_table(cut_table(site(spark).filter("sentence_id < 'abc-1010'"))).cache()
     other = spark.range(600_000).select(
-        F.concat(F.lit("f-"), "id", F.lit("-1")).alias("sid"), F.lit(0).alias("line"), F.col("id").alias("page"), F.lit(0).alias("block"), F.lit(1).alias("idx"), F.lit("fff").alias("src"), F.xxhash64("id").alias("path"),
-        *(F.lit(0).cast("long").alias(c) for c in ("head", "tail", "slug")), F.lit(0).alias("kol"), F.lit(40).alias("mass"), F.lit(1).alias("term"), F.xxhash64("id").alias("lkey"),
+        F.concat(F.lit("f-"), "id", F.lit("-1")).alias("sid"), F.lit(0).alias("line"), F.col("id").alias("page"), F.lit(0).alias("block"), F.lit(1).alias("idx"), F.xxhash64("id").alias("path"),
+        *(F.lit(0).cast("long").alias(c) for c in ("head", "tail", "slug")), F.lit(0).alias("kol"), F.lit(40).alias("mass"), F.lit(1).alias("term"),
     )
     found = lambda df: {(r.sid, r.line) for r in p1_furniture.furniture_lines(df, inv).collect()}
     alone = found(lines)
@@ -293,6 +294,31 @@ def test_furniture_of_a_small_site_in_a_large_table(spark):
     assert found(lines.unionByName(other)) == alone
 
 
+def test_a_page_of_many_blocks_is_one_page(spark):
+    """Lines at the edges of the blocks of one long page stand inside its text; its furniture is at its ends only."""
+    inv = spark.createDataFrame([], "title string, url string")
+    word = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    long = ["Vrh strane", *(f"Savet danas razmatra {word(i)} o kome se dugo i {word(i * 7)} raspravljalo u {word(i * 3)} gradu na {word(i * 11)}." if i % 50 else "Kratak međunaslov" for i in range(1, 2000)), "Podelite ovu vest"]
+    rows = [(f"abc-1-{i:04}", None, "vest", "abc", t) for i, t in enumerate(long, 1)]
+    df = site(spark).unionByName(corpus(spark, rows))
+    got = {r.sid for r in p1_furniture.furniture_lines(line_table(cut_table(df)), inv).collect() if r.sid.startswith("abc-1-")}
+    assert got == {"abc-1-0001", "abc-1-2001"}
+
+
+def test_estimate_is_corrected_for_collisions():
+    """Registers of sets that share nothing agree by chance; the estimate of their similarity is nought all the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 1 << 31, (2, 4000, 30))
+    half = np.concatenate([a[:, :20], b[:, :10]], axis=1)  # 20 of 40 words shared
+    sig = lambda x: p5_near.signatures(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 30), pa.int32()), pa.array(x.ravel().astype(np.int32))))[0]
+    n = np.full(4000, 30)
+    assert abs(p5_near.estimate(sig(a), sig(b), n, n).mean()) < 0.005 < (sig(a) == sig(b)).mean()
+    assert abs(p5_near.estimate(sig(a), sig(half), n, n).mean() - 0.5) < 0.01
+
+
 def test_long_quotations_brackets_and_remarks():
     said = " ".join(f"Rečenica broj {w} traje dugo i ne kaže ništa." for w in ["jedan", "dva", "tri", "pet"] * 15)
     for text in (f"Kaže: „{said}“ ističe ministar. Kraj je tu.", f"Kaže: «{said}» ističe ministar. Kraj je tu.", f"Spisak ({said}) je dug. Kraj je tu.", f"– {said} – kaže ministar. Kraj je tu."):
