@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from gradja.llm.arrow import h64, map_batches, read, small
 from gradja.llm.lines import cut_table, line_table, slug, url_slug
 
-#: Paths that hold this share of all lines are joined by broadcast: at most 1 / SHARE paths. The others are joined by shuffle; none of them is hot.
-SHARE = 2e-5
+#: Of more framing paths than BROADCAST only those that hold SHARE of all lines are broadcast, at most 1 / SHARE; the others join by shuffle, and none of them is hot.
+BROADCAST, SHARE = 200_000, 2e-5
 #: A path is judged if it holds so many lines, whatever the size of the table.
 LEAST = 4
 #: Below this smoothed inner ratio a path frames the text.
@@ -107,14 +107,19 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     """
     placed = laid_out(lines)
     paths = judged_paths(placed).persist()
-    hot = small(paths.filter(F.col("n") >= F.lit(SHARE * lines_of(paths))).select("path", F.col("frame").alias("hot")))  # at most 1 / SHARE rows
+    frames, lines_judged = paths.agg(F.count(F.when(F.col("frame") == 1, 1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    told_hot = F.col("frame") == 1 if frames <= BROADCAST else F.col("n") >= F.lit(SHARE * lines_judged)
+    hot = small(paths.filter(told_hot).select("path", F.col("frame").alias("hot")))
     placed = placed.join(F.broadcast(hot), "path", "left")
-    rest = placed.filter("hot is null and all_text > 0").select("path", *_AT, "key").join(paths.filter("frame = 1").select("path"), "path", "left_semi")
+    framed = F.coalesce("hot", F.lit(0)) == 1
     known = known_headlines(inventory).union(placed.filter("own_slug <> 0").select("own_slug").distinct())
     pointers = placed.filter("not own and head <> 0").select(*_AT, "key", F.explode(F.array("head", "tail")).alias("known")).filter("known <> 0").join(known, "known", "left_semi")
-    told = placed.join(_marks(rest, "framed"), _AT, "left").join(_marks(pointers, "pointing"), _AT, "left")
-    out = ~F.col("own") & (_marked("framed") | _marked("pointing") | (F.coalesce("hot", F.lit(0)) == 1))
-    told = told.select(*_AT, "sid", "line", "path", "own", out.alias("out"), ((F.col("mass") > 0) | (F.col("term") > 0)).alias("body")).persist()
+    told = placed.join(_marks(pointers, "pointing"), _AT, "left")
+    if frames > BROADCAST:
+        rest = placed.filter("hot is null and all_text > 0").select("path", *_AT, "key").join(paths.filter("frame = 1").select("path"), "path", "left_semi")
+        told, framed = told.join(_marks(rest, "framed"), _AT, "left"), framed | _marked("framed")
+    told = told.withColumn("out", ~F.col("own") & (_marked("pointing") | framed))
+    told = told.select(*_AT, "sid", "line", "path", "own", "out", ((F.col("mass") > 0) | (F.col("term") > 0)).alias("body")).persist()
     # a page with no line of its own, neither text nor headline, is a listing
     by_block = told.groupBy(*_AT).agg(F.max((F.col("own") | (~F.col("out") & F.col("body"))).cast("int")).alias("has"))
     listing = by_block.select(*_AT, F.max("has").over(Window.partitionBy("page")).alias("has")).filter("has = 0")
@@ -122,11 +127,6 @@ def furniture_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
     return told.select("sid", "line")
 
 
-def lines_of(paths: DataFrame) -> int:
-    """Lines on the judged paths."""
-    return paths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
 def corpus_cut(spark: SparkSession, d: str, keys: bool = False, words: bool = False) -> DataFrame:
     """The lines of corpus as they were delivered."""
     return cut_table(read(spark, d, "corpus", "sentence_id", "url", "genre", "source", "text"), keys, words)

@@ -36,11 +36,12 @@ from gradja.llm.arrow import read, written
 from gradja.llm.lines import Words, _TOKEN, cut_table
 from gradja.llm.p1_furniture import corpus_cut, page_furniture
 from gradja.llm.p3_repeated import repeated_lines
+from gradja.llm.registers import REGISTERS, estimate, rows_of
 from gradja.llm.textform import plain
 
 SIMILAR = 0.7
-#: Registers of a class, those of a band, and bits of a register after the leading zeros.
-REGISTERS, BAND, MANTISSA = 64, 4, 4
+#: Registers of a band.
+BAND = 4
 BANDS = REGISTERS // BAND
 #: Standard deviations that the estimate may lie below the threshold.
 SPREAD = 4.0
@@ -53,7 +54,6 @@ NARROW = 512
 #: Pairs of sketches that are compared at once, and classes whose postings are packed at once.
 AT_ONCE, PACKED = 4_000_000, 32_768
 
-_A, _B = (np.random.default_rng(5).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POSTING = np.dtype([("key", "<u4"), ("cls", "<i8"), ("sketch", "<u8"), ("n", "<u2"), ("side", "u1")])
 
 
@@ -62,80 +62,17 @@ def word_set(text: str | None) -> list[int] | None:
     return Words().of(_TOKEN.findall(plain(text))) if text else None
 
 
-def signatures(ws: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """(registers, sketch) of each set of words: REGISTERS bytes, and the parity of its words in each of 64 places."""
-    starts = ws.offsets.to_numpy()[:-1].astype(np.int64) - ws.offsets[0].as_py()
-    word = ws.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
-    registers = np.empty((len(ws), REGISTERS), dtype=np.uint8)
-    if not len(ws):
-        return registers, np.empty(0, dtype=np.uint64)
-    for k in range(REGISTERS):
-        least = np.minimum.reduceat(word * _A[k] + _B[k], starts)  # by its upper bits a strongly universal hash
-        registers[:, k] = register(least)
-    place = np.uint64(1) << ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
-    return registers, np.bitwise_xor.reduceat(place, starts)
-
-
-def register(least: np.ndarray) -> np.ndarray:
-    """Leading zeros, 15 at most, and the bits after the first one, of 64-bit hashes."""
-    top = (least >> np.uint64(44)).astype(np.int64)  # 20 bits: 15 leading zeros, a one, 4 bits
-    zeros = np.minimum(20 - np.frexp(top.astype(np.float64))[1], 15)
-    after = np.where(zeros < 15, top >> np.maximum(15 - zeros, 0), top >> 1)
-    return ((zeros << MANTISSA) | (after & ((1 << MANTISSA) - 1))).astype(np.uint8)
-
-
-def _cells() -> np.ndarray:
-    """For each value of a register the hashes it stands for, as [low, high) of the unit interval."""
-    out = np.zeros((256, 2))
-    for z in range(16):
-        lo, width = (2.0 ** -(z + 1), 2.0 ** -(z + 1)) if z < 15 else (0.0, 2.0**-15)
-        for m in range(16):
-            out[z * 16 + m] = lo + width * m / 16, lo + width * (m + 1) / 16
-    return out
-
-
-_CELLS = _cells()
-
-
-def collisions(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The chance that a register of a set of na words equals that of a set of nb other words."""
-    sizes, inv = np.unique(np.concatenate([na, nb]), return_inverse=True)
-    p = (1 - _CELLS[:, 0][None]) ** sizes[:, None] - (1 - _CELLS[:, 1][None]) ** sizes[:, None]
-    return np.einsum("ij,ij->i", p[inv[: len(na)]], p[inv[len(na) :]])
-
-
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity that the registers of two classes tell, corrected for chance collisions."""
-    c = collisions(na, nb)
-    return ((a == b).mean(axis=1) - c) / (1 - c)
-
-
-def _signed(ws: pa.Array) -> pa.Array:
-    """Registers and sketch of a set of words, one after the other."""
-    registers, sketch = signatures(ws)
-    both = np.concatenate([registers, sketch[:, None].view(np.uint8)], axis=1)
-    ends = np.arange(len(both) + 1, dtype=np.int32) * both.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(both), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(both))])
-
-
-def _bytes(column: pa.Array) -> np.ndarray:
-    """The rows of a column of signatures."""
-    column = pa.concat_arrays([column])  # at offset 0
-    width = REGISTERS + 8
-    return np.frombuffer(column.buffers()[2], dtype=np.uint8, count=len(column) * width).reshape(-1, width) if len(column) else np.empty((0, width), np.uint8)
-
-
 def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, ws, n, sig); rows in skipped (sid) are left out.
 
     cut: the lines of :func:`gradja.llm.lines.cut_table`, with words.
     """
     rows = cut.filter("cls is not null")
-    members = written(rows.select("sid", "cls").distinct().join(skipped.select("sid"), "sid", "left_anti"))
-    good = members.select("cls").distinct()
+    members = written(rows.groupBy("sid").agg(F.max("cls").alias("cls")).join(skipped.select("sid"), "sid", "left_anti"))
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: later joins find the classes in place
-    classes = rows.select("cls", "ws").repartition(n, "cls").join(good, "cls", "left_semi").groupBy("cls").agg(F.first("ws").alias("ws"))
-    return members, classes.select("cls", "ws", F.size("ws").alias("n"), F.arrow_udf(_signed, "binary")("ws").alias("sig")).persist()
+    good = members.select("cls").distinct()
+    classes = rows.select("cls", "ws", "sig").repartition(n, "cls").join(good, "cls", "left_semi").groupBy("cls").agg(F.first("ws").alias("ws"), F.first("sig").alias("sig"))
+    return members, classes.select("cls", "ws", F.size("ws").alias("n"), "sig").persist()
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -154,7 +91,7 @@ def hot_buckets(classes: DataFrame, chunk: int = CHUNK, share: float = SHARE) ->
     often = max(2, large // (2 * max(1, classes.rdd.getNumPartitions())))
 
     def tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [_keys(_bytes(b.column(0))) for b in it if b.num_rows]
+        rows = [_keys(rows_of(b.column(0))) for b in it if b.num_rows]
         for band in range(BANDS if rows else 0):
             key, count = np.unique(np.concatenate([r[:, band] for r in rows]), return_counts=True)
             key, count = key[count >= often], count[count >= often]
@@ -174,7 +111,7 @@ def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
         held, size = [], 0
         for b in it:
             if b.num_rows:
-                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), _bytes(b.column(2))))
+                held.append((b.column(0).to_numpy(), b.column(1).to_numpy(), rows_of(b.column(2))))
                 size += b.num_rows
             if size >= PACKED:
                 yield packed(held)
@@ -291,7 +228,7 @@ def similar_classes(classes: DataFrame, similar: float = SIMILAR, chunk: int = C
 
     @F.arrow_udf("boolean")
     def likely(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        return pa.array(estimate(_bytes(sa)[:, :REGISTERS], _bytes(sb)[:, :REGISTERS], na.to_numpy(), nb.to_numpy()) >= lowest)
+        return pa.array(estimate(rows_of(sa)[:, :REGISTERS], rows_of(sb)[:, :REGISTERS], na.to_numpy(), nb.to_numpy()) >= lowest)
 
     def side(x: str, *cols: str) -> DataFrame:
         return classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gradja.llm import p1_furniture, p2_sentences, p3_repeated, p4_sample, p5_near, p6_splits, p7_consistent, p8_tokens, p9_leaks, p10_subjects
+from gradja.llm import p1_furniture, p2_sentences, p3_repeated, p4_sample, p5_near, p6_splits, p7_consistent, p8_tokens, p9_leaks, p10_subjects, registers
 from gradja.llm.lines import cut_table, line_table
 from gradja.llm.textform import consistent, plain
 
@@ -281,7 +281,7 @@ def test_near_pairs_of_a_tiny_table(spark):
     assert set(got) == want and len(want) == 1
 
 
-def test_furniture_of_a_small_site_in_a_large_table(spark):
+def test_furniture_of_a_small_site_in_a_large_table(spark, monkeypatch):
     inv = spark.createDataFrame([], "title string, url string")
     lines = line_table(cut_table(site(spark).filter("sentence_id < 'abc-1010'"))).cache()
     other = spark.range(600_000).select(
@@ -292,6 +292,10 @@ def test_furniture_of_a_small_site_in_a_large_table(spark):
     alone = found(lines)
     assert {f"abc-{1000 + a}-{i:03}" for a in range(10) for i in (1, 7)} <= {s for s, _ in alone}
     assert found(lines.unionByName(other)) == alone
+    # with more framing paths than are broadcast, the rest come by shuffle
+    monkeypatch.setattr(p1_furniture, "BROADCAST", 0)
+    monkeypatch.setattr(p1_furniture, "SHARE", 0.1)
+    assert found(lines) == alone
 
 
 def test_a_page_of_many_blocks_is_one_page(spark):
@@ -313,10 +317,10 @@ def test_estimate_is_corrected_for_collisions():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 31, (2, 4000, 30))
     half = np.concatenate([a[:, :20], b[:, :10]], axis=1)  # 20 of 40 words shared
-    sig = lambda x: p5_near.signatures(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 30), pa.int32()), pa.array(x.ravel().astype(np.int32))))[0]
+    sig = lambda x: registers.rows_of(registers.signatures(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 30), pa.int32()), pa.array(x.ravel().astype(np.int32)))))[:, : registers.REGISTERS]
     n = np.full(4000, 30)
-    assert abs(p5_near.estimate(sig(a), sig(b), n, n).mean()) < 0.005 < (sig(a) == sig(b)).mean()
-    assert abs(p5_near.estimate(sig(a), sig(half), n, n).mean() - 0.5) < 0.01
+    assert abs(registers.estimate(sig(a), sig(b), n, n).mean()) < 0.005 < (sig(a) == sig(b)).mean()
+    assert abs(registers.estimate(sig(a), sig(half), n, n).mean() - 0.5) < 0.01
 
 
 def test_long_quotations_brackets_and_remarks():
