@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from gradja.llm.arrow import h64
 from gradja.llm.registers import signatures
-from gradja.llm.textform import consistent, to_latin
+from gradja.llm.textform import clean_latin, consistent, to_latin
 
 #: Rows of one page that are sorted and summed together; sums of a longer page go on from block to block.
 BLOCK = 512
@@ -30,8 +30,9 @@ BLOCK = 512
 MEMO = 300_000
 
 _ASCII_LETTER = re.compile("[A-Za-z]")
-_ASCII = str.maketrans({"č": "c", "ć": "c", "š": "s", "ž": "z", "đ": "d"})
+_ASCII = (("č", "c"), ("ć", "c"), ("š", "s"), ("ž", "z"), ("đ", "d"))
 _NOT_SLUG = re.compile("[^a-z0-9]+")
+_SEPARATORS = "|>»•·/"
 _SEP = re.compile(r"[|>»•·/](?<=\s.)(?=\s)")
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"\d(?:[\d.,:/-]*\d)?")
@@ -59,7 +60,10 @@ def slug(text: str) -> str:
 
 def _slug(latin: str) -> str:
     low = latin.lower()
-    return _NOT_SLUG.sub("-", low if low.isascii() else low.translate(_ASCII)).strip("-")[:60].strip("-")
+    if not low.isascii():
+        for a, b in _ASCII:
+            low = low.replace(a, b)
+    return _NOT_SLUG.sub("-", low).strip("-")[:60].strip("-")
 
 
 def url_slug(url: str | None) -> str:
@@ -70,19 +74,25 @@ def url_slug(url: str | None) -> str:
     return _URL_NUMBER.sub("", last)[:60].strip("-")
 
 
-def skeleton(line: str, latin: str | None = None) -> str:
-    """The path of a line in consistent form: names as N, numbers as 0, marks left out; a list is its separator. latin: its Latin spelling, if at hand."""
+def skeleton(line: str, latin: str | None = None, digits: bool = True) -> str:
+    """The path of a line in consistent form: names as N, numbers as 0, marks left out; a list is its separator.
+
+    latin: its Latin spelling, if at hand; digits: whether it may hold any.
+    """
     s = to_latin(line) if latin is None else latin
     if not _ASCII_LETTER.search(s):
         return s
     if s[0] == "©":
         return "©"
-    if len(seps := _SEP.findall(s)) > 1:
-        return "list " + seps[0] + ("0" if _DIGIT.search(s) else "")
-    whole = _DIGITS.sub("0", s)
+    for c in _SEPARATORS:
+        if c in s:
+            if len(seps := _SEP.findall(s)) > 1:
+                return "list " + seps[0] + ("0" if _DIGIT.search(s) else "")
+            break
+    whole = _DIGITS.sub("0", s) if digits else s
     shout = line.isupper() and " " in line
     masked = whole if shout else _NAME.sub("N", _FIRST_NAMES.sub("N", whole, 1))
-    if m := _PREFIX.match(masked):
+    if ":" in masked and (m := _PREFIX.match(masked)):
         return (m.group(1) if m.group(1)[0] == "N" else m.group(1).lower()) + ":"
     if not shout and s[-1] not in ".!?…,;" and "0" not in whole and (n := len(s.split())) >= 4 and len(_LOW.findall(s)) * 4 <= n:
         return "names"
@@ -110,24 +120,23 @@ class Words:
     def __init__(self) -> None:
         self.memo: dict[str, int] = {}
 
-    def of(self, tokens: list[str]) -> list[int] | None:
-        """None if there are under MIN_WORDS words, or if they are mainly of other scripts than Latin and Cyrillic."""
+    def of(self, tokens: list[str], latin: bool = False) -> list[int] | None:
+        """None if there are under MIN_WORDS words, or if they are mainly of other scripts than Latin and Cyrillic; latin: they are surely of the first."""
         words = set(tokens)
         if len(words) < MIN_WORDS:
             return None
-        joined = "".join(words)
-        if _OTHER_SCRIPT.search(joined) and len(_LATIN_CYRILLIC.findall(joined)) * 2 <= sum(map(str.isalpha, joined)):
-            return None
-        memo = self.memo
-        out = set(map(memo.get, words))
-        if None in out:
-            if len(memo) >= MEMO:
-                memo.clear()
-            for w in words:
-                if w not in memo:
-                    memo[w] = h64(w) & 0x7FFFFFFF
-            out = {memo[w] for w in words}
-        return sorted(out)
+        if not latin:
+            joined = "".join(words)
+            if _OTHER_SCRIPT.search(joined) and len(_LATIN_CYRILLIC.findall(joined)) * 2 <= sum(map(str.isalpha, joined)):
+                return None
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        known = self.memo.get
+        return sorted({known(w) or self.hashed(w) for w in words})
+
+    def hashed(self, word: str) -> int:
+        h = self.memo[word] = h64(word) & 0x7FFFFFFF
+        return h
 
 
 _COLUMNS = {
@@ -155,12 +164,13 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
         block, kol, src = idx // BLOCK, _kol(genre), (source or "").strip().lower() or key[:3]
         tokens: list[str] = []
         first = len(rows)
-        for i, line in enumerate(consistent(text).split("\n")):
+        is_latin = clean_latin(text)
+        for i, line in enumerate((text if is_latin else consistent(text)).split("\n")):
             s = line.strip()
             if not s:
                 rows.append((sid, i, page, block, idx, src, _EMPTY, 0, 0, own, kol, 0, 0, 0, None))
                 continue
-            term, latin = ends_sentence(s), to_latin(s)
+            term, latin, digits = ends_sentence(s), s if is_latin else to_latin(s), _DIGIT.search(s) is not None
             head = tail = 0
             if not term and len(s) < 200 or s[-1] == "?":
                 head = h64(_slug(latin))
@@ -173,12 +183,12 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
                 letters = "".join(found)
                 if words is not None:
                     tokens += found
-                if _DIGIT.search(letters):
+                if digits:
                     letters = _DIGIT_RUN.sub("", letters)
                 lkey = h64(letters) if letters else 0
-            rows.append((sid, i, page, block, idx, src, h64(skeleton(s, latin)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, lkey, None))
+            rows.append((sid, i, page, block, idx, src, h64(skeleton(s, latin, digits)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, lkey, None))
         if words is not None:
-            if (ws := words.of(tokens)) is not None:
+            if (ws := words.of(tokens, is_latin)) is not None:
                 hashed = array("i", ws)
                 flat += hashed
                 rows[first] = rows[first][:-1] + (xxhash.xxh3_64_intdigest(hashed.tobytes()) - (1 << 63),)

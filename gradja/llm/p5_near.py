@@ -54,6 +54,8 @@ NARROW = 512
 #: Pairs of sketches that are compared at once, and classes whose postings are packed at once.
 AT_ONCE, PACKED = 4_000_000, 32_768
 
+#: A blob is its number of postings, then their fields one after the other by byte, compressed.
+_CODEC = pa.Codec("zstd", compression_level=1)
 _POSTING = np.dtype([("key", "<u4"), ("cls", "<i8"), ("sketch", "<u8"), ("n", "<u2"), ("side", "u1")])
 
 
@@ -102,6 +104,22 @@ def hot_buckets(classes: DataFrame, chunk: int = CHUNK, share: float = SHARE) ->
     return t["bucket"].to_numpy(), np.maximum(2, -(-t["n"].to_numpy() // chunk))
 
 
+def pack(rows: np.ndarray) -> bytes:
+    """Postings as a blob: sorted by key, keys as differences, all bytes of one place together."""
+    rows = rows[np.argsort(rows["key"])]
+    rows["key"] = np.diff(rows["key"], prepend=np.uint32(0))
+    planes = np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), -1).T)
+    return len(rows).to_bytes(4, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def unpack(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(_CODEC.decompress(blob[4:], n * _POSTING.itemsize, asbytes=True), np.uint8)
+    rows = planes.reshape(-1, n).T.copy().view(_POSTING)[:, 0]
+    rows["key"] = np.cumsum(rows["key"], dtype=np.uint32)
+    return rows
+
+
 def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
     """(part, grp, blob): the postings of all bands, packed by the partition in which they meet; grp is 0, or one pair of chunks of a hot bucket."""
     hot, chunks = hot_buckets(classes, chunk)
@@ -139,14 +157,14 @@ def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
                             if len(pair):
                                 pair["side"] = x > y
                                 name = 1 + int(h) * (1 << 24) + min(x, y) * k + max(x, y)
-                                part.append(name % (per * BANDS)), grp.append(name), blob.append(pair.tobytes())
+                                part.append(name % (per * BANDS)), grp.append(name), blob.append(pack(pair))
                 rows = rows[~is_hot]
             to = (rows["key"].astype(np.uint64) * np.uint64(0x9E3779B1) >> np.uint64(7)) % np.uint64(per)
             order = np.argsort(to, kind="stable")
             ends = np.searchsorted(to[order], np.arange(per + 1))
             for i in range(per):
                 if ends[i] < ends[i + 1]:
-                    part.append(band * per + i), grp.append(0), blob.append(rows[order[ends[i] : ends[i + 1]]].tobytes())
+                    part.append(band * per + i), grp.append(0), blob.append(pack(rows[order[ends[i] : ends[i + 1]]]))
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(grp, pa.int64()), pa.array(blob, pa.binary())], ["part", "grp", "blob"])
 
     return classes.select("cls", "n", "sig").mapInArrow(run, "part int, grp long, blob binary").repartitionById(per * BANDS, "part")
@@ -197,8 +215,8 @@ def candidates(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK)
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
         for b in it:
-            for grp, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                held.setdefault(grp, []).append(np.frombuffer(blob.as_buffer(), _POSTING))
+            for grp, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held.setdefault(grp, []).append(unpack(blob))
         while held:
             grp, blobs = held.popitem()
             rows = np.concatenate(blobs)
@@ -215,7 +233,7 @@ def candidates(classes: DataFrame, similar: float = SIMILAR, chunk: int = CHUNK)
                 yield told(found)
 
     def told(found: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = np.unique(np.concatenate(found, axis=1), axis=1) if sum(f.shape[1] for f in found) < 100_000 else np.concatenate(found, axis=1)
+        a, b = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))

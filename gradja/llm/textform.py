@@ -190,6 +190,11 @@ def _space(m) -> str:
     return "\u3000" if i and i + 1 < len(s) and _CJK.match(s[i - 1]) and _CJK.match(s[i + 1]) else " "
 
 
+def clean_latin(text: str) -> bool:
+    """True if the text is surely consistent and has no letters but those of the home alphabet's Latin spelling."""
+    return not _CLEAN_LATIN.search(text)
+
+
 def is_clean(text: str) -> bool:
     """True if the text is surely consistent; cheap, and it decides nearly all rows."""
     return not _CLEAN_LATIN.search(text) or not _CLEAN_CYRILLIC.search(text)
