@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from gradja.llm.arrow import read, written
 from gradja.llm.lines import Words, _TOKEN, cut_table
 from gradja.llm.p1_furniture import corpus_cut, page_furniture
-from gradja.llm.p3_repeated import repeated_lines
+from gradja.llm.p3_repeated import bounded, repeated_lines
 from gradja.llm.registers import REGISTERS, estimate, rows_of
 from gradja.llm.textform import plain
 
@@ -65,16 +65,16 @@ def word_set(text: str | None) -> list[int] | None:
 
 
 def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, ws, n, sig); rows in skipped (sid) are left out.
+    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, ws, n, sig, rows, rep), rep the first of its rows; rows in skipped (sid) are left out.
 
     cut: the lines of :func:`gradja.llm.lines.cut_table`, with words.
     """
     rows = cut.filter("cls is not null")
     members = written(rows.groupBy("sid").agg(F.max("cls").alias("cls")).join(skipped.select("sid"), "sid", "left_anti"))
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: later joins find the classes in place
-    good = members.select("cls").distinct()
-    classes = rows.select("cls", "ws", "sig").repartition(n, "cls").join(good, "cls", "left_semi").groupBy("cls").agg(F.first("ws").alias("ws"), F.first("sig").alias("sig"))
-    return members, classes.select("cls", "ws", F.size("ws").alias("n"), "sig").persist()
+    held = members.groupBy("cls").agg(F.count("*").alias("rows"), F.min("sid").alias("rep"))
+    classes = rows.select("cls", "ws", "sig").repartition(n, "cls").groupBy("cls").agg(F.first("ws").alias("ws"), F.first("sig").alias("sig")).join(held, "cls")
+    return members, classes.select("cls", "ws", F.size("ws").alias("n"), "sig", "rows", "rep").persist()
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -261,14 +261,15 @@ def similar_classes(classes: DataFrame, similar: float = SIMILAR, chunk: int = C
 
 def near_pairs(members: DataFrame, classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(sentence_id_a, sentence_id_b) of similar rows, a < b, classes written out as the module says."""
-    size = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("sid").alias("rep"))
     links = written(similar_classes(classes, similar))
+    size = classes.select("cls", F.col("rows").alias("n"), "rep")
     needed = links.select(F.col("a").alias("cls")).union(links.select("b")).union(size.filter("n > 1").select("cls")).distinct()
-    sized = members.join(size.join(needed, "cls", "left_semi"), "cls").persist()
+    several, few = bounded(size.join(needed, "cls", "left_semi"))
+    sized = members.join(F.broadcast(several) if few else several, "cls").persist()
     shown = sized.filter((F.col("n") <= WHOLE) | (F.col("sid") == F.col("rep"))).select("cls", "sid")
     across = links.join(shown.select(F.col("cls").alias("a"), F.col("sid").alias("x")), "a").join(shown.select(F.col("cls").alias("b"), F.col("sid").alias("y")), "b").select("x", "y")
-    few = sized.filter((F.col("n") > 1) & (F.col("n") <= WHOLE)).select("cls", "sid")
-    within = few.select("cls", F.col("sid").alias("x")).join(few.select("cls", F.col("sid").alias("y")), "cls").filter("x < y").select("x", "y")
+    small = sized.filter((F.col("n") > 1) & (F.col("n") <= WHOLE)).select("cls", "sid")
+    within = small.select("cls", F.col("sid").alias("x")).join(small.select("cls", F.col("sid").alias("y")), "cls").filter("x < y").select("x", "y")
     star = sized.filter((F.col("n") > WHOLE) & (F.col("sid") != F.col("rep"))).select(F.col("rep").alias("x"), F.col("sid").alias("y"))
     pairs = across.union(within).union(star)
     return pairs.select(F.least("x", "y").alias("sentence_id_a"), F.greatest("x", "y").alias("sentence_id_b"))
@@ -293,7 +294,7 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     from gradja.llm.p6_splits import components
 
     members, classes = _rows(spark, d)
-    size = members.groupBy("cls").agg(F.count("*").alias("n"), F.min("sid").alias("rep"))
+    size = classes.select("cls", F.col("rows").alias("n"), "rep")
     links = written(similar_classes(classes))
     ends = links.union(links.select("b", "a")).toDF("cls", "to")
     far = ends.join(size.select(F.col("cls").alias("to"), F.col("n").alias("m")), "to").groupBy("cls").agg(F.sum("m").alias("outside"))
