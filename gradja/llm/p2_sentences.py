@@ -1,8 +1,9 @@
 """Problem 2: sentence units of every article, whatever its language and script.
 
-A pushdown automaton runs over the article's rows in order. Its stack holds the
-open quotations and brackets, its side state whether a dashed remark is open;
-abbreviations are looked up in a trie read backwards from the full stop, and each
+A pushdown automaton runs over the article's rows in order. One stack holds the
+open quotations and brackets, a second one the levels of the list it is in (an
+item is a unit, its mark belongs to it); the side state tells whether a dashed
+remark is open; abbreviations are looked up in a trie read backwards from the full stop, and each
 script brings its own end marks. It emits the offsets at which sentences begin.
 
 Rows travel once, sorted by (article, block of sent_idx); blocks of long
@@ -52,6 +53,13 @@ _SAID = re.compile(r"[\s!?…][-–—―]\s*(?=([^\W\d_]))")
 #: Where a remark ends at the latest: the end of its paragraph, or a row that begins with a quotation.
 _PARAGRAPH = re.compile("\n|\x1f„")
 _BRACKET = re.compile(r"[()\[\]（）【】]")
+#: The mark of a list item at the beginning of a line: a number, a letter in a half bracket, or a bullet.
+_ITEM = re.compile(r"(?:(\d{1,3}[.)])|([^\W\d_]\))|([•*·▪◦‣]))[ \t]+(?=\S)")
+# Thai and Lao words and marks that go on with what stands before a space, and marks after which it goes on.
+_GOES_ON = re.compile("และ|หรือ|แต่|ซึ่ง|ว่า|กับ|โดย|เพราะ|คือ|เช่น|ได้แก่|รวมทั้ง|ๆ|ฯ|ແລະ|ຫຼື|ແຕ່|ເຊິ່ງ|ວ່າ|ກັບ|ໂດຍ|ເພາະ|ຄື|ເຊັ່ນ|ໆ|ຯ")
+_WAITS = "ๆฯໆຯ"
+#: Letters a Thai or Lao phrase has at least on either side of a space that ends a sentence.
+_PHRASE = 8
 _GREEK = re.compile("[Ͱ-Ͽἀ-῿]")
 
 
@@ -131,6 +139,20 @@ def closed_brackets(text: str) -> set[int]:
     return out
 
 
+def _item_kind(m: re.Match) -> str:
+    """What the items of one level have in common: the form of their mark."""
+    return m.group(3) or (m.group(1) and "0" + m.group(1)[-1]) or "a)"
+
+
+def _unspaced_end(text: str, p: int, e: int) -> bool:
+    """Whether the space text[p:e] between Thai or Lao letters ends a sentence: two full phrases meet, and the second doesn't go on with the first."""
+    if text[p - 1] in _WAITS or _GOES_ON.match(text, e):
+        return False
+    before = max(text.rfind(c, 0, p) for c in " \n\x1f") + 1
+    after = min((i for c in " \n\x1f" if (i := text.find(c, e)) >= 0), default=len(text))
+    return p - before >= _PHRASE and after - e >= _PHRASE
+
+
 def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], bool]:
     """Offsets at which sentences begin after the first, and whether the text began inside a quotation.
 
@@ -141,13 +163,29 @@ def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], boo
     held: list[int] = []  # ends inside the open quotation; they count if it turns out not to be one
     inside = False
     spans = list(plain)
-    stop = -1
+    levels: list[str] = []  # of the list that a line is an item of, by the form of their marks
+    stop = item_end = -1
     size = len(text)
     last = {c: text.rfind(c) for c in {*"".join(_OPEN.values()), *'"«»'}}  # an opening mark needs a closing one anywhere after it
     balanced = closed_brackets(text)
     first = _SKIP.match(text).end()
     remark = first if first < size and text[first] in _DASH else -1  # where a dashed remark began whose attribution has not come yet
 
+    def item(n: int) -> int:
+        """Enter or leave list levels if an item begins at n; the end of its mark, or -1."""
+        m = _ITEM.match(text, n)
+        if m is None:
+            return -1
+        kind = _item_kind(m)
+        if kind in levels:
+            del levels[levels.index(kind) + 1 :]
+        else:
+            levels.append(kind)
+        return m.end()
+
+    if (m := _ITEM.match(text, first)) and any(_item_kind(x) == _item_kind(m) for line in re.finditer("\n", text) if (x := _ITEM.match(text, line.end()))):
+        item_end = item(first)  # a number that begins the text is an item's only if others follow
+
     def paragraph_end(n: int) -> int:
         nonlocal stop
         if stop < n:
@@ -171,17 +209,24 @@ def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], boo
             spans.pop(0)
         if spans and spans[0][0] <= p:
             continue
+        if p < item_end:
+            continue
         c = ev[0]
         if c == "\n":
             n = _SKIP.match(text, e).end()
-            if n < size and (not text[n].islower() or TITLE.match(text, n)):
+            mark = item(n)
+            if mark < 0 and n < size and not text[n].islower():
+                levels.clear()
+            item_end = max(item_end, mark)
+            if n < size and (mark >= 0 or not text[n].islower() or TITLE.match(text, n)):
                 out += [*held, n]
                 remark = n if text[n] in _DASH else -1
                 stack.clear()
                 held.clear()
             continue
         if c in " \x1f":
-            out.append(e)
+            if not stack and _unspaced_end(text, p, e):
+                out.append(e)
             continue
         if c in _END:
             n = _SKIP.match(text, e).end()
@@ -223,10 +268,14 @@ def starts(text: str, plain: list[tuple[int, int]] = ()) -> tuple[list[int], boo
     return sorted({*out, *held}), inside
 
 
-def article_corrections(rows: list[tuple]) -> list[tuple[str, int]]:
-    """Corrections of the rows (idx, sentence_id, text, url, skipped, halo) of one block, in order; skipped rows only fill gaps."""
+def article_starts(rows: list[tuple]) -> list[tuple[str, str, list[int], bool]]:
+    """(sentence_id, text, begun, continues) of the rows (idx, sentence_id, text, url, skipped, halo) of one block, in order.
+
+    begun: where further sentences begin in the text; continues: the row goes on with
+    the one before it. Skipped rows only fill gaps, halo rows belong to the block before.
+    """
     own = next((s for r in rows if (s := url_slug(r[3]))), "")
-    found: list[tuple[str, int]] = []
+    found: list[tuple[str, str, list[int], bool]] = []
     part: list[tuple] = []
     last = None
 
@@ -257,16 +306,12 @@ def article_corrections(rows: list[tuple]) -> list[tuple[str, int]]:
             end = o + len(r[2])
             if r[5] or first >= end:
                 continue
+            c = text[first]
             if o == 0:
-                c = text[first]
-                whole = not after_gap or not (inside or c in ",;)”" or (c.islower() and not TITLE.match(text, first)) or (c in _DASH and not _begins(text, first)))
-                if not whole:
-                    found.append((r[1], 0))
-            elif first not in begun:
-                thai = "฀" <= text[first] <= "໿"
-                if not thai:
-                    found.append((r[1], 0))
-            found.extend((r[1], n - o) for n in begun if first < n < end)
+                goes_on = after_gap and (inside or c in ",;)”" or (c.islower() and not TITLE.match(text, first)) or (c in _DASH and not _begins(text, first)))
+            else:
+                goes_on = first not in begun and not "฀" <= c <= "໿"  # a row of Thai or Lao is a phrase of its own
+            found.append((r[1], r[2], sorted(n - o for n in begun if first < n < end), bool(goes_on)))
 
     gap = bool(rows) and rows[0][0] > 1
     seen = None
@@ -284,6 +329,29 @@ def article_corrections(rows: list[tuple]) -> list[tuple[str, int]]:
     return found
 
 
+def article_corrections(rows: list[tuple]) -> list[tuple[str, int]]:
+    """(sentence_id, pos) of the corrections to the rows of one block."""
+    return [(sid, n) for sid, _, begun, goes_on in article_starts(rows) for n in ([0] if goes_on else []) + begun]
+
+
+def article_units(rows: list[tuple]) -> list[tuple[str, int, str, int, str]]:
+    """(unit_sentence_id, unit_pos, sentence_id, pos, text) of the pieces of the sentence units of one block, in order.
+
+    A unit is named by where it begins; a piece is what one row holds of it. A row that
+    goes on with one the block doesn't hold begins a unit of that block.
+    """
+    out, unit = [], None
+    halo = {r[1] for r in rows if r[5]}
+    for sid, text, begun, goes_on in article_starts([(*r[:5], False) for r in rows]):
+        cuts = [0, *begun, len(text)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if unit is None or k or not goes_on:
+                unit = (sid, a)
+            if sid not in halo and text[a:b].strip():
+                out.append((*unit, sid, a, text[a:b].strip()))
+    return out
+
+
 def _fold_copies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Drop what this task has seen already, by a 64-bit hash of the id."""
     seen: set[int] = set()
@@ -297,11 +365,10 @@ def _fold_copies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _IN = "sentence_id string, url string, text string"
-_OUT = "sentence_id string, pos int"
 
 
-def sentence_corrections(corpus: DataFrame, skipped: DataFrame) -> DataFrame:
-    """(sentence_id, pos) of the corrections to the rows of corpus; rows in skipped (sid) are left out as furniture."""
+def by_article(corpus: DataFrame, skipped: DataFrame, fn, schema: str) -> DataFrame:
+    """fn over the rows of each block of each article, in order; rows in skipped (sid) are left out as furniture."""
     rows = corpus.select("sentence_id", "url", "text").filter("sentence_id is not null").mapInArrow(_fold_copies, _IN)
     marks = skipped.select(F.col("sid").alias("sentence_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("text"), F.lit(0).alias("kind")).distinct()
     both = rows.withColumn("kind", F.lit(1)).unionByName(marks)
@@ -310,29 +377,47 @@ def sentence_corrections(corpus: DataFrame, skipped: DataFrame) -> DataFrame:
     halo = F.when(F.pmod("idx", F.lit(BLOCK)) >= BLOCK - HALO, F.array(block, block + 1)).otherwise(F.array(block))
     placed = both.withColumn("block", F.explode(halo)).withColumn("halo", F.expr(f"block > idx div {BLOCK}"))
     ordered = placed.repartition("page", "block").sortWithinPartitions("page", "block", "idx", "sentence_id", "kind")
+    kinds = [pa.string() if c.split()[1] == "string" else pa.int32() for c in schema.split(", ")]
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
 
-        def done(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["sentence_id", "pos"])
+        def done(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * len(kinds), kinds)], names)
 
         for b in it:
-            found: list[tuple[str, int]] = []
+            found: list[tuple] = []
             for sid, url, text, kind, page, idx, blk, hal in zip(*(c.to_pylist() for c in b.columns)):
                 if (page, blk) != now:
-                    found += article_corrections(group)
+                    found += fn(group)
                     now, group = (page, blk), []
                 group.append((idx, sid, text, url, kind == 0, hal))
             yield done(found)
-        yield done(article_corrections(group))
+        yield done(fn(group))
+
+    return ordered.select("sentence_id", "url", "text", "kind", "page", "idx", "block", "halo").mapInArrow(run, schema)
 
-    return ordered.select("sentence_id", "url", "text", "kind", "page", "idx", "block", "halo").mapInArrow(run, _OUT)
+
+def sentence_corrections(corpus: DataFrame, skipped: DataFrame) -> DataFrame:
+    """(sentence_id, pos) of the corrections to the rows of corpus; rows in skipped (sid) are left out as furniture."""
+    return by_article(corpus, skipped, article_corrections, "sentence_id string, pos int")
+
+
+def sentence_units(corpus: DataFrame, skipped: DataFrame) -> DataFrame:
+    """The pieces of every sentence unit, named by where it begins: unit_sentence_id, unit_pos, sentence_id, pos, text."""
+    return by_article(corpus, skipped, article_units, "unit_sentence_id string, unit_pos int, sentence_id string, pos int, text string")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return sentence_corrections(read(spark, d, "corpus", "sentence_id", "url", "text"), page_furniture(spark, d).select("sid"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    """The sentence units of every article, a row for each piece: the article, where the unit begins, and the piece's row, position and text. Ordered by sentence_id and pos they read as the article does."""
+    units = sentence_units(read(spark, d, "corpus", "sentence_id", "url", "text"), page_furniture(spark, d).select("sid"))
+    return units.select(article_key("sentence_id").alias("article_key"), "unit_sentence_id", "unit_pos", "sentence_id", "pos", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_units": p2_units}
 SQL: dict[str, str] = {}

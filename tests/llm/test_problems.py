@@ -108,6 +108,28 @@ def test_long_article_is_cut_into_blocks(spark):
     assert got.filter("pos = 0").count() >= 749 and got.count() == got.distinct().count()
 
 
+def test_units_put_the_pieces_together(spark):
+    rows = [("abc-1-001", "Ide u ul."), ("abc-1-002", "Glavna br. 5. Kraj."), ("abc-1-003", None), ("abc-1-004", "Nova rečenica. I još jedna.")]
+    got = p2_sentences.sentence_units(corpus(spark, [(s, None, None, None, t) for s, t in rows + rows[:1]]), spark.createDataFrame([], "sid string"))
+    units = {}
+    for r in got.orderBy("sentence_id", "pos").collect():
+        units.setdefault((r.unit_sentence_id, r.unit_pos), []).append(r.text)
+    assert [" ".join(t) for t in units.values()] == ["Ide u ul. Glavna br. 5.", "Kraj.", "Nova rečenica.", "I još jedna."]
+    assert p2_sentences.sentence_units(corpus(spark, []), spark.createDataFrame([], "sid string")).count() == 0
+
+
+def test_list_levels():
+    text = "Uslovi su:\n1. Prijava je uredna.\na) potpis\nb) pečat i\n   datum\n2. Rok nije istekao. Važi odmah.\nKraj liste."
+    assert [t.split("\n")[0] for t in begins(text)] == ["1. Prijava je uredna.", "a) potpis", "b) pečat i", "2. Rok nije istekao. Važi odmah.", "Važi odmah.", "Kraj liste."]
+    assert begins("• jedno\n• drugo. Treće") == ["• drugo. Treće", "Treće"]
+    assert begins("5. oktobra je sunčano. Kraj.") == ["Kraj."]
+
+
+def test_thai_phrases():
+    assert len(begins("นายกรัฐมนตรีเดินทางไปกรุงเทพ และพบกับรัฐมนตรีต่างประเทศ")) == 0
+    assert len(begins("นายกรัฐมนตรีเดินทางไปกรุงเทพ ฝนตกหนักในภาคเหนือวันนี้")) == 1
+
+
 # 4
 def test_sample(spark):
     rows = [(f"s{i}", "svet" if i % 4 else None, "vest" if i % 4 else "vest svet", " BLIC ") for i in range(200)] + [("q", "svet", "?", "blic")]
