@@ -2,15 +2,19 @@
 
 One-versus-rest linear classifiers on hashed word n-grams score the sentences of
 a document; an area counts if its share of the document's own sentences reaches a
-calibrated threshold. Labels are given by document and are few, partly wrong or
-incomplete, so they are weak labels of the sentences: a first fit takes a
-document's areas for each of its sentences, later fits give each sentence the one
-of them that it scores best on, or none. The slug of the page address joins the
-training text as a further sentence with the same weak label.
-
-Only the fit uses a sample: at most SAMPLE labelled documents, those with the
-smallest hash. Scoring covers every document and whole texts, in one pass
-without a shuffle.
+calibrated threshold. Three kinds of labels teach. Human labels are given by
+document and are few, partly wrong or incomplete, so they are weak labels of its
+sentences: a first fit takes a document's areas for each of its sentences, later
+fits give each sentence the one of them that it scores best on, or none. Documents
+without human labels get a weak one from the words of their address path, their
+title and their section (source and genre), where those point to one area with
+SURE posterior probability; they teach in the same way with less weight. The words
+of the address are a further sentence of every document that teaches.
+
+Thresholds are calibrated on human-labelled documents held out from the fit, one in
+HELD_OUT. Only the fit uses samples: at most SAMPLE documents with human labels and
+WEAK without, those with the smallest hash. Scoring covers every document and whole
+texts, in one pass without a shuffle.
 
 Defined cases: null, empty and blank texts have no row; a document without a
 sentence of any area has none; without usable labels there is no row at all.
@@ -27,11 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradja.llm.arrow import h64, read
-from gradja.llm.lines import url_slug
+from gradja.llm.lines import slug, url_slug
 from gradja.llm.textform import consistent, to_latin
 
-#: Bound of the labelled documents that the fit takes.
-SAMPLE = 4000
+#: Bounds of the documents that the fit takes: with human labels, and with labels from addresses and sections.
+SAMPLE, WEAK = 4000, 1500
+#: One labelled document in so many is held out from the fit for the thresholds.
+HELD_OUT = 4
+#: Posterior probability from which an address and section give a weak label, and the weight of its sentences.
+SURE, WEAK_WEIGHT = 0.9, 0.5
 #: Hashed n-gram features.
 FEATURES = 1 << 18
 ROUNDS, EPOCHS = 3, 40
@@ -165,12 +173,43 @@ def shares(w: np.ndarray, idx: np.ndarray, starts: np.ndarray, doc: np.ndarray,
     return out / n[:, None]
 
 
-def fit(rows: list[tuple], areas: list[str]) -> Model | None:
-    """Fit on labelled documents (doc_id, text, url, [areas]); None without any."""
+class Sections:
+    """What the words of addresses and titles, and sections, tell of the area: naive Bayes over the labelled documents, each feature once a document."""
+
+    def __init__(self, areas: list[str], labelled: list[tuple[set[str], list[str]]]):
+        self.areas, self.seen, self.counts = areas, {}, np.full(len(areas), 0.5)
+        index = {a: i for i, a in enumerate(areas)}
+        for features, given in labelled:
+            for a in given:
+                self.counts[index[a]] += 1 / len(given)
+                for f in features:
+                    self.seen.setdefault(f, np.zeros(len(areas)))[index[a]] += 1 / len(given)
+
+    def area(self, features: set[str]) -> str | None:
+        """The area that the features point to with SURE probability, at least two of them known from several documents; else None."""
+        known = [self.seen[f] for f in features if f in self.seen and self.seen[f].sum() >= 2]
+        if len(known) < 2:
+            return None
+        score = np.log(self.counts) + sum(np.log((n + 0.1 * self.counts / self.counts.sum()) / (self.counts + 0.1)) for n in known)
+        p = np.exp(score - score.max())
+        return self.areas[int(p.argmax())] if p.max() / p.sum() >= SURE else None
+
+
+def section_features(url: str | None, title: str | None, source: str | None, genre: str | None) -> set[str]:
+    """Words of the address path and the title, and the section; names of places and people hardly come again and so tell nothing."""
+    words = {w for w in url_slug(url).split("-") if len(w) > 2} | {w for w in slug(title or "").split("-") if len(w) > 2}
+    return words | {f"source {(source or '').strip().lower()}", f"genre {(genre or '').strip().lower()}"}
+
+
+def fit(rows: list[tuple], areas: list[str], unlabelled: list[tuple] = ()) -> Model | None:
+    """Fit on labelled documents (doc_id, text, url, [areas], section) and what sections tell of others (doc_id, text, url, section); None without labels."""
     index = {a: i for i, a in enumerate(areas)}
+    held = [h64(str(r[0])) % HELD_OUT == 0 for r in rows]
+    sections = Sections(areas, [(r[4], [a for a in r[3] if a in index]) for r, out in zip(rows, held) if not out])
+    weak = [(r[0], r[1], r[2], [a]) for r in unlabelled if (a := sections.area(r[3])) in index]
     f = Features()
     sents, doc, y0, slug_row = [], [], [], []
-    for i, (_, text, url, labels) in enumerate(rows):
+    for i, (_, text, url, labels) in enumerate([r[:4] for r in rows] + weak):
         y = np.zeros(len(areas), dtype=np.float32)
         y[[index[a] for a in labels if a in index]] = 1
         for s in sentences(consistent(text)):
@@ -185,14 +224,17 @@ def fit(rows: list[tuple], areas: list[str]) -> Model | None:
             doc.append(i)
             y0.append(y)
             slug_row.append(True)
-    if not sents:
+    doc, is_slug = np.array(doc, dtype=np.int64), np.array(slug_row, dtype=bool)
+    teaches = ~np.array(held + [False] * len(weak), dtype=bool)[doc] if len(doc) else np.zeros(0, dtype=bool)
+    if not teaches.any():
         return None
-    idx, starts = matrix(sents)
-    doc, given, is_slug = np.array(doc), np.array(y0), np.array(slug_row)
+    idx, starts = matrix([s for s, ok in zip(sents, teaches) if ok])
+    given = np.array(y0)[teaches]
+    trust = np.where(doc[teaches] >= len(rows), WEAK_WEIGHT, 1.0).astype(np.float32)
     several = given.sum(1)
     y, weight = given / np.maximum(several, 1)[:, None], np.where(several > 1, 0.3, 1.0).astype(np.float32)
     for r in range(ROUNDS):
-        w = fit_linear(idx, starts, y, weight)
+        w = fit_linear(idx, starts, y, weight * trust)
         if r + 1 == ROUNDS:
             break
         z = scores(w, idx, starts)
@@ -204,11 +246,12 @@ def fit(rows: list[tuple], areas: list[str]) -> Model | None:
         y[np.flatnonzero(sure), top[sure]] = 1
         # a sentence that clearly belongs to an area its document wasn't given doesn't teach; one of none teaches none
         weight = np.where((other > value + 1) & (other > 0.5), 0.0, 1.0).astype(np.float32)
-    real = ~is_slug
-    own = shares(w, *matrix([s for s, ok in zip(sents, real) if ok]), doc[real], len(rows))
-    truth = np.zeros((len(rows), len(areas)), dtype=bool)
+    judged = ~teaches & ~is_slug
+    own = shares(w, *matrix([s for s, ok in zip(sents, judged) if ok]), doc[judged], len(rows)) if judged.any() else np.zeros((len(rows), len(areas)))
+    own, truth = own[held], np.zeros((len(rows), len(areas)), dtype=bool)
     for i, r in enumerate(rows):
         truth[i, [index[a] for a in r[3] if a in index]] = True
+    truth = truth[held]
 
     def f1(t, c):
         got, want = own[:, c] >= t, truth[:, c]
@@ -221,13 +264,25 @@ def fit(rows: list[tuple], areas: list[str]) -> Model | None:
     return Model(areas, w, share)
 
 
-def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` labelled documents; nulls and labels outside the areas don't count."""
+_META = ("doc_id", "text", "url", "title", "source", "genre")
+
+
+def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE, weak: int = WEAK) -> Model | None:
+    """Fit on at most `sample` documents with human labels and `weak` without; nulls and labels outside the areas don't count."""
     areas = sorted(r.subject for r in subjects.filter("subject is not null").select("subject").distinct().collect())
+    if not areas:
+        return None
     given = labels.filter("doc_id is not null").select("doc_id", F.lower(F.trim("subject")).alias("subject")).filter(F.col("subject").isin(areas))
-    by_doc = given.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("areas")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = documents.filter("trim(text) <> ''").join(by_doc, "doc_id").select("doc_id", "text", "url", "areas").collect()
-    return fit(sorted((r.doc_id, r.text, r.url, list(r.areas)) for r in rows) if rows else [], areas) if areas else None
+    by_doc = given.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("areas"))  # at most all areas
+    chosen = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    full = documents.filter("trim(text) <> ''").select(*_META)
+    meta = lambda r: section_features(r.url, r.title, r.source, r.genre)
+    rows = full.join(chosen, "doc_id").collect()
+    others = full.join(by_doc, "doc_id", "left_anti").filter("url is not null or title is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(weak).collect()
+    if not rows:
+        return None
+    labelled = sorted(((r.doc_id, r.text, r.url, list(r.areas), meta(r)) for r in rows), key=lambda r: (r[0], r[1]))
+    return fit(labelled, areas, sorted(((r.doc_id, r.text, r.url, meta(r)) for r in others), key=lambda r: (r[0], r[1])))
 
 
 def subject_shares(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -259,7 +314,7 @@ def subject_shares(documents: DataFrame, model: Model | None) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents", "doc_id", "text", "url")
+    docs = read(spark, d, "documents", *_META)
     return subject_shares(docs, train(docs, read(spark, d, "subject_labels", "doc_id", "subject"), read(spark, d, "subjects", "subject")))
 
 

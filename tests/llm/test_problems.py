@@ -259,12 +259,12 @@ def test_subjects_on_held_out_documents(spark):
     docs, labels, truth = [], [], {}
     for i in range(240):
         areas = rng.sample(sorted(own), 1 if i % 3 else 2)
-        docs.append((i, " ".join(sentence(a) for a in areas for _ in range(3)), None))
+        docs.append((i, " ".join(sentence(a) for a in areas for _ in range(3)), f"https://x.example/{own[areas[0]][0]}-{own[areas[0]][1]}-{i}" if i % 2 else None, None, None, None))
         truth[i] = set(areas)
         if i < 160:
             labels += [(i, a) for a in areas]
-    docs += [(900, None, None), (901, "", None), (902, " ", None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, url string")
+    docs += [(n, t, None, None, None, None) for n, t in ((900, None), (901, ""), (902, " "))]
+    df = spark.createDataFrame(docs, "doc_id long, text string, url string, title string, source string, genre string")
     sub = spark.createDataFrame([(a,) for a in own] + [(None,)], "subject string")
     lab = spark.createDataFrame(labels + [(None, "sport"), (3, "ništa")], "doc_id long, subject string")
     got = {}
@@ -275,6 +275,15 @@ def test_subjects_on_held_out_documents(spark):
     assert p10_subjects.subject_shares(df, p10_subjects.train(df, lab.limit(0), sub)).count() == 0
 
 
+def test_sections_give_weak_labels():
+    labelled = [(p10_subjects.section_features(f"https://x.example/{w}-utakmica-liga-{i}", None, "s", None), [a]) for i, (w, a) in enumerate([("golman", "sport"), ("trener", "sport"), ("golman", "sport")] * 5)]
+    labelled += [(p10_subjects.section_features(f"https://x.example/sudija-presuda-{i}", None, "s", None), ["pravo"]) for i in range(12)]
+    m = p10_subjects.Sections(["pravo", "sport"], labelled)
+    assert m.area(p10_subjects.section_features(None, "Utakmica i liga", "s", None)) == "sport"
+    assert m.area(p10_subjects.section_features("https://x.example/presuda-sudija-7", None, "t", None)) == "pravo"
+    assert m.area(p10_subjects.section_features(None, None, None, None)) is None and m.area(set()) is None
+
+
 def test_plain():
     assert plain("ＤＡ") == "da" and plain(None) is None
 
