@@ -16,8 +16,8 @@ from gradja.llm.arrow import read
 #: The sample is one row in so many of those in the target cells.
 ONE_IN = 5
 SEED = 42
-#: Hash ranges by which the rows of one cell are ranked.
-RANGES = 256
+#: Rows of one cell in a range of their hash, about.
+RANGE = 4096
 
 
 def cells_of(corpus: DataFrame) -> DataFrame:
@@ -50,34 +50,61 @@ def counted(corpus: DataFrame, targets: DataFrame) -> DataFrame:
     return cells.crossJoin(F.broadcast(n)).withColumn("wanted", wanted)  # n is one row
 
 
-def quotas(cells: DataFrame) -> DataFrame:
-    """Integer quotas by largest remainder, with floors and caps: floor first, then the rest by share, leftovers by remainder.
+def allocate(n: int, cells: list[tuple[int, int, int]]) -> list[int]:
+    """Integer quotas of cells (share, floor, available) that sum to n, or to all there is, or to the floors if they ask for more.
 
-    The cells are those of the targets, some tens of rows, so one window over all is bounded.
+    Each cell gets its share of one common scale, but not under its floor nor over what
+    is available; what a cap takes away or a floor adds is made up by the cells that have
+    room, in proportion. Leftovers go by largest remainder, ties by order.
     """
-    every = Window.partitionBy(F.lit(1))
-    floor = F.least("min_rows", "available").cast("long")
-    ideal = F.least(F.greatest(floor, F.col("share_bp") * F.col("n") / F.lit(10000.0)), F.col("available").cast("double"))
-    q = cells.withColumn("ideal", ideal).withColumn("base", F.floor("ideal").cast("long")).withColumn("rest", F.col("ideal") - F.col("base"))
-    left = F.greatest(F.least(F.round(F.sum("ideal").over(every)).cast("long"), F.col("n")) - F.sum("base").over(every), F.lit(0))
-    rank = F.row_number().over(every.orderBy(F.desc("rest"), "topic", "genre", "source"))
-    return q.withColumn("quota", F.col("base") + ((rank <= left) & (F.col("base") < F.col("available"))).cast("long"))
+    caps = [max(a, 0) for _, _, a in cells]
+    floors = [min(max(f, 0), a) for (_, f, _), a in zip(cells, caps)]
+    n = min(max(n, sum(floors)), sum(caps))
+    at = lambda scale: [min(max(scale * s, f), c) for (s, _, _), f, c in zip(cells, floors, caps)]
+    low, high = 0.0, float(max(caps, default=0) + 1)  # a share is a whole number, so no scale needs to be larger
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(at(mid)) < n else (low, mid)
+    ideal = at(high)
+    quota = [min(int(x + 1e-9), c) for x, c in zip(ideal, caps)]
+    by_rest = sorted(range(len(cells)), key=lambda i: (-(ideal[i] - quota[i]), i))
+    while (left := n - sum(quota)) > 0:  # a second round only where shares are nought
+        room = [i for i in by_rest if quota[i] < caps[i]]
+        for i in room[:left]:
+            quota[i] += 1
+    return quota
+
+
+def quotas(cells: DataFrame) -> DataFrame:
+    """The cells with their quota, see :func:`allocate`; they are those of the targets, some tens of rows, and are read by the driver."""
+    rows = cells.orderBy("topic", "genre", "source").collect()
+    quota = allocate(rows[0].n if rows else 0, [(r.share_bp, r.min_rows, r.available) for r in rows])
+    schema = "topic string, genre string, source string, quota long"
+    table = cells.sparkSession.createDataFrame([(r.topic, r.genre, r.source, q) for r, q in zip(rows, quota)], schema)
+    return cells.join(F.broadcast(table), ["topic", "genre", "source"])
 
 
 def smallest_keys(cells: DataFrame, quota: DataFrame, key: Column) -> DataFrame:
     """Of each cell the rows with the smallest key, as many as its quota.
 
-    Two steps: rows per (cell, key range) are counted, which tells of each range
-    how many rows before it; only inside a range are rows ranked.
+    Rows are counted by (cell, key range) first, which tells of each range how many
+    rows are before it: ranges below the quota are taken whole, and only the one range of
+    a cell in which its quota ends is ranked. A cell has the more ranges the more rows it
+    has, about RANGE rows each.
     """
     by = ["topic", "genre", "source"]
-    rows = cells.withColumn("_key", key).withColumn("_range", F.shiftrightunsigned("_key", 64 - 8).cast("int"))
-    sizes = rows.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    wanted = quota.select(*by, "quota", F.greatest(F.lit(1), F.ceil(F.col("available") / RANGE)).cast("long").alias("_ranges"))
+    rows = cells.join(F.broadcast(wanted), by).withColumn("_key", key)
+    rows = rows.withColumn("_range", F.expr(f"cast(shiftrightunsigned(_key, {64 - 31}) * _ranges div {1 << 31} as long)"))
+    sizes = rows.groupBy(*by, "_range", "quota").agg(F.count("*").alias("_n"))
     ahead = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).join(F.broadcast(quota), by)
-    open_ranges = ranges.filter("_ahead < quota").select(*by, "_range", (F.col("quota") - F.col("_ahead")).alias("_take"))
-    ranked = Window.partitionBy(*by, "_range").orderBy("_key", "sentence_id")
-    return rows.join(F.broadcast(open_ranges), [*by, "_range"]).withColumn("_r", F.row_number().over(ranked)).filter("_r <= _take").drop("_key", "_range", "_take", "_r")
+    ranges = sizes.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
+    last = ranges.filter("_ahead < quota and _ahead + _n >= quota").select(*by, F.col("_range").alias("_last"), (F.col("quota") - F.col("_ahead")).alias("_take"))  # one a cell
+    rows = rows.join(F.broadcast(last), by, "left").filter("quota > 0 and (_last is null or _range <= _last)")
+    whole = rows.filter("_last is null or _range < _last")
+    ranked = Window.partitionBy(*by).orderBy("_key", "sentence_id")
+    rest = rows.filter("_range = _last").withColumn("_r", F.row_number().over(ranked)).filter("_r <= _take").drop("_r")
+    return whole.unionByName(rest).select(*cells.columns)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +121,7 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
     """The sample itself: sentence_id and its cell."""
     corpus = read(spark, d, "corpus", "sentence_id", "topic", "genre", "source")
-    quota = quotas(counted(corpus, read(spark, d, "sample_targets", "topic", "genre", "source", "share_bp", "min_rows"))).select("topic", "genre", "source", "quota")
+    quota = quotas(counted(corpus, read(spark, d, "sample_targets", "topic", "genre", "source", "share_bp", "min_rows")))
     return smallest_keys(cells_of(corpus), quota, F.xxhash64(F.lit(SEED), F.col("sentence_id")))
 
 

@@ -3,7 +3,9 @@
 Connected components over the links by alternating large-star and small-star,
 each round a partial aggregation and a join on the node, with the edges cut
 loose from their lineage by checkpoint(). The smallest key of a component, hashed,
-falls into one of the proportional split ranges.
+falls into one of the split ranges. Components of like size and like share of
+labels form a stratum with ranges of its own, proportional in rows, so that the
+splits have similar shares of each label.
 """
 
 from __future__ import annotations
@@ -70,25 +72,51 @@ def article_groups(corpus: DataFrame, links: DataFrame) -> DataFrame:
     return tied.join(groups, "root").select(F.col("node").alias("article_key"), "group_key")
 
 
-def split_of(group: Column, shares: list[tuple[str, int]]) -> Column:
-    """The split into whose range of ten thousand the hash of a group falls."""
-    spot = F.pmod(F.xxhash64(F.lit("split"), group), F.lit(sum(s for _, s in shares) or 1))
-    out, upto = None, 0
+#: Ranges of the hash into which the components of one stratum are counted.
+RANGES = 1024
+
+
+def strata(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """(group_key, n, stratum) of every component: rows, and what its size and label shares are like.
+
+    groups: (article_key, group_key); rows: (article_key, label), each row once. A
+    stratum is the power of two of the rows and the quarter of SUBJ among the labelled.
+    """
+    of_article = rows.groupBy("article_key").agg(F.count("*").alias("n"), F.sum((F.col("label") == "SUBJ").cast("long")).alias("subj"), F.sum(F.col("label").isin("SUBJ", "OBJ").cast("long")).alias("labelled"))
+    sums = of_article.join(groups, "article_key").groupBy("group_key").agg(*(F.sum(c).alias(c) for c in ("n", "subj", "labelled")))
+    share = F.when(F.coalesce("labelled", F.lit(0)) > 0, F.floor(F.col("subj") * 4 / F.col("labelled"))).otherwise(-1)
+    return sums.select("group_key", "n", F.concat_ws("/", F.floor(F.log2("n")), share).alias("stratum"))
+
+
+def split_ranges(groups: DataFrame, shares: list[tuple[str, int]]) -> DataFrame:
+    """(stratum, spot, split): to which split each hash range of each stratum goes, so that the rows of the stratum are split in proportion; at most RANGES rows a stratum."""
+    spots = groups.groupBy("stratum", _spot()).agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("stratum").orderBy("spot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = (F.sum("n").over(upto) - F.col("n") / 2) / F.sum("n").over(Window.partitionBy("stratum")) * (sum(s for _, s in shares) or 1)
+    out, to = None, 0
     for name, share in shares:
-        upto += share
-        out = F.when(spot < upto, name) if out is None else out.when(spot < upto, name)
-    return out if out is not None else F.lit(None).cast("string")
+        to += share
+        out = F.when(middle < to, name) if out is None else out.when(middle < to, name)
+    return spots.select("stratum", "spot", (out if out is not None else F.lit(None).cast("string")).alias("split"))
+
+
+def _spot() -> Column:
+    return F.pmod(F.xxhash64(F.lit("split"), "group_key"), F.lit(RANGES)).alias("spot")
 
 
 def assign(corpus: DataFrame, links: DataFrame, shares: DataFrame) -> DataFrame:
     """(article_key, group_key, split) of every article of corpus; an untied article is its own group.
 
-    shares is a fixed table of a few splits and is read by the driver.
+    shares is a fixed table of a few splits and is read by the driver. Labels regardless
+    of case and outer spaces; rows delivered again count once, other labels not at all.
     """
     named = [(r.split, r.share_bp) for r in shares.filter("split is not null and share_bp > 0").orderBy("split").collect()]
-    keys = corpus.filter("sentence_id is not null").select(article_key().alias("article_key")).distinct()
-    groups = keys.join(article_groups(corpus, links), "article_key", "left").withColumn("group_key", F.coalesce("group_key", "article_key"))
-    return groups.withColumn("split", split_of(F.col("group_key"), named))
+    rows = corpus.filter("sentence_id is not null").groupBy("sentence_id").agg(F.max(F.upper(F.trim("label"))).alias("label")).select(article_key().alias("article_key"), "label")
+    keys = rows.select("article_key").distinct()
+    groups = keys.join(article_groups(corpus, links), "article_key", "left").withColumn("group_key", F.coalesce("group_key", "article_key")).persist()
+    placed = strata(groups, rows).persist()
+    split = placed.select("group_key", "stratum", _spot()).join(split_ranges(placed, named), ["stratum", "spot"]).select("group_key", "split")
+    return groups.join(split, "group_key").select("article_key", "group_key", "split")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +125,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_splits(spark: SparkSession, d: str) -> DataFrame:
     """The split of every article of corpus."""
-    return assign(read(spark, d, "corpus", "sentence_id"), read(spark, d, "article_links", "article_a", "article_b"), read(spark, d, "split_shares", "split", "share_bp"))
+    return assign(read(spark, d, "corpus", "sentence_id", "label"), read(spark, d, "article_links", "article_a", "article_b"), read(spark, d, "split_shares", "split", "share_bp"))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:

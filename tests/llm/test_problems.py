@@ -136,13 +136,32 @@ def test_sample(spark):
     df = spark.createDataFrame(rows + rows[:50], "sentence_id string, topic string, genre string, source string")
     t = spark.createDataFrame([("svet", "vest", "blic", 9000, 5), ("sport", "vest", "blic", 1000, 7)], "topic string, genre string, source string, share_bp int, min_rows int")
     c = {r.topic: r for r in p4_sample.quotas(p4_sample.counted(df, t)).collect()}
-    assert (c["svet"].available, c["svet"].n, c["svet"].wanted, c["svet"].quota) == (200, 40, 36, 36)
+    assert (c["svet"].available, c["svet"].n, c["svet"].wanted, c["svet"].quota) == (200, 40, 36, 40)  # what sport lacks is made up
     assert (c["sport"].available, c["sport"].wanted, c["sport"].quota) == (0, 7, 0)
-    got = p4_sample.smallest_keys(p4_sample.cells_of(df), p4_sample.quotas(p4_sample.counted(df, t)).select("topic", "genre", "source", "quota"), F.xxhash64("sentence_id"))
-    assert got.count() == got.select("sentence_id").distinct().count() == 36
+    got = p4_sample.smallest_keys(p4_sample.cells_of(df), p4_sample.quotas(p4_sample.counted(df, t)), F.xxhash64("sentence_id"))
+    assert got.count() == got.select("sentence_id").distinct().count() == 40
     assert p4_sample.counted(df.limit(0), t).filter("available = 0").count() == 2
 
 
+def test_quotas_make_up_what_caps_and_floors_take():
+    a = p4_sample.allocate
+    assert a(10, [(5, 0, 100), (3, 0, 100), (2, 0, 100)]) == [5, 3, 2]
+    assert a(10, [(5, 0, 1), (3, 0, 100), (2, 0, 100)]) == [1, 5, 4]  # 9 by 3 to 2: 5.4 and 3.6
+    assert a(10, [(8, 0, 100), (1, 4, 100), (1, 0, 100)]) == [5, 4, 1]  # 6 by 8 to 1: 5.33 and 0.67
+    assert a(3, [(1, 2, 9), (1, 2, 9)]) == [2, 2] and a(50, [(1, 0, 3), (1, 0, 4)]) == [3, 4]
+    assert a(4, [(0, 0, 9), (0, 0, 9)]) == [2, 2] and a(5, []) == [] and a(7, [(1, 0, 9)] * 3) == [3, 2, 2]
+
+
+def test_smallest_keys_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(p4_sample, "RANGE", 10)
+    cells = spark.range(2000).select(F.col("id").cast("string").alias("sentence_id"), F.lit("a").alias("topic"), F.lit("b").alias("genre"), F.lit("c").alias("source"))
+    for q in (0, 1, 700, 2000, 3000):
+        quota = spark.createDataFrame([("a", "b", "c", q, 2000)], "topic string, genre string, source string, quota long, available long")
+        got = {r.sentence_id for r in p4_sample.smallest_keys(cells, quota, F.xxhash64("sentence_id")).collect()}
+        key = F.expr("cast(case when xxhash64(sentence_id) < 0 then 1 else 0 end as int)"), F.xxhash64("sentence_id")  # by the bits, unsigned
+        assert got == {r.sentence_id for r in cells.orderBy(*key).limit(q).collect()}
+
+
 # 5
 def test_near_pairs_against_brute_force(spark):
     rng, rows, names = random.Random(3), [], [f"ime{i}" for i in range(3000)]
@@ -188,7 +207,7 @@ def test_components_against_union_find(spark):
 def test_article_names(spark):
     links = [(" BLI-12\t", "https://www.danas.example/a/b-77/?x=1"), ("bli-12", "bli-12"), (None, "dan-1"), ("bli-12", "vre-404"), ("pol-1", "vre-404"), ("nešto", "dan-77")]
     df = spark.createDataFrame(links, "article_a string, article_b string")
-    c = spark.createDataFrame([("bli-12-001",), ("dan-77-001",), ("pol-1-001",), ("rts-5-001",), (None,)], "sentence_id string")
+    c = spark.createDataFrame([(x, None) for x in ("bli-12-001", "dan-77-001", "pol-1-001", "rts-5-001", None)], "sentence_id string, label string")
     got = {tuple(r) for r in p6_splits.article_groups(c, df).collect()}
     assert got == {("bli-12", "bli-12"), ("dan-77", "bli-12"), ("pol-1", "bli-12")}
     shares = spark.createDataFrame([("train", 8000), ("test", 2000)], "split string, share_bp int")
@@ -196,6 +215,20 @@ def test_article_names(spark):
     assert len({split[k] for k in ("bli-12", "dan-77", "pol-1")}) == 1 and set(split.values()) <= {"train", "test"}
 
 
+def test_splits_have_like_label_shares(spark):
+    rows = [(f"xxx-{a}-{i}", "subj " if a % 3 == 0 else "OBJ" if a % 3 == 1 else None) for a in range(600) for i in range(4)]
+    c = spark.createDataFrame(rows + rows[:9], "sentence_id string, label string")
+    links = spark.createDataFrame([(f"xxx-{a}", f"xxx-{a + 1}") for a in range(0, 60, 2)], "article_a string, article_b string")
+    shares = spark.createDataFrame([("train", 8000), ("test", 1000), ("validation", 1000)], "split string, share_bp int")
+    got = {r.article_key: r.split for r in p6_splits.assign(c, links, shares).collect()}
+    assert len(got) == 600 and all(got[f"xxx-{a}"] == got[f"xxx-{a + 1}"] for a in range(0, 60, 2))
+    for split, share in (("train", 0.8), ("test", 0.1), ("validation", 0.1)):
+        for kind in range(3):
+            n = sum(s == split and int(k[4:]) % 3 == kind for k, s in got.items())
+            assert abs(n / 200 - share) < 0.05
+    assert p6_splits.assign(c.limit(0), links, shares).count() == 0
+
+
 # 8
 def test_tokens_against_the_library(spark):
     tiktoken = pytest.importorskip("tiktoken")
