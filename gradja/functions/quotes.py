@@ -9,28 +9,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OPEN, _CLOSE = "„«‚", "“”»’"
-_QUOTE = re.compile("[„«‚“”»’\"\n]|''")
+# Marks that open, close and switch a quotation; two apostrophes switch too.
+OPENING, CLOSING, SWITCHING = "„«", "“”ˮ»", '"'
+_QUOTE = re.compile("[„«“”ˮ»\"\n]|''")
 
 
 def depths(text: str) -> list[int]:
     """Depth before each character; a line break sets it to 0, straight quotes switch between 0 and 1."""
     out, at, depth = [], 0, 0
     for m in _QUOTE.finditer(text):
-        out += [depth] * (m.end() - at)
-        at = m.end()
         c = m.group()
+        out += [depth] * (m.start() + 1 - at)
         if c == "\n":
             depth = 0
-        elif c in ('"', "''"):
-            depth = 0 if depth else 1
-        elif c in _OPEN:
+        elif c in OPENING:
             depth += 1
-        else:
+        elif c in CLOSING:
             depth = max(0, depth - 1)
+        else:
+            depth = 0 if depth else 1
+        out += [depth] * (len(c) - 1)  # the second apostrophe
+        at = m.end()
     return out + [depth] * (len(text) - at)
 
 
+def shown(sentence: str | None, flag: str) -> str | None:
+    """A sentence inside a quotation between „ and “, without what its own marks already show; others stay as they are."""
+    t = (sentence or "").rstrip()
+    if flag != "Y" or not t or t[0] in OPENING:
+        return sentence
+    return "„" + t + ("" if t[-1] in CLOSING + SWITCHING else "“")
+
+
 def mark(sentences: list[str], article: str) -> list[str]:
     """Of each sentence, in order: 'Y' inside a quotation, '' outside, '?' if it can't be found.
 
@@ -50,26 +60,27 @@ def mark(sentences: list[str], article: str) -> list[str]:
     return out
 
 
-def mark_quotes(df: DataFrame, article: str, idx: str, sentence: str, text: str, key: str) -> DataFrame:
-    """(key, in_quote, text_marked) of every sentence; text is the article's text, on its rows.
+def mark_quotes(df: DataFrame, article: str, idx: str, sentence: str, text: str | None, key: str) -> DataFrame:
+    """(key, in_quote, text_marked) of every sentence; text is the article's text on its rows, None if it is its sentences with spaces between.
 
     Articles are sorted inside partitions and handled one after the other; one is held at a time.
     """
-    cols = [key, article, idx, sentence, text]
+    cols = [key, article, idx, sentence] + ([text] if text else [])
     kind = df.schema[key].dataType.simpleString()
-    placed = df.select(*cols).repartition(article).sortWithinPartitions(article, idx, key)
+    placed = df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(cols))).repartition("_1").sortWithinPartitions("_1", "_2", "_0")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list = []
 
         def done(rows: list) -> pd.DataFrame:
-            flags = mark([r[3] or "" for r in rows], rows[0][4] or "") if rows else []
-            shown = [("„" + (r[3] or "") + ("" if (r[3] or "").rstrip()[-1:] in ("“", "”", '"') else "“")) if f == "Y" else r[3] for r, f in zip(rows, flags)]
-            return pd.DataFrame({key: [r[0] for r in rows], "in_quote": flags, "text_marked": shown})
+            sents = [r[3] or "" for r in rows]
+            whole = ((rows[0][4] or "") if text else " ".join(sents)) if rows else ""
+            flags = mark(sents, whole)
+            return pd.DataFrame({key: [r[0] for r in rows], "in_quote": flags, "text_marked": [shown(r[3], f) for r, f in zip(rows, flags)]})
 
         for pdf in it:
             ready = []
-            for r in pdf.itertuples(index=False):
+            for r in pdf.itertuples(index=False, name=None):
                 if held and r[1] != held[0][1]:
                     ready.append(done(held))
                     held = []

@@ -8,10 +8,18 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that link sentences; the pattern holds them between non-letters, as written in both dialects.
-CONNECTORS = ("međutim", "dakle", "ipak", "naime", "zapravo", "inače", "pak")
-# Abbreviations whose full stop ends no sentence.
-ABBREVIATIONS = ("dr", "mr", "prof", "npr", "tzv", "odn", "br", "ul", "itd", "god", "str", "tj")
+# Discourse connectors.
+CONNECTORS = ("naravno", "dakle", "uostalom", "naime", "zapravo", "inače")
+# Abbreviations whose full stop ends no sentence, whatever their case.
+ABBREVIATIONS = (
+    "г", "гг", "др", "мр", "проф", "ул", "бр", "стр", "тзв", "нпр", "итд", "тј", "год", "в", "св", "ум", "н", "мин", "макс", "тел",
+    "g", "gg", "dr", "mr", "prof", "ul", "br", "str", "tzv", "npr", "itd", "tj", "god", "v", "sv", "min", "maks", "tel",
+)
+# What marks a sentence as page furniture, a date line, an embedded widget, and the frame of a site.
+BOILERPLATE = r"foto\s*:|izvor\s*:|autor\s*:|video\s*:|bonus video|pratite nas|pro[cč]itajte (jo[sš]|i)|vezane vesti|podeli|tagovi|copyright|sva prava zadr|rts|извор\s*:|фото\s*:|аутор\s*:|видео\s*:|прочитајте|подели"
+DATELINE = r"^\s*(pon|uto|sre|[cč]et|pet|sub|ned|понедељак|уторак|среда|четвртак|петак|субота|недеља).*[0-9]{1,2}[.:][0-9]{2}"
+EMBED = r"A post shared by|View this post|Pogledajte ovu objavu|Sledeći video|Prati nas na|Podeli ovu vest"
+CHROME = r"Vidi sve|Podržite nas|Pravo novinarstvo košta|odaberite pretplatu|njuzleter|Međuvreme stiže|pretplat|popust na|digitalno izdanje|Arhiva nedeljnika|PDF format|odražavaju stavove autora|^Izvor:|^\*|^Foto|^FOTO"
 # Cyrillic letters that have one Latin letter, and those that have two.
 ONE_LETTER = ("абвгдђежзијклмнопрстћуфхцчшАБВГДЂЕЖЗИЈКЛМНОПРСТЋУФХЦЧШ", "abvgdđežzijklmnoprstćufhcčšABVGDĐEŽZIJKLMNOPRSTĆUFHCČŠ")
 TWO_LETTERS = {"љ": "lj", "њ": "nj", "џ": "dž", "Љ": "Lj", "Њ": "Nj", "Џ": "Dž"}
@@ -52,19 +60,25 @@ def cyrillic_to_latin(text: str) -> Column:
     return reduce(lambda c, kv: F.replace(c, F.lit(kv[0]), F.lit(kv[1])), TWO_LETTERS.items(), start)
 
 
-_MARK = ""
+#: Where a sentence ends: after an end mark that is no abbreviation's full stop, closing marks and white space being cut away.
+SENTENCE_END = r"(?<=[.!?…])(?<!(?<![\p{L}\p{N}_])(?iu:" + "|".join(ABBREVIATIONS) + r")\.)[\"»”')\]]*\s+"
 
 
 def split_sentences(text: str) -> Column:
-    """Sentences of a text: white space folded, full stops of abbreviations and decimals protected, cut after end marks.
+    """Sentences of a text, white space folded; pieces of one character are none."""
+    folded = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
+    return F.filter(F.transform(F.split(folded, SENTENCE_END), lambda x: F.trim(x)), lambda x: F.length(x) > 1)
 
-    Closing quotes and brackets right after an end mark are consumed by the cut.
-    """
-    s = F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
-    s = F.regexp_replace(s, r"(^|[^\p{L}])(" + "|".join(ABBREVIATIONS) + r")\.", "$1$2" + _MARK)
-    s = F.regexp_replace(s, r"([0-9])\.([0-9])", "$1" + _MARK + "$2")
-    s = F.regexp_replace(s, r"([.!?…])[\"»”')\]]* ", "$1")
-    return F.filter(F.transform(F.split(s, ""), lambda x: F.trim(F.replace(x, F.lit(_MARK), F.lit(".")))), lambda x: x != "")
+
+def matches_any(text, pattern: str) -> Column:
+    """Whether a pattern stands anywhere in the text, in any case."""
+    return (F.col(text) if isinstance(text, str) else text).rlike("(?iu)" + pattern)
+
+
+def is_clean(text) -> Column:
+    """A sentence that is neither furniture nor a date line and has four words and a letter at least."""
+    t = F.col(text) if isinstance(text, str) else text
+    return ~matches_any(t, BOILERPLATE) & ~matches_any(t, DATELINE) & (token_count(t) >= 4) & t.rlike("[A-Za-zА-Яа-яЂ-џ]")
 
 
 def token_count(text) -> Column:
@@ -72,18 +86,17 @@ def token_count(text) -> Column:
     return F.size(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""))
 
 
-def is_fragment(text: str) -> Column:
-    """Empty, begins with closing punctuation, begins in lower case behind openers, or under half letters."""
-    t = F.trim(text)
+def is_fragment(text) -> Column:
+    """Empty, begins with a bracket or separator, begins in lower case behind openers, or has letters in under half its length."""
+    t = F.regexp_replace(text, r"^[\s\p{Z}]+", "")
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    first = F.regexp_extract(t, r"^[„“\"'(\[–—\s-]*(.)", 1)
-    return (t == "") | t.rlike(r"^[(),;:]") | first.rlike(r"^\p{Ll}") | (letters * 2 < F.length(t))
+    return (t == "") | t.rlike(r"^[(),;:]") | t.rlike("^[„«\"'“” –—-]*\\p{Ll}") | (letters * 2 < F.length(t))
 
 
-def keeps(text: str) -> Column:
+def keeps(text) -> Column:
     """5 to 50 tokens and an end mark or a closing quote or bracket at the end."""
     n = token_count(text)
-    return (n >= 5) & (n <= 50) & F.rtrim(text).rlike(r"[.?!\"”’)]$")
+    return (n >= 5) & (n <= 50) & (F.col(text) if isinstance(text, str) else text).rlike(r"[.?!\"”’)]$")
 
 
 def is_attribution(text: str) -> Column:
@@ -101,9 +114,10 @@ def word_tokens(text) -> Column:
 
 
 def marked(text: str, quoted: Column) -> Column:
-    """A quoted sentence between „ and “, unless it closes its quotation itself."""
-    closed = F.rtrim(text).rlike(r"[“”\"]$")
-    return F.when(quoted, F.concat(F.lit("„"), F.col(text), F.when(closed, F.lit("")).otherwise(F.lit("“")))).otherwise(F.col(text))
+    """A quoted sentence between „ and “, without what its own marks already show; it opens or closes a quotation itself if it begins or ends with such a mark."""
+    t = F.regexp_replace(text, r"[\s\p{Z}]+$", "")
+    closed = t.rlike("[“”ˮ»\"]$")
+    return F.when(quoted & (t != "") & ~t.rlike("^[„«]"), F.concat(F.lit("„"), t, F.when(closed, F.lit("")).otherwise(F.lit("“")))).otherwise(F.col(text))
 
 
 def prompt(task: str, examples: list[tuple[str, str]], rows: Column) -> Column:

@@ -185,5 +185,4 @@ def q_quotes(spark, d):
     from gradja.functions.quotes import mark_quotes
 
     s = sentences(spark, d, "art", "text").filter("text is not null")
-    whole = s.groupBy("art").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sentence_id", "text"))), lambda x: x["text"]), " ").alias("article"))
-    return mark_quotes(s.join(whole, "art"), "art", "sentence_id", "text", "article", "sentence_id").select("sentence_id", "in_quote", "text_marked")
+    return mark_quotes(s, "art", "sentence_id", "text", None, "sentence_id").select("sentence_id", "in_quote", "text_marked")

@@ -79,7 +79,7 @@ def q_coalesce_text(spark, d):
 @query(
     "q_predicates",
     f"""{WITH} select sentence_id, coalesce(in_quote, '') = 'Y' as quoted, ends_with(rtrim(text), '?') as question,
-    regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(međutim|dakle|ipak|naime|zapravo|inače|pak)($|[^\\p{{L}}\\p{{N}}_])') as connector from s""",
+    regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(naravno|dakle|uostalom|naime|zapravo|inače)($|[^\\p{{L}}\\p{{N}}_])') as connector from s""",
 )
 def q_predicates(spark, d):
     from gradja.functions.text import has_connector, is_question

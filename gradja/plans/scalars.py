@@ -21,44 +21,66 @@ def q_norm(spark, d):
     return sentences(spark, d, "text").filter("text is not null").select("sentence_id", X.norm_expr("text").alias("norm"))
 
 
-_ABBR = "|".join(X.ABBREVIATIONS)
 _P = chr(0xE000)
 _B = chr(0xE001)
+_STOPPED = f"'(?i)(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(X.ABBREVIATIONS)})\\.', '\\1\\2{_P}', 'g'"
+#: Sentences as the queries below take them, in SQL: full stops of abbreviations are held back, twice since neighbours share a space.
+_SPLIT = f"""t as (select sentence_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) as x from s where text is not null),
+    u as (select sentence_id, regexp_replace(regexp_replace(regexp_replace(x, {_STOPPED}), {_STOPPED}), '([.!?…])["»”'')\\]]* +', '\\1{_B}', 'g') as x from t),
+    v as (select sentence_id, list_filter(list_transform(string_split(x, '{_B}'), lambda y: trim(replace(y, '{_P}', '.'))), lambda y: length(y) > 1) as parts from u)"""
 
 
-@query(
-    "q_split",
-    f"""{WITH}, t as (select sentence_id, trim(regexp_replace(text, '[\\s\\p{{Z}}]+', ' ', 'g')) as x from s where text is not null),
-    u as (select sentence_id, regexp_replace(regexp_replace(regexp_replace(x, '(^|[^\\p{{L}}])({_ABBR})\\.', '\\1\\2{_P}', 'g'), '([0-9])\\.([0-9])', '\\1{_P}\\2', 'g'), '([.!?…])["»”'')\\]]* ', '\\1{_B}', 'g') as x from t),
-    v as (select sentence_id, list_filter(list_transform(string_split(x, '{_B}'), lambda y: trim(replace(y, '{_P}', '.'))), lambda y: y <> '') as parts from u)
-    select sentence_id, unnest(parts) as sentence, generate_subscripts(parts, 1) - 1 as pos from v""",
-)
+@query("q_split", f"{WITH}, {_SPLIT} select sentence_id, unnest(parts) as sentence, generate_subscripts(parts, 1) - 1 as pos from v")
 def q_split(spark, d):
     s = sentences(spark, d, "text").filter("text is not null")
     return s.select("sentence_id", F.posexplode(X.split_sentences("text")).alias("pos", "sentence"))
 
 
-_LET = "length(regexp_replace(trim(text), '[^\\p{L}]', '', 'g'))"
+_LEAD = "regexp_replace(x, '^[\\s\\p{Z}]+', '')"
+_FRAG = f"({_LEAD} = '' or regexp_matches({_LEAD}, '^[(),;:]') or regexp_matches({_LEAD}, '^[„«\"''“” –—-]*\\p{{Ll}}') or length(regexp_replace({_LEAD}, '[^\\p{{L}}]', '', 'g')) * 2 < length({_LEAD}))"
 
 
-@query("q_fragment", f"{WITH} select sentence_id, trim(text) = '' or regexp_matches(trim(text), '^[(),;:]') or regexp_matches(regexp_extract(trim(text), '^[„“\"''(\\[–—\\s-]*(.)', 1), '^\\p{{Ll}}') or {_LET} * 2 < length(trim(text)) as fragment from s where text is not null and not contains(text, chr(10))")
+@query("q_fragment", f"{WITH} select sentence_id, {_FRAG.replace('(x,', '(text,')} as fragment from s where text is not null")
 def q_fragment(spark, d):
-    s = sentences(spark, d, "text").filter("text is not null and not contains(text, '\\n')")
-    return s.select("sentence_id", X.is_fragment("text").alias("fragment"))
+    return sentences(spark, d, "text").filter("text is not null").select("sentence_id", X.is_fragment("text").alias("fragment"))
 
 
 _TOK = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))"
 
 
-@query("q_keep_rule", f"{WITH} select sentence_id, {_TOK} between 5 and 50 and regexp_matches(rtrim(text), '[.?!\"”’)]$') as kept from s where text is not null")
+@query("q_keep_rule", f"{WITH} select sentence_id, {_TOK} between 5 and 50 and regexp_matches(text, '[.?!\"”’)]$') as kept from s where text is not null")
 def q_keep_rule(spark, d):
     return sentences(spark, d, "text").filter("text is not null").select("sentence_id", X.keeps("text").alias("kept"))
 
 
-@query("q_clean", f"{WITH} select source, count(*) as n from s where {_TOK} >= 4 and regexp_matches(text, '\\p{{L}}') and not regexp_matches(lower(text), '(podelite|pratite nas|prijavite se|© )') group by source")
+_SENT = "len(list_filter(regexp_split_to_array(trim(sentence), '\\s+'), lambda x: x <> ''))"
+
+
+@query(
+    "q_clean",
+    f"{WITH}, {_SPLIT}, w as (select sentence_id, unnest(parts) as sentence, generate_subscripts(parts, 1) - 1 as pos from v) select sentence_id, pos, sentence from w "
+    f"where not regexp_matches(sentence, '(?i){X.BOILERPLATE}') and not regexp_matches(sentence, '(?i){X.DATELINE}') and {_SENT} >= 4 and regexp_matches(sentence, '[A-Za-zА-Яа-яЂ-џ]')",
+)
 def q_clean(spark, d):
-    s = sentences(spark, d, "source", "text").filter(X.token_count("text") >= 4).filter(F.col("text").rlike(r"\p{L}"))
-    return s.filter(~F.lower("text").rlike("(podelite|pratite nas|prijavite se|© )")).groupBy("source").agg(F.count("*").alias("n"))
+    s = sentences(spark, d, "text").filter("text is not null").select("sentence_id", F.posexplode(X.split_sentences("text")).alias("pos", "sentence"))
+    return s.filter(X.is_clean("sentence"))
+
+
+_ORPHAN = "case when regexp_matches(x, '^\\s*[„“\"] ') then rtrim(ltrim(x, '„“”\"'' ')) else x end"
+
+
+@query(
+    "q_clean_articles",
+    f"""{WITH}, r as (select sentence_id, art, text as x, row_number() over (partition by art order by sentence_id) - 1 as i, count(*) over (partition by art) as n from s where text is not null),
+    b as (select x from r where length(x) >= 30 group by x having count(distinct art) >= 3), f as (select r.*, b.x is not null or regexp_matches(r.x, '(?i){X.CHROME}') as furniture from r left join b on b.x = r.x),
+    c as (select art, min(i) filter (furniture and i >= n // 2) as cut from f group by art), k as (select sentence_id, {_ORPHAN} as x from f join c using (art) where not furniture and (cut is null or i < cut))
+    select sentence_id, x as text from k where not regexp_matches(x, '(?i){X.CHROME}') and not regexp_matches(x, '(?i){X.EMBED}') and not {_FRAG}
+    and len(list_filter(regexp_split_to_array(trim(x), '\\s+'), lambda y: y <> '')) between 5 and 50 and regexp_matches(x, '[.?!"”’)]$')""",
+)
+def q_clean_articles(spark, d):
+    from gradja.operators.cleaning import clean_articles
+
+    return clean_articles(sentences(spark, d, "art", "text").filter("text is not null"), "art", "sentence_id", "text").select("sentence_id", "text")
 
 
 _BARE = "regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')"
@@ -147,7 +169,10 @@ def q_prompt(spark, d):
     return s.select("art", X.prompt("Oznaci.", [("Dan.", "OBJ")], F.col("l")).alias("prompt"))
 
 
-@query("q_mark", f"{WITH} select sentence_id, case when coalesce(in_quote, '') = 'Y' then '„' || text || case when regexp_matches(rtrim(text), '[“”\"]$') then '' else '“' end else text end as text from s")
+_TAIL = "regexp_replace(text, '[\\s\\p{Z}]+$', '')"
+
+
+@query("q_mark", f"{WITH} select sentence_id, case when coalesce(in_quote, '') = 'Y' and {_TAIL} <> '' and left({_TAIL}, 1) not in ('„', '«') then '„' || {_TAIL} || case when right({_TAIL}, 1) in ('“', '”', 'ˮ', '»', '\"') then '' else '“' end else text end as text from s")
 def q_mark(spark, d):
     s = sentences(spark, d, "text", "in_quote")
     return s.select("sentence_id", X.marked("text", F.coalesce("in_quote", F.lit("")) == "Y").alias("text"))

@@ -32,9 +32,38 @@ def test_macro_f1_golden(spark):
 def test_quote_depth():
     assert quotes.depths('a „b „c“ d“ e') == [0, 0, 0, 1, 1, 1, 2, 2, 1, 1, 1, 0, 0]
     assert quotes.depths('„a\nb')[-1] == 0
+    assert quotes.depths("a''b''c") == [0, 0, 1, 1, 1, 0, 0] and quotes.depths("'a’ ‚b‘")[-1] == 0  # apostrophes are no quotation marks
+    assert quotes.depths("«a» ˮb") == [0, 1, 1, 0, 0, 0]
+    assert [quotes.shown(t, "Y") for t in ("Da. ", "„Da.", "«Da.", "Da.»", 'Da."', "", None)] == ["„Da.“", "„Da.", "«Da.", "„Da.»", '„Da."', "", None]
+    assert quotes.shown("Da. ", "") == "Da. "
     assert quotes.mark(["Prva.", "Druga.", "Nema"], "„Prva. Druga.“ Kraj") == ["Y", "Y", "?"]
 
 
+def test_quotes_of_articles(spark):
+    rows = [("a", 1, "Rekao je: „Prva."), ("a", 2, "Druga."), ("a", 3, "Treća“ i otišao."), ("b", 1, "Sama."), ("b", 2, None)]
+    df = spark.createDataFrame([(f"{g}{i}", g, i, t) for g, i, t in rows], "id string, g string, i int, t string")
+    got = {r.id: (r.in_quote, r.text_marked) for r in quotes.mark_quotes(df, "g", "i", "t", None, "id").collect()}
+    assert got == {"a1": ("", "Rekao je: „Prva."), "a2": ("Y", "„Druga.“"), "a3": ("Y", "„Treća“ i otišao.“"), "b1": ("", "Sama."), "b2": ("?", None)}
+
+
+def test_sentence_rules(spark):
+    t = "Dr. Ana i PROF. Petar rade od 3.5 sati. Kraj!\") Nova g.g. stvar… A. Da"
+    df = spark.createDataFrame([(t,)], "x string")
+    assert df.select(text.split_sentences("x")).first()[0] == ["Dr. Ana i PROF. Petar rade od 3.5 sati.", "Kraj!", "Nova g.g. stvar…", "A.", "Da"]
+    frag = spark.createDataFrame([(x,) for x in ["", " (da)", "«malo", "”Veliko pravo", "12.5 + 3", "Prvo\ndrugo", "– nije"]], "x string")
+    assert [r[0] for r in frag.select(text.is_fragment("x")).collect()] == [True, True, True, False, True, False, True]
+
+
+def test_clean_articles(spark):
+    from gradja.operators.cleaning import clean_articles
+
+    frame = "Pretplatite se na naše dnevne vesti odmah sada."
+    body = lambda a: [f"Ovo je {w} rečenica ovog članka {a}." for w in ("prva", "druga", "treća")]
+    rows = [(a, i, t) for a in "abc" for i, t in enumerate([f"„ Ovo je navod {a} bez kraja ovde.", *body(a), "View this post on the network now.", "nastavak bez početka koji ne vredi.", frame, f"Ovo je ostatak {a} iza okvira sajta."])]
+    got = [tuple(r) for r in clean_articles(spark.createDataFrame(rows + [("d", 0, None)], "a string, i int, t string"), "a", "i", "t").orderBy("a", "i").collect()]
+    assert got == [(a, i, t) for a in "abc" for i, t in enumerate([f"Ovo je navod {a} bez kraja ovde.", *body(a)])]
+
+
 def test_stemmer():
     assert stemming.stem_word("je") == "je"
     assert stemming.stem_word("kuće") == stemming.stem_word("kuća") == "kuć"
