@@ -39,18 +39,26 @@ def f1_table(df: DataFrame, gold: str, pred: str, by: Sequence[str]) -> DataFram
     return t.withColumn("macro", (F.col("f_subj") + F.col("f_obj")) / 2).withColumn("acc", div(F.col("tp") + F.col("tn"), F.col("n")))
 
 
-def kappa_pairs(df: DataFrame, item: str, rater: str, label: str) -> DataFrame:
-    """(a, b, n, po, kappa) of every two raters over the items both labelled; 1 if chance agreement is 1."""
-    x, y = df.select(item, F.col(rater).alias("a"), F.col(label).alias("la")), df.select(item, F.col(rater).alias("b"), F.col(label).alias("lb"))
-    c = x.join(y, item).filter("a < b").groupBy("a", "b", "la", "lb").agg(F.count("*").alias("o"))
-    pair = Window.partitionBy("a", "b")
-    c = c.withColumn("n", F.sum("o").over(pair)).withColumn("ra", F.sum("o").over(Window.partitionBy("a", "b", "la"))).withColumn("same", F.when(F.col("la") == F.col("lb"), F.col("o")).otherwise(0))
-    po = c.groupBy("a", "b").agg(F.max("n").alias("n"), (F.sum("same") / F.max("n")).alias("po"))
-    left = c.groupBy("a", "b", F.col("la").alias("l")).agg(F.sum("o").alias("na"))
-    right = c.groupBy("a", "b", F.col("lb").alias("l")).agg(F.sum("o").alias("nb"))
-    pe = left.join(right, ["a", "b", "l"]).groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("e"))
-    t = po.join(pe, ["a", "b"], "left").withColumn("pe", F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n")))
-    return t.select("a", "b", "n", "po", F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+def kappa_pairs(df: DataFrame, item: str, rater: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, a, b, n, po, kappa) of every two raters over the items both labelled; 1 if chance agreement is 1."""
+    x, y = df.select(*by, item, F.col(rater).alias("a"), F.col(label).alias("la")), df.select(*by, item, F.col(rater).alias("b"), F.col(label).alias("lb"))
+    pair = [*by, "a", "b"]
+    c = x.join(y, [*by, item]).filter("a < b").groupBy(*pair, "la", "lb").agg(F.count("*").alias("o"))
+    po = c.groupBy(*pair).agg(F.sum("o").alias("n"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("o")).otherwise(0)).alias("same"))
+    left = c.groupBy(*pair, F.col("la").alias("l")).agg(F.sum("o").alias("na"))
+    right = c.groupBy(*pair, F.col("lb").alias("l")).agg(F.sum("o").alias("nb"))
+    pe = left.join(right, [*pair, "l"]).groupBy(*pair).agg(F.sum(F.col("na") * F.col("nb")).alias("e"))
+    t = po.join(pe, pair, "left").withColumn("po", F.col("same") / F.col("n")).withColumn("pe", F.coalesce("e", F.lit(0)) / (F.col("n") * F.col("n")))
+    return t.select(*pair, "n", "po", F.when(F.col("pe") == 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+
+
+def subset_kappa(df: DataFrame, item: str, rater: str, label: str, subset: str, least: int = 20) -> DataFrame:
+    """(subset, n, kappa): mean kappa of every two raters over each subset's items, of subsets with so many items that every rater labelled."""
+    raters = df.agg(F.count_distinct(rater).alias("_all"))  # one row
+    whole = df.groupBy(item).agg(F.count_distinct(rater).alias("_n")).crossJoin(F.broadcast(raters)).filter("_n = _all").select(item)
+    full = df.join(whole, item, "left_semi")
+    n = full.groupBy(subset).agg(F.count_distinct(item).alias("n")).filter(F.col("n") >= least)
+    return kappa_pairs(full, item, rater, label, [subset]).groupBy(subset).agg(F.avg("kappa").alias("kappa")).join(n, subset).select(subset, "n", "kappa")
 
 
 def fleiss(df: DataFrame, item: str, label: str, raters: int) -> DataFrame:

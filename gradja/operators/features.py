@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradja.functions.text import word_tokens
+from gradja.session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -23,11 +24,30 @@ class Config:
     min_df: int = 2
 
 
-#: The grid: each differs from w1-tfidf-lower in few ways.
+# The names of the configurations.
 CONFIGS = [
-    Config(f"w{'1' if n == 1 else f'1{n}'}-{'tfidf' if idf else 'tf'}-{'lower' if low else 'nolower'}{'-stem' if stem else ''}", n, idf, low, stem)
-    for n, idf, low, stem in [(1, True, True, False), (2, True, True, False), (3, True, True, False), (1, False, True, False), (2, False, True, False), (3, False, True, False), (1, True, False, False), (3, True, False, False), (1, True, True, True), (2, True, True, True), (3, True, True, True), (3, False, True, True)]
-]
+    Config("w1-tfidf-lower"),
+    Config("w12-tfidf-lower", n=2),
+    Config("w13-tfidf-lower", n=3),
+    Config("w1-tf-lower", idf=False),
+    Config("w12-tf-lower", n=2, idf=False),
+    Config("w13-tf-lower", n=3, idf=False),
+    Config("w1-tfidf-nolower", lower=False),
+    Config("w13-tfidf-nolower", n=3, lower=False),
+    Config("w1-tfidf-lower-stem", stem=True),
+    Config("w12-tfidf-lower-stem", n=2, stem=True),
+    Config("w13-tfidf-lower-stem", n=3, stem=True),
+    Config("w13-tf-lower-stem", n=3, idf=False, stem=True),
+]
+
+
+def config_counts(df: DataFrame, doc: str, text: str, config: Config, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc, keep..., term, tf) of a configuration: its n-grams, in lower case or not, of stems or not."""
+    if config.stem:
+        from gradja.functions.stemming import stemmed
+
+        df = stemmed(df.select(doc, text, *keep), text, text)
+    return term_counts(df, doc, text, config.n, config.lower, keep)
 
 
 def upper_median(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -109,11 +129,7 @@ def greedy_removal(pairs: DataFrame) -> DataFrame:
     them does. The pairs shrink each round and are cut loose by checkpoint(); the first open
     row is settled in every round, so the rounds end, with no pair left open.
     """
-    spark = pairs.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradja-"))
+    shared_folder(pairs.sparkSession)
     open_pairs = pairs.select("a", "b").checkpoint()
     dropped, rounds = None, 0
     while not open_pairs.isEmpty():

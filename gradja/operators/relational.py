@@ -117,16 +117,41 @@ def resolve_labels(layers: Sequence[tuple[int, DataFrame]], key: str, label: str
 
 
 def contains_either_way(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs of which one key contains the other, by their character trigrams: an inverted index, no cross join.
+    """Pairs of which one key contains the other: an inverted index, no cross join.
 
-    The shorter key's first trigram must occur in the longer one, so joining on it finds every pair;
-    keys under three characters pad themselves.
+    The head of the shorter key, its first three characters or all if it has fewer, stands
+    in the longer one, so joining heads on all pieces of one to three characters finds every
+    pair. Null and empty keys are in no pair.
     """
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3) if isinstance(i, int) else c.substr(i, F.lit(3)))
-    l, r = left.select(a).distinct(), right.select(b).distinct()
-    heads_l, heads_r = l.withColumn("g", F.substring(a, 1, 3)), r.withColumn("g", F.substring(b, 1, 3))
-    all_l = l.withColumn("g", F.explode(F.array_distinct(grams(F.col(a)))))
-    all_r = r.withColumn("g", F.explode(F.array_distinct(grams(F.col(b)))))
-    one = all_l.join(heads_r, "g").filter(F.col(a).contains(F.col(b)))
-    two = heads_l.join(all_r, "g").filter(F.col(b).contains(F.col(a)))
+
+    def pieces(df: DataFrame, c: str) -> DataFrame:
+        of = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.col(c).substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return df.withColumn("g", F.explode(F.array_distinct(F.concat(of(1), of(2), of(3)))))
+
+    heads = lambda df, c: df.withColumn("g", F.substring(c, 1, 3))
+    l, r = left.select(a).filter(F.length(a) > 0).distinct(), right.select(b).filter(F.length(b) > 0).distinct()
+    one = pieces(l, a).join(heads(r, b), "g").filter(F.col(a).contains(F.col(b)))
+    two = heads(l, a).join(pieces(r, b), "g").filter(F.col(b).contains(F.col(a)))
     return one.select(a, b).union(two.select(a, b)).distinct()
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
+    """The first n rows in a stated order, by partial top-n in each task; all of them if n is None."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
+def no_clashes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """df, failing while it runs if a key stands for two values: ids of different things must differ."""
+    w = df.groupBy(key).agg(F.min(value).alias("_least"), F.max(value).alias("_most"))
+    ok = F.col("_least") == F.col("_most")
+    checked = w.filter(F.when(ok, True).otherwise(F.assert_true(ok, F.concat(F.lit(f"{key} clashes: "), F.col(key).cast("string"))).isNull())).select(key)
+    return df.join(checked, key, "left_semi")
+
+
+def report(sections: dict[str, DataFrame]) -> DataFrame:
+    """(section, metric, value): tables of (metric, value) under their section, values as text."""
+    out = None
+    for name, df in sections.items():
+        part = df.select(F.lit(name).alias("section"), F.col("metric").cast("string").alias("metric"), F.col("value").cast("string").alias("value"))
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -80,7 +80,7 @@ def batches(df: DataFrame, order: Sequence[str], size: int, within: Sequence[str
     if within:
         w = Window.partitionBy(*within).orderBy(*order)
         return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("long"))
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).persist()  # rows and offsets must come of the same ranges
     inner = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
     sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     offsets = sizes.withColumn("_o", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition

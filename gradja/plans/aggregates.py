@@ -121,13 +121,6 @@ def q_uncertain(spark, d):
     return g.filter("uncertain or notes > 0")
 
 
-@query("q_edge_params", f"{WITH} select source, genre, count(*) as n, count(*) filter (sent_idx in (1, n_clean)) as edge, count(*) filter (sent_idx in (1, n_clean)) * 2 >= count(*) as flagged from s group by all")
-def q_edge_params(spark, d):
-    edge = (F.col("sent_idx") == 1) | (F.col("sent_idx") == F.col("n_clean"))
-    g = sentences(spark, d, "source", "genre", "sent_idx", "n_clean").groupBy("source", "genre").agg(F.count("*").alias("n"), F.count_if(edge).alias("edge"))
-    return g.withColumn("flagged", F.col("edge") * 2 >= F.col("n"))
-
-
 _CELL = "c as (select source, genre, count(*) as n from s where genre is not null group by all)"
 
 

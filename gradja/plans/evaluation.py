@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradja.functions import stats as E
+from gradja.operators import results as RS
 from gradja.plans.base import ANNOTATIONS, PREDS, WITH, annotations, predictions, query, read, sentences
 
 _J = f"{WITH}, {PREDS}, j as (select s.sentence_id, genre, topic, source, coalesce(in_quote, '') = 'Y' as quoted, ends_with(rtrim(text), '?') as question, label as gold, model || '-' || lang || '-' || shots as config, model, pred from s join p using (sentence_id) where label in ('OBJ', 'SUBJ') and pred in ('OBJ', 'SUBJ'))"
@@ -73,18 +74,27 @@ def q_subsets(spark, d):
     return E.f1_table(u, "gold", "pred", ["subset", "config"]).filter("n >= 30").select("subset", "config", "n", F.round("macro", 9).alias("macro"))
 
 
-_AS = f"{WITH}, {ANNOTATIONS}, j as (select sentence_id, annotator, a.label, genre, topic, source, coalesce(in_quote, '') = 'Y' as quoted, ends_with(rtrim(text), '?') as question from a join s using (sentence_id)), u as (select sentence_id, annotator, label, {_SUB} from j)"
+_SUBS = "unnest(list_filter(['all', 'genre ' || genre, 'source ' || source, case when quoted then 'quoted' end, case when question then 'question' end, case when connector then 'connector' end], lambda x: x is not null)) as subset"
 
 
-@query("q_subset_agreement", f"{_AS} select x.subset, count(*) as n, round(avg((x.label = y.label)::int), 9) as agree from u x join u y on x.sentence_id = y.sentence_id and x.subset = y.subset and x.annotator < y.annotator group by x.subset having count(*) >= 20")
-def q_subset_agreement(spark, d):
-    s = sentences(spark, d, "genre", "topic", "source", "in_quote", "text")
-    s = s.select("sentence_id", "genre", "topic", "source", (F.coalesce("in_quote", F.lit("")) == "Y").alias("quoted"), F.endswith(F.rtrim("text"), F.lit("?")).alias("question"))
+@query(
+    "q_subset_kappa",
+    f"""{WITH}, {ANNOTATIONS}, w as (select sentence_id from a group by 1 having count(*) = (select count(distinct annotator) from a)),
+    j as (select sentence_id, annotator, a.label, genre, source, coalesce(in_quote, '') = 'Y' as quoted, ends_with(rtrim(text), '?') as question, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{N}}_])(naravno|dakle|uostalom|naime|zapravo|inače)($|[^\\p{{L}}\\p{{N}}_])') as connector from a join w using (sentence_id) join s using (sentence_id)),
+    u as (select sentence_id, annotator, label, {_SUBS} from j), x as (select q.subset, q.annotator as a, r.annotator as b, q.label as la, r.label as lb from u q join u r on q.sentence_id = r.sentence_id and q.subset = r.subset and q.annotator < r.annotator),
+    k as (select subset, a, b, avg((la = lb)::int) as po, avg((la = 'SUBJ')::int) * avg((lb = 'SUBJ')::int) + avg((la = 'OBJ')::int) * avg((lb = 'OBJ')::int) as pe from x group by all),
+    n as (select subset, count(distinct sentence_id) as n from u group by 1 having count(distinct sentence_id) >= 20)
+    select subset, any_value(n) as n, round(avg(case when pe = 1 then 1.0 else (po - pe) / (1 - pe) end), 9) as kappa from k join n using (subset) group by subset""",
+)
+def q_subset_kappa(spark, d):
+    from gradja.functions.text import has_connector
+
+    s = sentences(spark, d, "genre", "source", "in_quote", "text")
+    named = lambda c: F.concat(F.lit(c + " "), F.col(c))
+    parts = F.array(F.lit("all"), named("genre"), named("source"), F.when(F.col("in_quote") == "Y", "quoted"), F.when(F.endswith(F.rtrim("text"), F.lit("?")), "question"), F.when(has_connector("text"), "connector"))
+    s = s.select("sentence_id", F.explode(F.filter(parts, lambda x: x.isNotNull())).alias("subset"))
     a = annotations(spark, d).select("sentence_id", "annotator", "label").join(s, "sentence_id")
-    u = a.select("sentence_id", "annotator", "label", _subsets())
-    v = u.select("sentence_id", "subset", F.col("annotator").alias("b"), F.col("label").alias("lb"))
-    p = u.join(v, ["sentence_id", "subset"]).filter("annotator < b")
-    return p.groupBy("subset").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("lb")).cast("double")), 9).alias("agree")).filter("n >= 20")
+    return E.subset_kappa(a, "sentence_id", "annotator", "label", "subset").select("subset", "n", F.round("kappa", 9).alias("kappa"))
 
 
 _PAIR = "x as (select q.config as a, r.config as b, q.gold, q.pred = q.gold as ra, r.pred = r.gold as rb, q.pred = r.pred as same from j q join j r using (sentence_id) where q.config < r.config)"
@@ -141,28 +151,66 @@ def q_wilcoxon_w(spark, d):
     return E.wilcoxon_w(f.join(r, "fold").filter("config <> ref"), ["config"], F.round(F.col("acc") - F.col("ra"), 9)).select("config", "n", "w_plus")
 
 
-@query("q_leak_gap", f"{_J}, f as (select model, split_part(config, '-', 4) as shots, (abs(('0x' || substr(md5(sentence_id), 1, 6))::bigint) % 10)::int as fold, avg((pred = gold)::int) as acc from j group by all), g as (select model, fold, max(acc) filter (shots = 'few') - max(acc) filter (shots = 'zero') as gap from f group by all) select model, round(avg(gap), 9) as mean, round(min(gap), 9) as least, round(max(gap), 9) as most, round(stddev_pop(gap), 9) as sd from g group by model")
+#: Results as of cross-validation, from the systems' predictions: folds by sentence (plain) and by article (grouped), the shots as the parameter.
+_RESULTS = f"""{_J}, o as (select sentence_id, model || '-' || split_part(config, '-', 3) as config, split_part(config, '-', 4) as param, gold, pred, split_part(sentence_id, '-', 1) || '-' || split_part(sentence_id, '-', 2) as art from j),
+k as (select *, 'plain' as scheme, (('0x' || substr(md5(sentence_id), 1, 6))::bigint % 5)::int as fold from o union all select *, 'grouped', (('0x' || substr(md5(art), 1, 6))::bigint % 5)::int from o),
+cnt as (select config, scheme, fold, param, {_CNT} from k group by all), f as (select config, scheme, fold, param, ({_F} + {_G}) / 2 as macro, {_F} as f_subj, n from cnt),
+r as (select config, scheme, fold, max(macro) as macro_f1, arg_max(f_subj, (round(macro, 9), param)) as f1_subj, arg_max(param, (round(macro, 9), param)) as best_param, sum(n) as n_features from f group by all)"""
+
+
+def results(spark, d):
+    """A results table: each configuration's best parameter by scheme and fold."""
+    fold = lambda c: (F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("long") % 5).cast("int")
+    j = judged(spark, d).withColumn("parts", F.split("config", "-"))
+    j = j.select("gold", "pred", F.array_join(F.slice("parts", 1, 3), "-").alias("config"), F.element_at("parts", 4).alias("param"), F.explode(F.array(F.struct(F.lit("plain").alias("scheme"), fold("sentence_id").alias("fold")), F.struct(F.lit("grouped").alias("scheme"), fold(F.substring_index("sentence_id", "-", 2)).alias("fold")))).alias("x"))
+    t = E.f1_table(j.select("config", "param", "x.scheme", "x.fold", "gold", "pred"), "gold", "pred", ["config", "scheme", "fold", "param"])
+    best = F.struct(F.round("macro", 9), "param")
+    t = t.groupBy("config", "scheme", "fold").agg(F.max("macro").alias("macro_f1"), F.max_by("f_subj", best).alias("f1_subj"), F.max_by("param", best).alias("best_param"), F.sum("n").alias("n_features"))
+    return t.withColumn("model", F.lit("llm"))
+
+
+@query("q_leak_gap", f"{_RESULTS}, g as (select config, avg(macro_f1) filter (scheme = 'plain') - avg(macro_f1) filter (scheme = 'grouped') as gap from r group by config) select count(*) as n, round(avg(gap), 9) as mean, round(min(gap), 9) as least, round(max(gap), 9) as most from g where gap is not null")
 def q_leak_gap(spark, d):
-    f = _by_fold(spark, d).select(F.array_join(F.slice(F.split("config", "-"), 1, 2), "-").alias("model"), F.element_at(F.split("config", "-"), -1).alias("shots"), F.split("config", "-")[2].alias("lang"), "fold", "acc")
-    j = judged(spark, d)
-    fold = (F.conv(F.substring(F.md5("sentence_id"), 1, 6), 16, 10).cast("long") % 10).cast("int")
-    f = j.groupBy("model", "shots", fold.alias("fold")).agg(F.avg((F.col("pred") == F.col("gold")).cast("double")).alias("acc"))
-    g = f.groupBy("model", "fold").pivot("shots", ["few", "zero"]).agg(F.max("acc")).withColumn("gap", F.col("few") - F.col("zero"))
-    return g.groupBy("model").agg(F.round(F.avg("gap"), 9).alias("mean"), F.round(F.min("gap"), 9).alias("least"), F.round(F.max("gap"), 9).alias("most"), F.round(F.stddev_pop("gap"), 9).alias("sd"))
+    t = RS.leakage(results(spark, d))
+    return t.select("n", *(F.round(c, 9).alias(c) for c in ("mean", "least", "most")))
 
 
-@query("q_ablation", f"{_J}, c as (select config, {_CNT} from j group by config), m as (select config, n, ({_F} + {_G}) / 2 as macro, {_F} as f_subj from c) select config, n, round(macro, 9) as macro, round(f_subj, 9) as f_subj, round(macro - (select macro from m where config = (select min(config) from m)), 9) as delta from m")
+_REF = "(select min(config) from r)"
+
+
+@query(
+    "q_ablation",
+    f"""{_RESULTS}, t as (select config, avg(macro_f1) filter (scheme = 'plain') as plain, stddev_pop(macro_f1) filter (scheme = 'plain') as plain_sd, avg(macro_f1) filter (scheme = 'grouped') as grouped, stddev_pop(macro_f1) filter (scheme = 'grouped') as grouped_sd,
+    avg(f1_subj) filter (scheme = 'grouped') as f1_subj, avg(n_features) filter (scheme = 'grouped') as n_features from r group by config), e as (select q.config, round(q.macro_f1 - w.macro_f1, 9) as df from r q join r w using (fold) where q.scheme = 'grouped' and w.scheme = 'grouped' and w.config = {_REF} and q.config <> {_REF} and round(q.macro_f1 - w.macro_f1, 9) <> 0),
+    z as (select *, rank() over (partition by config order by abs(df)) + (count(*) over (partition by config, abs(df)) - 1) / 2.0 as rk from e), ww as (select config, count(*) as n, sum(case when df > 0 then rk else 0 end)::double as w_plus from z group by config)
+    select config, coalesce(n, 0) as n, coalesce(w_plus, 0) as w_plus, {', '.join(f'round({c}, 9) as {c}' for c in ('plain', 'plain_sd', 'grouped', 'grouped_sd', 'f1_subj', 'n_features'))}, round(plain - grouped, 9) as gap from t left join ww using (config)""",
+)
 def q_ablation(spark, d):
-    t = E.f1_table(judged(spark, d), "gold", "pred", ["config"])
-    ref = t.agg(F.min_by("macro", "config").alias("ref"))
-    return t.crossJoin(F.broadcast(ref)).select("config", "n", F.round("macro", 9).alias("macro"), F.round("f_subj", 9).alias("f_subj"), F.round(F.col("macro") - F.col("ref"), 9).alias("delta"))  # one row
+    r = results(spark, d).persist()
+    ref = r.agg(F.min("config")).first()[0]
+    t = RS.ablation(r, ref)
+    return t.select("config", "n", "w_plus", *(F.round(c, 9).alias(c) for c in ("plain", "plain_sd", "grouped", "grouped_sd", "f1_subj", "n_features", "gap")))
+
+
+@query(
+    "q_edge_params",
+    f"{_RESULTS}, n as (select config, best_param, count(*) as n from r where scheme = 'grouped' group by all), e as (select config, count(*) filter (best_param in ((select min(param) from o), (select max(param) from o))) * 2 >= count(*) as at_edge from r where scheme = 'grouped' group by config) select config, best_param, n, at_edge from n join e using (config)",
+)
+def q_edge_params(spark, d):
+    grid = sorted(r.shots for r in predictions(spark, d).select("shots").distinct().collect() if r.shots)  # as many as parameters
+    return RS.chosen_params(results(spark, d), grid or [""]).select("config", "best_param", "n", "at_edge")
+
+
+_REPLY_TOK = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))"
 
 
-@query("q_token_use", f"{WITH} select source, sum(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))) as tokens from s where text is not null group by source")
+@query("q_token_use", f"{WITH}, b as (select text, (row_number() over (order by sentence_id) - 1) // 15 as batch from s where text is not null), p as (select batch, count(*) as n, sum({_REPLY_TOK}) as tok from b group by batch) select count(*) as replies, sum(tok)::bigint as tokens_in, sum(2 * n)::bigint as tokens_out from p")
 def q_token_use(spark, d):
-    from gradja.functions.text import token_count
+    """Tokens of the replies to all batches, in and out; the stub's reply has two a sentence."""
+    from gradja.operators.inference import as_batches, ask
 
-    return sentences(spark, d, "source", "text").filter("text is not null").groupBy("source").agg(F.sum(token_count("text")).alias("tokens"))
+    replies = ask(as_batches(sentences(spark, d, "text").filter("text is not null"), "sentence_id", "text"))
+    return replies.agg(F.count("*").alias("replies"), F.sum("tok.in").alias("tokens_in"), F.sum("tok.out").alias("tokens_out"))
 
 
 @query("q_bootstrap")

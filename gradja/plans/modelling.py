@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gradja.operators import features as V
 from gradja.operators import models as M
+from gradja.operators import results as RS
 from gradja.plans.base import WITH, query, sentences
 
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -110,10 +111,20 @@ def q_contrast(spark, d):
     return g.filter("subj + obj >= 8 and subj >= 2 * obj")
 
 
-@query("q_feature_count", f"{_TF}, i2 as (select sentence_id, w, unnest(range(1, len(w))) as i from t where len(w) >= 2), b as (select sentence_id, w[i] || ' ' || w[i + 1] as term from i2), x as (select distinct sentence_id, term from b) select 'w1' as config, count(*) as n from v union all select 'w12', (select count(*) from v) + (select count(*) from (select term from x group by term having count(*) >= 2))")
+_LOW, _RAW = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')", "regexp_extract_all(text, '[\\p{L}\\p{N}_]+')"
+_GRAMS = {1: "w", 2: "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))", 3: "list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))"}
+_UNSTEMMED = [c for c in V.CONFIGS if not c.stem]
+_COUNT = " union all ".join(f"select '{c.name}' as config, count(*) as n from (select term from (select distinct sentence_id, unnest({_GRAMS[c.n]}) as term from (select sentence_id, {_LOW if c.lower else _RAW} as w from l)) group by term having count(*) >= {c.min_df})" for c in _UNSTEMMED)
+
+
+@query("q_feature_count", f"{WITH}, l as (select sentence_id, text from s where label in ('OBJ', 'SUBJ') and text is not null) {_COUNT}")
 def q_feature_count(spark, d):
-    one = V.vocabulary(_tf(spark, d)).agg(F.count("*").alias("n")).select(F.lit("w1").alias("config"), "n")
-    return one.union(V.vocabulary(_tf(spark, d, 2)).agg(F.count("*").alias("n")).select(F.lit("w12").alias("config"), "n"))
+    """Terms of every configuration without stems; those with stems are in the nested search."""
+    s, out = labelled(spark, d).select("sentence_id", "text").persist(), None
+    for c in _UNSTEMMED:
+        n = V.vocabulary(V.config_counts(s, "sentence_id", "text", c), c.min_df).agg(F.count("*").alias("n")).select(F.lit(c.name).alias("config"), "n")
+        out = n if out is None else out.union(n)
+    return out
 
 
 @query("q_tf_ones", f"{_TF} select round(avg((tf = 1)::int), 9) as ones, count(*) as cells from tf join v using (term)")
@@ -135,18 +146,34 @@ def q_nb_oof(spark, d):
     return M.nb_out_of_fold(tf, docs, "sentence_id", 10)
 
 
+ALPHAS = (0.01, 0.1, 0.5, 1.0, 2.0)
+
+
+def grid_results(spark, d, k=5):
+    """Results of naive Bayes over all configurations, on plain and on grouped folds."""
+    s = labelled(spark, d, "art").persist()
+    docs = M.stratified_folds(s, "sentence_id", "label", k).withColumn("scheme", F.lit("plain")).select(F.col("sentence_id").alias("doc"), "label", "scheme", "fold")
+    docs = docs.unionByName(M.group_folds(s, "art", "label", k).withColumn("scheme", F.lit("grouped")).select(F.col("sentence_id").alias("doc"), "label", "scheme", "fold")).persist()
+    tf = None
+    for c in V.CONFIGS:  # the grid is a constant
+        part = V.config_counts(s, "sentence_id", "text", c).select(F.lit(c.name).alias("config"), F.col("sentence_id").alias("doc"), "term", "tf")
+        tf = part if tf is None else tf.unionByName(part)
+    return RS.nested_nb(tf.persist(), docs, k, ALPHAS)
+
+
 @query("q_grid_search")
 def q_grid_search(spark, d):
-    """Macro F1 of each smoothing on grouped folds, best first: fold by parameter in one plan."""
-    from gradja.functions.stats import f1_table
+    """Nested search over all configurations: the smoothing chosen on inner folds, scores on outer folds."""
+    t = grid_results(spark, d)
+    return t.select("config", "model", "scheme", "fold", "best_param", "n_features", F.round("macro_f1", 6).alias("macro_f1"), F.round("f1_subj", 6).alias("f1_subj"))
 
-    docs = M.group_folds(labelled(spark, d, "art"), "art", "label", k=5).select("sentence_id", "label", "fold").persist()
-    tf = V.term_counts(labelled(spark, d), "sentence_id", "text").persist()
-    out = None
-    for a in (0.01, 0.1, 0.5, 1.0, 2.0):  # the grid is a constant
-        p = M.nb_out_of_fold(tf, docs, "sentence_id", 5, alpha=a).withColumn("alpha", F.lit(a))
-        out = p if out is None else out.union(p)
-    return f1_table(out, "label", "pred", ["alpha"]).select("alpha", "n", F.round("macro", 6).alias("macro"), F.round("acc", 6).alias("acc"))
+
+@query("q_grid_report")
+def q_grid_report(spark, d):
+    """The ablation table of the nested search: scores by scheme, leakage gap, features, signed ranks and p against the first configuration."""
+    r, ref = grid_results(spark, d).persist(), V.CONFIGS[0].name
+    t = RS.ablation(r, ref).join(RS.signed_rank_p(r, ref), ["config", "model"], "left")
+    return t.select("config", "model", "n", "w_plus", *(F.round(c, 6).alias(c) for c in ("plain", "plain_sd", "grouped", "grouped_sd", "gap", "f1_subj", "n_features", "p")))
 
 
 @query("q_logreg_oof")

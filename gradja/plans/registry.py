@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from gradja.plans import aggregates, evaluation, modelling, relational, scalars, sourcing  # noqa: F401
+from gradja.plans import aggregates, evaluation, fileforms, modelling, relational, scalars, sourcing  # noqa: F401
 from gradja.plans.base import QUERIES, SQL  # noqa: F401

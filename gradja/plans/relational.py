@@ -180,12 +180,12 @@ def q_neighbours(spark, d):
 
 @query(
     "q_contains_join",
-    f"with {INVENTORY}, t as (select distinct lower(split_part(title, ' ', 1)) as w from i where length(split_part(title, ' ', 1)) > 2), k as (select distinct category as k from i where length(category) > 2) select w, k from t join k on contains(w, k) or contains(k, w)",
+    f"with {INVENTORY}, t as (select distinct lower(split_part(title, ' ', 1)) as w from i where length(split_part(title, ' ', 1)) > 0), k as (select distinct category as k from i where length(category) > 0) select w, k from t join k on contains(w, k) or contains(k, w)",
 )
 def q_contains_join(spark, d):
     i = inventory(spark, d)
-    w = i.select(F.lower(F.split_part("title", F.lit(" "), F.lit(1))).alias("w")).filter("length(w) > 2")
-    return R.contains_either_way(w, i.select(F.col("category").alias("k")).filter("length(k) > 2"), "w", "k")
+    w = i.select(F.lower(F.split_part("title", F.lit(" "), F.lit(1))).alias("w"))
+    return R.contains_either_way(w, i.select(F.col("category").alias("k")), "w", "k")
 
 
 @query(
@@ -302,3 +302,35 @@ def q_label_precedence(spark, d):
     a = annotations(spark, d).select("sentence_id", "label", never.alias("o"))
     s = sentences(spark, d, "label", "at").filter("label in ('OBJ', 'SUBJ')").select("sentence_id", "label", F.col("at").cast("timestamp").alias("o"))
     return R.resolve_labels([(1, g), (2, a), (3, s)], "sentence_id", "label", "o")
+
+
+@query("q_first_rows", f"{WITH} select sentence_id, label from s where label is not null order by sentence_id limit 100")
+def q_first_rows(spark, d):
+    return R.first_rows(sentences(spark, d, "label").filter("label is not null"), ["sentence_id"], 100).select("sentence_id", "label")
+
+
+@query("q_no_clashes", f"with {INVENTORY} select distinct source || '/' || article_id as k, source from i where article_id is not null and source is not null")
+def q_no_clashes(spark, d):
+    i = inventory(spark, d).filter("article_id is not null and source is not null").select(F.concat_ws("/", "source", "article_id").alias("k"), "source").distinct()
+    return R.no_clashes(i, "k", "source")
+
+
+_SHARE = "case when count(*) = 0 then '-' else printf('%.1f%%', round(100.0 * count(*) filter (label = 'SUBJ') / count(*), 1)) || ' (' || count(*) || ')' end"
+
+
+@query(
+    "q_gold_report",
+    f"""{WITH}, g as (select * from s where label in ('OBJ', 'SUBJ')) select 'rows' as section, 'all' as metric, count(*)::varchar as value from s union all select 'rows', 'labelled', count(*)::varchar from g
+    union all select 'missing', source, count(*)::varchar from s where label is null group by source union all select 'subjective by genre', genre, {_SHARE} from g where genre is not null group by genre
+    union all select 'subjective by topic', topic, {_SHARE} from g where topic is not null group by topic union all select 'subjective in quotations', 'all', {_SHARE} from g where in_quote = 'Y'""",
+)
+def q_gold_report(spark, d):
+    s = sentences(spark, d, "source", "genre", "topic", "in_quote", "label").persist()
+    g = s.filter("label in ('OBJ', 'SUBJ')")
+    share = F.format_string("%.1f%% (%d)", F.round(F.lit(100.0) * F.count_if(F.col("label") == "SUBJ") / F.count("*"), 1), F.count("*")).alias("value")
+    by = lambda c: g.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("metric")).agg(share)
+    quoted = g.filter("in_quote = 'Y'").agg(F.count("*").alias("n"), F.count_if(F.col("label") == "SUBJ").alias("k"))
+    quoted = quoted.select(F.lit("all").alias("metric"), F.when(F.col("n") == 0, "-").otherwise(F.format_string("%.1f%% (%d)", F.round(F.lit(100.0) * F.try_divide("k", "n"), 1), F.col("n"))).alias("value"))
+    rows = s.agg(F.count("*").alias("value")).select(F.lit("all").alias("metric"), "value").union(g.agg(F.count("*").alias("value")).select(F.lit("labelled").alias("metric"), "value"))
+    missing = s.filter("label is null").groupBy(F.col("source").alias("metric")).agg(F.count("*").alias("value"))
+    return R.report({"rows": rows, "missing": missing, "subjective by genre": by("genre"), "subjective by topic": by("topic"), "subjective in quotations": quoted})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -17,7 +15,7 @@ def read_tsv(spark: SparkSession, path: str | list[str], schema: StructType | st
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Tab-separated without quoting; tabs and line breaks inside values become spaces, nulls empty."""
     cols = [F.coalesce(F.translate(F.col(c).cast("string"), "\t\n\r", "   "), F.lit("")).alias(c) for c in df.columns]
-    df.select(*cols).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").option("escape", "").option("emptyValue", "").csv(path)
+    df.select(*cols).write.mode(mode).option("sep", "\t").option("header", True).option("quote", "").option("escape", "").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -68,8 +66,14 @@ def write_articles(df: DataFrame, key: str, text: str, path: str) -> None:
 
 def write_sentences(df: DataFrame, key: str, sentences: str, path: str) -> None:
     """An index of articles and the table of their sentences, as CSV with a header."""
-    df.select(key, F.size(sentences).alias("n")).write.option("header", True).csv(str(PurePosixPath(path) / "index"))
-    df.select(key, F.posexplode(sentences).alias("sent_idx", "text")).write.option("header", True).csv(str(PurePosixPath(path) / "sentences"))
+    forms = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.select(key, F.size(sentences).alias("n")).write.options(**forms).csv(f"{path}/index")
+    df.select(key, F.posexplode(sentences).alias("sent_idx", "text")).write.options(**forms).csv(f"{path}/sentences")
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """A report (section, metric, value) as text, a line each, in order."""
+    df.orderBy("section", "metric").select(F.concat_ws("\t", "section", "metric", "value")).coalesce(1).write.text(path)  # a report is some hundred lines
 
 
 def read_worksheet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -78,7 +82,7 @@ def read_worksheet(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def read_sitemap(spark: SparkSession, path: str) -> DataFrame:
-    """(loc, lastmod) of sitemaps, plain or gzipped."""
+    """(loc, lastmod, keywords, title) of sitemaps, plain or gzipped."""
     return sitemap_entries(spark.read.text(path, wholetext=True), F.col("value"))
 
 
@@ -86,4 +90,12 @@ def sitemap_entries(df: DataFrame, xml: Column) -> DataFrame:
     """(loc, lastmod, keywords, title) of each url element; what it lacks is null. Namespaces don't matter."""
     blocks = df.select(F.explode(F.regexp_extract_all(xml, F.lit(r"(?s)<url>(.*?)</url>"), 1)).alias("u"))
     one = lambda tag: F.nullif(F.trim(F.regexp_extract("u", rf"(?s)<(?:\w+:)?{tag}>\s*(?:<!\[CDATA\[)?(.*?)(?:\]\]>)?\s*</(?:\w+:)?{tag}>", 1)), F.lit(""))
-    return blocks.select(one("loc").alias("loc"), F.substring(F.coalesce(one("lastmod"), one("publication_date")), 1, 10).alias("lastmod"), one("keywords").alias("keywords"), one("title").alias("title"))
+    for_all = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")]  # the last one last
+
+    def text(tag: str) -> Column:
+        out = one(tag)
+        for entity, c in for_all:
+            out = F.replace(out, F.lit(entity), F.lit(c))
+        return out
+
+    return blocks.select(text("loc").alias("loc"), F.substring(F.coalesce(one("lastmod"), one("publication_date")), 1, 10).alias("lastmod"), text("keywords").alias("keywords"), text("title").alias("title"))

@@ -52,18 +52,75 @@ def fetch_missing(urls: DataFrame, url: str, cache: DataFrame, get: Getter, **kw
     return cache.unionByName(fetch(urls.join(have, url, "left_anti"), url, get, **kw))
 
 
-def pages_until(get: Callable[[int], tuple[int, list[str]]], most: int = 15) -> list[str]:
-    """Ids of numbered pages until one fails, is empty, brings nothing new, or `most` are read."""
+def pages_until(get: Callable[[int], tuple], most: int = 15) -> list[str]:
+    """Ids of numbered pages until one fails, is empty, brings nothing new, is the last, or `most` are read.
+
+    get gives (status, ids) or (status, ids, number of pages in all), as a server tells it in a header.
+    """
     seen: dict[str, None] = {}
     for n in range(1, most + 1):
-        status, ids = get(n)
+        status, ids, *total = get(n)
         new = [i for i in ids if i not in seen] if status == 200 else []
         if not new:
             break
         seen.update(dict.fromkeys(new))
+        if total and total[0] is not None and n >= int(total[0]):
+            break
     return list(seen)
 
 
+def numbered_page(section: str, n: int) -> str:
+    """Address of the n-th listing page of a section, numbered in its path; the first is the section itself."""
+    return section if n <= 1 else f"{section}{n}/"
+
+
+def offset_page(section: str, n: int, start: int = 0, step: int = 10, name: str = "position") -> str:
+    """Address of the n-th listing page of a section that takes an offset as a parameter."""
+    return f"{section}{'&' if '?' in section else '?'}{name}={start + (n - 1) * step}"
+
+
+def crawl_section(get: Getter, page: Callable[[int], str], links: Callable[[str], list[str]], take: Callable[[str, str], dict | None], target: int, most: int = 60) -> list[dict]:
+    """Articles of a section from its listing pages until `target` are kept, a page is missing (404) or brings no new address, or `most` pages are read.
+
+    take gives the record of an article from its address and page, None if it is too short;
+    other failures of a page or article are passed over. Sorted by address. One section
+    is a walk from page to page; run the sections as rows of a table (:func:`crawl`).
+    """
+    kept, seen = {}, set()
+    for n in range(1, most + 1):
+        if len(kept) >= target:
+            break
+        status, body = get(page(n))
+        if status == 404:
+            break
+        if status != 200 or not body:
+            continue
+        new = [u for u in dict.fromkeys(links(body)) if u not in seen]
+        if not new:
+            break
+        for u in new:
+            if len(kept) >= target:
+                break
+            seen.add(u)
+            status, body = get(u)
+            record = take(u, body) if status == 200 and body else None
+            if record is not None:
+                kept[u] = record
+    return [kept[u] for u in sorted(kept)]
+
+
+def crawl(sections: DataFrame, section: str, target: str, get: Getter, page: Callable[[str, int], str], links: Callable[[str], list[str]], take: Callable[[str, str], dict | None], schema: str) -> DataFrame:
+    """The articles of every section of a table, each row with its own target; sections are spread over the tasks."""
+    placed = sections.select(F.col(section).alias("_s"), F.col(target).alias("_t")).filter("_s is not null").repartition("_s")
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for s, t in zip(pdf["_s"], pdf["_t"]):
+                yield pd.DataFrame([{"section": s, **r} for r in crawl_section(get, lambda n: page(s, n), links, take, int(t))], columns=["section", *(c.split()[0] for c in schema.split(", "))])
+
+    return placed.mapInPandas(run, f"section string, {schema}")
+
+
 _LD = re.compile(r'(?is)<script[^>]+type=["\']application/ld\+json["\'][^>]*>(.*?)</script>')
 _JUNK = {"script", "style", "nav", "aside", "footer", "header", "form", "noscript", "iframe", "figure"}
 

@@ -186,3 +186,82 @@ def test_group_folds_of_many_groups(spark):
     n = {(x.fold, x.label): x["count"] for x in f.groupBy("fold", "label").count().collect()}
     assert all(max(v) - min(v) <= 6 for v in ([n[i, y] for i in range(5)] for y in ("OBJ", "SUBJ")))
     assert models.group_folds(r.limit(0), "art", "label", 5).count() == 0
+
+
+def test_nested_search_against_brute_force(spark):
+    import math
+    import random
+
+    from gradja.operators import results
+
+    rng, k, alphas = random.Random(8), 3, (0.1, 1.0)
+    rows = [(f"d{i}", rng.choice(["OBJ", "SUBJ"]), rng.randrange(k)) for i in range(60)]
+    texts = {d: [rng.choice("abcdefgh" if y == "OBJ" else "efghijkl") for _ in range(5)] for d, y, _ in rows}
+    tf = [("c", d, t, w.count(t)) for d, w in texts.items() for t in set(w)]
+    got = results.nested_nb(spark.createDataFrame(tf, "config string, doc string, term string, tf long"), spark.createDataFrame([(d, y, "plain", f) for d, y, f in rows], "doc string, label string, scheme string, fold int"), k, alphas).collect()
+
+    def predict(unseen, fold, alpha):
+        train = [(y, texts[d]) for d, y, f in rows if f not in unseen]
+        vocab = {t for t in set("abcdefghijkl") if sum(t in w for _, w in train) >= 2}
+        total = {y: sum(w.count(t) for z, w in train if z == y for t in vocab) for y in ("OBJ", "SUBJ")}
+        lp = {(y, t): math.log((sum(w.count(t) for z, w in train if z == y) + alpha) / (total[y] + alpha * len(vocab))) for y in total for t in vocab}
+        prior = {y: math.log(sum(z == y for z, _ in train)) for y in total}
+        out = []
+        for d, y, f in rows:
+            if f == fold:
+                score = {z: prior[z] + sum(lp[z, t] for t in texts[d] if t in vocab) for z in total}
+                out.append((y, "SUBJ" if score["SUBJ"] >= score["OBJ"] else "OBJ"))
+        f1 = lambda z: 2 * sum(a == b == z for a, b in out) / max(1, sum(a == z for a, _ in out) + sum(b == z for _, b in out))
+        return (f1("OBJ") + f1("SUBJ")) / 2, len(vocab)
+
+    assert len(got) == k
+    for r in got:
+        inner = {a: sum(predict({r.fold, g}, g, a)[0] for g in range(k) if g != r.fold) / (k - 1) for a in alphas}
+        best = max(alphas, key=lambda a: (round(inner[a], 12), -a))
+        assert r.best_param == str(best)
+        assert (r.macro_f1, r.n_features) == (pytest.approx(predict({r.fold}, r.fold, best)[0]), predict({r.fold}, r.fold, best)[1])
+
+
+def test_reports_of_results(spark):
+    from gradja.operators import results
+
+    rows = [(c, "nb", s, f, m + (0.1 if s == "plain" else 0) + f / 100, 0.5, p, 10) for c, m, p in (("ref", 0.5, "0.1"), ("x", 0.6, "2.0")) for s in ("plain", "grouped") for f in range(5)]
+    r = spark.createDataFrame(rows, "config string, model string, scheme string, fold int, macro_f1 double, f1_subj double, best_param string, n_features long")
+    assert results.leakage(r).first().mean == pytest.approx(0.1)
+    t = {x.config: x for x in results.ablation(r, "ref").collect()}
+    assert t["x"].gap == pytest.approx(0.1) and (t["x"].n, t["x"].w_plus, t["ref"].n) == (5, 15.0, 0)
+    assert results.signed_rank_p(r, "ref").first().p == pytest.approx(2 / 32)
+    assert {x.config: (x.n, x.at_edge) for x in results.chosen_params(r, ["0.01", "0.1", "2.0"]).collect()} == {"ref": (5, False), "x": (5, True)}
+
+
+def test_poisson_table():
+    from gradja.operators.models import poisson_table
+
+    for mean in (0, 1, 7, 400):
+        low, *cdf = poisson_table(mean)
+        p = [b - a for a, b in zip([0.0] + cdf, cdf)]
+        assert cdf[-1] == pytest.approx(1) and sum(x * (low + i) for i, x in enumerate(p)) == pytest.approx(mean, abs=1e-6)
+
+
+def test_crawl(spark):
+    site = {"s/": (200, "a b"), "s/2/": (500, ""), "s/3/": (200, "b c d"), "s/4/": (404, ""), "a": (200, "kratko"), "b": (200, "dug tekst " * 9), "c": (500, ""), "d": (200, "još duži tekst " * 9)}
+    get = lambda u: site.get(u, (404, ""))
+    take = lambda u, body: {"url": u, "n": len(body)} if len(body) > 20 else None
+    assert [r["url"] for r in pages.crawl_section(get, lambda n: pages.numbered_page("s/", n), str.split, take, 5)] == ["b", "d"]
+    assert [r["url"] for r in pages.crawl_section(get, lambda n: pages.numbered_page("s/", n), str.split, take, 1)] == ["b"]
+    df = spark.createDataFrame([("s/", 5), ("leer/", 5), (None, 1)], "s string, t int")
+    got = pages.crawl(df, "s", "t", get, pages.numbered_page, str.split, take, "url string, n int")
+    assert sorted((r.section, r.url) for r in got.collect()) == [("s/", "b"), ("s/", "d")]
+    assert pages.offset_page("x?a=1", 3) == "x?a=1&position=20" and pages.offset_page("x", 1) == "x?position=0"
+    assert pages.pages_until(lambda n: (200, [str(n)], 2)) == ["1", "2"]
+
+
+def test_contains_short_keys_and_clashes(spark):
+    l = spark.createDataFrame([("a",), ("kultura",), ("",), (None,), ("ul",)], "a string")
+    r = spark.createDataFrame([("ultra",), ("kult",), ("u",), ("",)], "b string")
+    want = {(a, b) for a in ("a", "kultura", "ul") for b in ("ultra", "kult", "u") if a in b or b in a}
+    assert {tuple(x) for x in relational.contains_either_way(l, r, "a", "b").collect()} == want
+    ok = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k int, v string")
+    assert relational.no_clashes(ok, "k", "v").count() == 3
+    with pytest.raises(Exception, match="clashes"):
+        relational.no_clashes(ok.union(spark.createDataFrame([(2, "z")], "k int, v string")), "k", "v").collect()
