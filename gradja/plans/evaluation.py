@@ -122,10 +122,13 @@ def q_agree_rate(spark, d):
     return _system_pairs(spark, d).groupBy("a", "b").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pa") == F.col("pb")).cast("double")), 9).alias("rate"))
 
 
-@query("q_hard_core", f"{_J}, h as (select sentence_id, any_value(gold) as gold, any_value(genre) as genre, any_value(quoted) as quoted from j group by 1 having count(*) filter (pred = gold) = 0) select gold, genre, count(*) as n, round(avg(quoted::int), 9) as quoted from h group by all")
+@query("q_hard_core", f"{_J}, h as (select model, sentence_id, any_value(gold) as gold, any_value(genre) as genre, any_value(quoted) as quoted from j group by all having count(*) filter (pred = gold) = 0), a as (select model, avg(quoted::int) as quoted from (select distinct model, sentence_id, quoted from j) group by model) select h.model, gold, genre, count(*) as n, round(avg(h.quoted::int), 9) as quoted, round(any_value(a.quoted), 9) as quoted_in_all from h join a using (model) group by h.model, gold, genre")
 def q_hard_core(spark, d):
-    h = judged(spark, d).groupBy("sentence_id").agg(F.max("gold").alias("gold"), F.max("genre").alias("genre"), F.max("quoted").alias("quoted"), F.count_if(F.col("pred") == F.col("gold")).alias("_r")).filter("_r = 0")
-    return h.groupBy("gold", "genre").agg(F.count("*").alias("n"), F.round(F.avg(F.col("quoted").cast("double")), 9).alias("quoted"))
+    """Sentences that no configuration of a model gets right, by label and genre, with the share of quotations among them and among all it was asked."""
+    items = judged(spark, d).groupBy("model", "sentence_id").agg(F.max("gold").alias("gold"), F.max("genre").alias("genre"), F.max("quoted").alias("quoted"), F.count_if(F.col("pred") == F.col("gold")).alias("_r"))
+    share = F.avg(F.col("quoted").cast("double"))
+    every = items.groupBy("model").agg(F.round(share, 9).alias("quoted_in_all"))
+    return items.filter("_r = 0").groupBy("model", "gold", "genre").agg(F.count("*").alias("n"), F.round(share, 9).alias("quoted")).join(every, "model")
 
 
 @query("q_errors", f"{_J} select config, gold, sentence_id from j where pred <> gold qualify row_number() over (partition by config, gold order by sentence_id) <= 8")
@@ -201,7 +204,7 @@ def q_edge_params(spark, d):
     return RS.chosen_params(results(spark, d), grid or [""]).select("config", "best_param", "n", "at_edge")
 
 
-_REPLY_TOK = "len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> ''))"
+_REPLY_TOK = "len(list_filter(regexp_split_to_array(text, '[\\s\\p{Z}\\x1c-\\x1f\\x85\\x0b]+'), lambda x: x <> ''))"
 
 
 @query("q_token_use", f"{WITH}, b as (select text, (row_number() over (order by sentence_id) - 1) // 15 as batch from s where text is not null), p as (select batch, count(*) as n, sum({_REPLY_TOK}) as tok from b group by batch) select count(*) as replies, sum(tok)::bigint as tokens_in, sum(2 * n)::bigint as tokens_out from p")
