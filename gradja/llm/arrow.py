@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradja.session import shared_folder, shared_path  # noqa: F401
+
 Batch = pa.RecordBatch
 
 
@@ -37,24 +39,11 @@ def article_key(sentence_id: str = "sentence_id"):
     return F.substring_index(F.col(sentence_id), "-", 2)
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Leave the cluster's checkpoint folder as it is set; set one only where none is, as in tests."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gradja-"))
-
-
 def written(df: DataFrame) -> DataFrame:
     """The rows as a table in the shared folder: lineage and plan end here, and a lost executor loses nothing."""
-    import uuid
-
-    spark = df.sparkSession
-    shared_folder(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame) -> DataFrame:
