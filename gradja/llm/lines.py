@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradja.llm.arrow import h64
-from gradja.llm.registers import signatures
+from gradja.llm.registers import packed_sets
 from gradja.llm.textform import clean_latin, consistent, to_latin
 
 #: Rows of one page that are sorted and summed together; sums of a longer page go on from block to block.
@@ -141,7 +141,7 @@ class Words:
 
 _COLUMNS = {
     "sid": pa.string(), "line": pa.int32(), "page": pa.int64(), "block": pa.int32(), "idx": pa.int32(), "src": pa.string(), "path": pa.int64(), "head": pa.int64(), "tail": pa.int64(),
-    "slug": pa.int64(), "kol": pa.int32(), "mass": pa.int32(), "term": pa.int32(), "lkey": pa.int64(), "cls": pa.int64(), "ws": pa.list_(pa.int32()), "sig": pa.binary(),
+    "slug": pa.int64(), "kol": pa.int32(), "mass": pa.int32(), "term": pa.int32(), "lkey": pa.int64(), "cls": pa.int64(), "words": pa.binary(),
 }
 _SQL = {"string": "string", "int32": "int", "int64": "long", "binary": "binary"}
 
@@ -195,15 +195,14 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
             ends.extend([len(flat)] * (len(rows) - first))
     names = _names(keys, words is not None)
     cols = dict(zip(_COLUMNS, zip(*rows) if rows else [()] * 15))
-    arrays = [pa.array(cols[c], _COLUMNS[c]) for c in names if c not in ("ws", "sig")]
+    arrays = [pa.array(cols[c], _COLUMNS[c]) for c in names if c != "words"]
     if words is not None:
-        ws = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        arrays += [ws, signatures(ws)]
+        arrays.append(packed_sets(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))))
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
 def _names(keys: bool, words: bool) -> list[str]:
-    return [c for c in _COLUMNS if (keys or c != "lkey") and (words or c not in ("cls", "ws", "sig"))]
+    return [c for c in _COLUMNS if (keys or c != "lkey") and (words or c not in ("cls", "words"))]
 
 
 _EMPTY = h64("")
@@ -214,7 +213,7 @@ def cut_table(corpus: DataFrame, keys: bool = True, words: bool = False) -> Data
 
     Rows with a null sentence_id or a null text have no lines. keys: with the letter
     key of each line (problems 3 and 5). words: with the hash of the row's set of
-    words, the set itself and its signature, on the row's first line (problem 5).
+    words and the set itself, packed, on the row's first line (problem 5).
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +221,7 @@ def cut_table(corpus: DataFrame, keys: bool = True, words: bool = False) -> Data
         for b in it:
             yield cut_lines(b, keys, memory)
 
-    schema = [f"{c} {_SQL.get(str(_COLUMNS[c]), 'array<int>')}" for c in _names(keys, words)]
+    schema = [f"{c} {_SQL[str(_COLUMNS[c])]}" for c in _names(keys, words)]
     return corpus.select("sentence_id", "url", "genre", "source", "text").mapInArrow(run, ", ".join(schema))
 
 

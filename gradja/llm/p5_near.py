@@ -29,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradja.llm.arrow import read, written
 from gradja.llm.lines import Words, _TOKEN, cut_table
 from gradja.llm.p1_furniture import corpus_cut, page_furniture
 from gradja.llm.p3_repeated import bounded, repeated_lines
-from gradja.llm.registers import REGISTERS, estimate, rows_of
+from gradja.llm.registers import REGISTERS, WIDTH, estimate, rows_of, shared_words
 from gradja.llm.textform import plain
 
 SIMILAR = 0.7
@@ -65,7 +65,7 @@ def word_set(text: str | None) -> list[int] | None:
 
 
 def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, ws, n, sig, rows, rep), rep the first of its rows; rows in skipped (sid) are left out.
+    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, words, n, rows, rep), words packed and rep the first of its rows; rows in skipped (sid) are left out.
 
     cut: the lines of :func:`gradja.llm.lines.cut_table`, with words.
     """
@@ -73,8 +73,14 @@ def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]
     members = written(rows.groupBy("sid").agg(F.max("cls").alias("cls")).join(skipped.select("sid"), "sid", "left_anti"))
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: later joins find the classes in place
     held = members.groupBy("cls").agg(F.count("*").alias("rows"), F.min("sid").alias("rep"))
-    classes = rows.select("cls", "ws", "sig").repartition(n, "cls").groupBy("cls").agg(F.first("ws").alias("ws"), F.first("sig").alias("sig")).join(held, "cls")
-    return members, classes.select("cls", "ws", F.size("ws").alias("n"), "sig", "rows", "rep").persist()
+    classes = rows.select("cls", "words").repartition(n, "cls").groupBy("cls").agg(F.first("words").alias("words")).join(held, "cls")
+    size = ((F.length("words") - WIDTH) / 4).cast("int")
+    return members, classes.select("cls", "words", size.alias("n"), "rows", "rep").persist()
+
+
+def _head(words: str = "words") -> Column:
+    """Registers and sketch of a packed set."""
+    return F.substring(words, 1, WIDTH)
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -99,7 +105,7 @@ def hot_buckets(classes: DataFrame, chunk: int = CHUNK, share: float = SHARE) ->
             key, count = key[count >= often], count[count >= often]
             yield pa.RecordBatch.from_arrays([pa.array((key.astype(np.int64) << 4) | band), pa.array(count)], ["bucket", "n"])
 
-    met = classes.select("sig").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > large // 2)
+    met = classes.select(_head()).mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > large // 2)
     t = met.toArrow().sort_by("bucket")
     return t["bucket"].to_numpy(), np.maximum(2, -(-t["n"].to_numpy() // chunk))
 
@@ -167,7 +173,7 @@ def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
                     part.append(band * per + i), grp.append(0), blob.append(pack(rows[order[ends[i] : ends[i + 1]]]))
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(grp, pa.int64()), pa.array(blob, pa.binary())], ["part", "grp", "blob"])
 
-    return classes.select("cls", "n", "sig").mapInArrow(run, "part int, grp long, blob binary").repartitionById(per * BANDS, "part")
+    return classes.select("cls", "n", _head()).mapInArrow(run, "part int, grp long, blob binary").repartitionById(per * BANDS, "part")
 
 
 def _fits(na: np.ndarray | int, nb: np.ndarray | int, a: np.ndarray, b: np.ndarray, s: int) -> np.ndarray:
@@ -248,15 +254,18 @@ def similar_classes(classes: DataFrame, similar: float = SIMILAR, chunk: int = C
     def likely(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
         return pa.array(estimate(rows_of(sa)[:, :REGISTERS], rows_of(sb)[:, :REGISTERS], na.to_numpy(), nb.to_numpy()) >= lowest)
 
-    def side(x: str, *cols: str) -> DataFrame:
-        return classes.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    @F.arrow_udf("boolean")
+    def surely(wa: pa.Array, wb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        both = shared_words(wa, wb)  # in whole numbers: shared / union >= similar
+        return pa.array(both * 1000 >= (na.to_numpy() + nb.to_numpy() - both) * int(round(similar * 1000)))
+
+    def side(x: str, value: Column) -> DataFrame:
+        return classes.select(F.col("cls").alias(x), value.alias(f"v_{x}"), F.col("n").alias(f"n_{x}"))
+
+    def tested(pairs: DataFrame, value: Column, test) -> DataFrame:
+        return pairs.join(side("a", value), "a").join(side("b", value), "b").filter(test("v_a", "v_b", "n_a", "n_b")).select("a", "b")
 
-    met = candidates(classes, similar, chunk).join(side("a", "sig", "n"), "a").join(side("b", "sig", "n"), "b")
-    pairs = met.filter(likely("sig_a", "sig_b", "n_a", "n_b")).select("a", "b")
-    both = pairs.join(side("a", "ws"), "a").join(side("b", "ws"), "b")
-    shared = F.size(F.array_intersect("ws_a", "ws_b"))
-    # in whole numbers: shared / union >= similar
-    return both.withColumn("s", shared).filter(F.col("s") * 1000 >= (F.size("ws_a") + F.size("ws_b") - F.col("s")) * int(round(similar * 1000))).select("a", "b")
+    return tested(tested(candidates(classes, similar, chunk), _head(), likely), F.col("words"), surely)
 
 
 def near_pairs(members: DataFrame, classes: DataFrame, similar: float = SIMILAR) -> DataFrame:
