@@ -29,9 +29,12 @@ def read(spark: SparkSession, d: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet").select(*cols)
 
 
+_digest, _HALF = xxhash.xxh3_64_intdigest, 1 << 63
+
+
 def h64(text: str) -> int:
     """A signed 64-bit hash that is the same on every executor."""
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return _digest(text.encode("utf-8", "surrogatepass")) - _HALF
 
 
 def article_key(sentence_id: str = "sentence_id"):

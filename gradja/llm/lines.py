@@ -152,6 +152,8 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
     flat, ends = array("i"), array("i", [0])
     last_key = last_url = None
     page = own = 0
+    kinds: dict[str | None, int] = {}  # genres and sources of one batch
+    names: dict[str | None, str] = {}
     for sid, url, genre, source, text in zip(*(batch.column(i).to_pylist() for i in range(5))):
         if sid is None or text is None:
             continue
@@ -161,7 +163,11 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
         if url != last_url:
             own, last_url = h64(u) if (u := url_slug(url)) else 0, url
         idx = int(number) if number.isdecimal() and len(number) < 10 else 0
-        block, kol, src = idx // BLOCK, _kol(genre), (source or "").strip().lower() or key[:3]
+        if (kol := kinds.get(genre)) is None:
+            kol = kinds[genre] = _kol(genre)
+        if (src := names.get(source)) is None:
+            src = names[source] = (source or "").strip().lower()
+        block, src = idx // BLOCK, src or key[:3]
         tokens: list[str] = []
         first = len(rows)
         is_latin = clean_latin(text)
@@ -182,7 +188,7 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
                 found = _TOKEN.findall(s.lower())
                 letters = "".join(found)
                 if words is not None:
-                    tokens += found
+                    tokens = tokens + found if tokens else found
                 if digits:
                     letters = _DIGIT_RUN.sub("", letters)
                 lkey = h64(letters) if letters else 0
@@ -193,12 +199,12 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
                 flat += hashed
                 rows[first] = rows[first][:-1] + (xxhash.xxh3_64_intdigest(hashed.tobytes()) - (1 << 63),)
             ends.extend([len(flat)] * (len(rows) - first))
-    names = _names(keys, words is not None)
+    shown = _names(keys, words is not None)
     cols = dict(zip(_COLUMNS, zip(*rows) if rows else [()] * 15))
-    arrays = [pa.array(cols[c], _COLUMNS[c]) for c in names if c != "words"]
+    arrays = [pa.array(cols[c], _COLUMNS[c]) for c in shown if c != "words"]
     if words is not None:
         arrays.append(packed_sets(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))))
-    return pa.RecordBatch.from_arrays(arrays, names)
+    return pa.RecordBatch.from_arrays(arrays, shown)
 
 
 def _names(keys: bool, words: bool) -> list[str]:

@@ -80,12 +80,9 @@ def laid_out(lines: DataFrame) -> DataFrame:
 def judged_paths(placed: DataFrame) -> DataFrame:
     """(path, n, frame) of every path of LEAST lines or more on pages with text; frame = 1 if it frames the text."""
     prior = F.when((F.col("punct") > 0.95) & (F.col("length") >= LONG), 0.9).when(F.col("punct") > 0.95, 0.6).otherwise(0.35)
-    paths = (
-        placed.filter("all_text > 0")
-        .groupBy("path")
-        .agg(F.count("*").alias("n"), F.sum("inner").alias("inside"), F.avg("term").alias("punct"), F.avg("mass").alias("length"), F.avg(F.when(F.col("kol") >= 0, F.col("kol"))).alias("opinion"))
-        .filter(F.col("n") >= LEAST)
-    )
+    columns = F.col("kol") >= 0
+    sums = placed.filter("all_text > 0").groupBy("path").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("inner", "term", "mass")), F.count_if(columns).alias("told"), F.sum(F.when(columns, F.col("kol"))).alias("kol"))
+    paths = sums.filter(F.col("n") >= LEAST).select("path", "n", F.col("inner").alias("inside"), (F.col("term") / F.col("n")).alias("punct"), (F.col("mass") / F.col("n")).alias("length"), F.try_divide("kol", "told").alias("opinion"))
     ratio = (F.col("inside") + _PRIOR * prior) / (F.col("n") + _PRIOR)
     standing = (F.col("punct") > 0.95) & (F.col("opinion") > 0.97)
     frames = ratio < F.when(F.col("length") >= LONG, INNER / 2).otherwise(INNER)
