@@ -21,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradja.llm.arrow import h64
-from gradja.llm.registers import packed_sets
 from gradja.llm.textform import clean_latin, consistent, to_latin
 
 #: Rows of one page that are sorted and summed together; sums of a longer page go on from block to block.
@@ -149,7 +148,6 @@ _SQL = {"string": "string", "int32": "int", "int64": "long", "binary": "binary"}
 def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.RecordBatch:
     """The lines of a batch of (sentence_id, url, genre, source, text)."""
     rows: list[tuple] = []
-    flat, ends = array("i"), array("i", [0])
     last_key = last_url = None
     page = own = 0
     kinds: dict[str | None, int] = {}  # genres and sources of one batch
@@ -174,7 +172,7 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
         for i, line in enumerate((text if is_latin else consistent(text)).split("\n")):
             s = line.strip()
             if not s:
-                rows.append((sid, i, page, block, idx, src, _EMPTY, 0, 0, own, kol, 0, 0, 0, None))
+                rows.append((sid, i, page, block, idx, src, _EMPTY, 0, 0, own, kol, 0, 0, 0, None, None))
                 continue
             term, latin, digits = ends_sentence(s), s if is_latin else to_latin(s), _DIGIT.search(s) is not None
             head = tail = 0
@@ -192,19 +190,14 @@ def cut_lines(batch: pa.RecordBatch, keys: bool, words: Words | None) -> pa.Reco
                 if digits:
                     letters = _DIGIT_RUN.sub("", letters)
                 lkey = h64(letters) if letters else 0
-            rows.append((sid, i, page, block, idx, src, h64(skeleton(s, latin, digits)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, lkey, None))
+            rows.append((sid, i, page, block, idx, src, h64(skeleton(s, latin, digits)), head, tail, own, kol, len(s) // 6 if term or not _SPACED.search(s) else 0, term, lkey, None, None))
         if words is not None:
             if (ws := words.of(tokens, is_latin)) is not None:
-                hashed = array("i", ws)
-                flat += hashed
-                rows[first] = rows[first][:-1] + (xxhash.xxh3_64_intdigest(hashed.tobytes()) - (1 << 63),)
-            ends.extend([len(flat)] * (len(rows) - first))
+                packed = array("i", ws).tobytes()
+                rows[first] = rows[first][:-2] + (xxhash.xxh3_64_intdigest(packed) - (1 << 63), packed)
     shown = _names(keys, words is not None)
-    cols = dict(zip(_COLUMNS, zip(*rows) if rows else [()] * 15))
-    arrays = [pa.array(cols[c], _COLUMNS[c]) for c in shown if c != "words"]
-    if words is not None:
-        arrays.append(packed_sets(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))))
-    return pa.RecordBatch.from_arrays(arrays, shown)
+    cols = dict(zip(_COLUMNS, zip(*rows) if rows else [()] * len(_COLUMNS)))
+    return pa.RecordBatch.from_arrays([pa.array(cols[c], _COLUMNS[c]) for c in shown], shown)
 
 
 def _names(keys: bool, words: bool) -> list[str]:
@@ -219,7 +212,7 @@ def cut_table(corpus: DataFrame, keys: bool = True, words: bool = False) -> Data
 
     Rows with a null sentence_id or a null text have no lines. keys: with the letter
     key of each line (problems 3 and 5). words: with the hash of the row's set of
-    words and the set itself, packed, on the row's first line (problem 5).
+    words and the set itself (the bytes of its sorted hashes) on the row's first line (problem 5).
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

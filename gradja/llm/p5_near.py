@@ -29,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradja.llm.arrow import read, written
 from gradja.llm.lines import Words, _TOKEN, cut_table
 from gradja.llm.p1_furniture import corpus_cut, page_furniture
 from gradja.llm.p3_repeated import bounded, repeated_lines
-from gradja.llm.registers import REGISTERS, WIDTH, estimate, rows_of, shared_words
+from gradja.llm.registers import REGISTERS, as_column, estimate, rows_of, shared_words, signatures
 from gradja.llm.textform import plain
 
 SIMILAR = 0.7
@@ -65,7 +65,7 @@ def word_set(text: str | None) -> list[int] | None:
 
 
 def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, words, n, rows, rep), words packed and rep the first of its rows; rows in skipped (sid) are left out.
+    """(members, classes): (sid, cls) of the rows that may have pairs, and (cls, words, n, rows, rep), words as bytes and rep the first of its rows; rows in skipped (sid) are left out.
 
     cut: the lines of :func:`gradja.llm.lines.cut_table`, with words.
     """
@@ -74,13 +74,17 @@ def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: later joins find the classes in place
     held = members.groupBy("cls").agg(F.count("*").alias("rows"), F.min("sid").alias("rep"))
     classes = rows.select("cls", "words").repartition(n, "cls").groupBy("cls").agg(F.first("words").alias("words")).join(held, "cls")
-    size = ((F.length("words") - WIDTH) / 4).cast("int")
-    return members, classes.select("cls", "words", size.alias("n"), "rows", "rep").persist()
+    return members, classes.select("cls", "words", (F.length("words") / 4).cast("int").alias("n"), "rows", "rep").persist()
 
 
-def _head(words: str = "words") -> Column:
-    """Registers and sketch of a packed set."""
-    return F.substring(words, 1, WIDTH)
+def signed(classes: DataFrame) -> DataFrame:
+    """(cls, n, sig) of the classes, kept for the two passes over it."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), as_column(signatures(b.column(2)))], ["cls", "n", "sig"])
+
+    return classes.select("cls", "n", "words").mapInArrow(run, "cls long, n int, sig binary").persist()
 
 
 def _keys(sig: np.ndarray) -> np.ndarray:
@@ -88,15 +92,15 @@ def _keys(sig: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(sig[:, :REGISTERS]).view("<u4")
 
 
-def hot_buckets(classes: DataFrame, chunk: int = CHUNK, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
+def hot_buckets(sigs: DataFrame, chunk: int = CHUNK, share: float = SHARE) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, chunks) of the buckets to be cut, sorted; a bucket is its band and key.
 
     Tasks report the keys they meet often, at the least a bucket's CHUNK divided by twice
     their number, so no bucket of that size is missed and few small ones are told.
     """
-    n = classes.count()
+    n = sigs.count()
     large = max(chunk, int(share * n))
-    often = max(2, large // (2 * max(1, classes.rdd.getNumPartitions())))
+    often = max(2, large // (2 * max(1, sigs.rdd.getNumPartitions())))
 
     def tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [_keys(rows_of(b.column(0))) for b in it if b.num_rows]
@@ -105,7 +109,7 @@ def hot_buckets(classes: DataFrame, chunk: int = CHUNK, share: float = SHARE) ->
             key, count = key[count >= often], count[count >= often]
             yield pa.RecordBatch.from_arrays([pa.array((key.astype(np.int64) << 4) | band), pa.array(count)], ["bucket", "n"])
 
-    met = classes.select(_head()).mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > large // 2)
+    met = sigs.select("sig").mapInArrow(tally, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") > large // 2)
     t = met.toArrow().sort_by("bucket")
     return t["bucket"].to_numpy(), np.maximum(2, -(-t["n"].to_numpy() // chunk))
 
@@ -128,7 +132,8 @@ def unpack(blob: bytes) -> np.ndarray:
 
 def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
     """(part, grp, blob): the postings of all bands, packed by the partition in which they meet; grp is 0, or one pair of chunks of a hot bucket."""
-    hot, chunks = hot_buckets(classes, chunk)
+    sigs = signed(classes)
+    hot, chunks = hot_buckets(sigs, chunk)
     per = -(-parts // BANDS)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +178,7 @@ def postings(classes: DataFrame, parts: int, chunk: int = CHUNK) -> DataFrame:
                     part.append(band * per + i), grp.append(0), blob.append(pack(rows[order[ends[i] : ends[i + 1]]]))
         return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(grp, pa.int64()), pa.array(blob, pa.binary())], ["part", "grp", "blob"])
 
-    return classes.select("cls", "n", _head()).mapInArrow(run, "part int, grp long, blob binary").repartitionById(per * BANDS, "part")
+    return sigs.mapInArrow(run, "part int, grp long, blob binary").repartitionById(per * BANDS, "part")
 
 
 def _fits(na: np.ndarray | int, nb: np.ndarray | int, a: np.ndarray, b: np.ndarray, s: int) -> np.ndarray:
@@ -251,21 +256,16 @@ def similar_classes(classes: DataFrame, similar: float = SIMILAR, chunk: int = C
     lowest = similar - SPREAD * (similar * (1 - similar) / REGISTERS) ** 0.5
 
     @F.arrow_udf("boolean")
-    def likely(sa: pa.Array, sb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        return pa.array(estimate(rows_of(sa)[:, :REGISTERS], rows_of(sb)[:, :REGISTERS], na.to_numpy(), nb.to_numpy()) >= lowest)
-
-    @F.arrow_udf("boolean")
-    def surely(wa: pa.Array, wb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
-        both = shared_words(wa, wb)  # in whole numbers: shared / union >= similar
-        return pa.array(both * 1000 >= (na.to_numpy() + nb.to_numpy() - both) * int(round(similar * 1000)))
-
-    def side(x: str, value: Column) -> DataFrame:
-        return classes.select(F.col("cls").alias(x), value.alias(f"v_{x}"), F.col("n").alias(f"n_{x}"))
-
-    def tested(pairs: DataFrame, value: Column, test) -> DataFrame:
-        return pairs.join(side("a", value), "a").join(side("b", value), "b").filter(test("v_a", "v_b", "n_a", "n_b")).select("a", "b")
-
-    return tested(tested(candidates(classes, similar, chunk), _head(), likely), F.col("words"), surely)
+    def verified(wa: pa.Array, wb: pa.Array, na: pa.Array, nb: pa.Array) -> pa.Array:
+        size = na.to_numpy() + nb.to_numpy()
+        ok = estimate(signatures(wa)[:, :REGISTERS], signatures(wb)[:, :REGISTERS], na.to_numpy(), nb.to_numpy()) >= lowest
+        both = shared_words(wa.filter(pa.array(ok)), wb.filter(pa.array(ok)))  # only what the estimate lets through
+        ok[ok] = both * 1000 >= (size[ok] - both) * int(round(similar * 1000))  # in whole numbers: shared / union >= similar
+        return pa.array(ok)
+
+    side = lambda x: classes.select(F.col("cls").alias(x), F.col("words").alias(f"w_{x}"), F.col("n").alias(f"n_{x}"))
+    met = candidates(classes, similar, chunk).join(side("a"), "a").join(side("b"), "b")
+    return met.filter(verified("w_a", "w_b", "n_a", "n_b")).select("a", "b")
 
 
 def near_pairs(members: DataFrame, classes: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -7,38 +7,40 @@ import pyarrow as pa
 
 #: Registers of a set, and bits of a register after the leading zeros.
 REGISTERS, MANTISSA = 64, 4
-#: Bytes of a signature: the registers, then a parity sketch of 64 bits.
+#: Bytes of a signature: the registers, then the parity sketch of 64 bits.
 WIDTH = REGISTERS + 8
 
 _A, _B = (np.random.default_rng(5).integers(0, 1 << 63, (2, REGISTERS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
 
-def packed_sets(ws: pa.ListArray) -> pa.Array:
-    """Each set of words as one value: its registers, its sketch (the parity of its words in each of 64 places), its words; null for the empty set."""
-    ends = ws.offsets.to_numpy().astype(np.int64)
-    size = np.diff(ends)
-    full = size > 0
-    starts = ends[:-1][full] - ends[0]
-    flat = ws.flatten().to_numpy(zero_copy_only=False).astype("<i4")
-    word = flat.astype(np.uint64)
-    head = np.empty((len(starts), WIDTH), dtype=np.uint8)
-    bounds = np.concatenate([[0], np.cumsum(full * WIDTH + size * 4)])
-    out = np.empty(bounds[-1], dtype=np.uint8)
-    if len(starts):
+def words_of(sets: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words, starts) of a column of sets, each the bytes of its sorted 32-bit words, none null or empty."""
+    ends = np.frombuffer(sets.buffers()[1], np.int32)[sets.offset : sets.offset + len(sets) + 1].astype(np.int64)
+    return np.frombuffer(sets.buffers()[2], "<i4", (ends[-1] - ends[0]) // 4, ends[0]), (ends[:-1] - ends[0]) // 4
+
+
+def signatures(sets: pa.Array) -> np.ndarray:
+    """WIDTH bytes of each set: its registers, and its sketch, the parity of its words in each of 64 places."""
+    head = np.empty((len(sets), WIDTH), dtype=np.uint8)
+    if len(sets):
+        flat, starts = words_of(sets)
+        word = flat.astype(np.uint64)
         for k in range(REGISTERS):
             head[:, k] = register(np.minimum.reduceat(word * _A[k] + _B[k], starts))  # by its upper bits a strongly universal hash
         place = np.uint64(1) << ((word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
         head[:, REGISTERS:] = np.bitwise_xor.reduceat(place, starts)[:, None].view(np.uint8)
-        at = bounds[:-1][full]
-        out[at[:, None] + np.arange(WIDTH)] = head
-        out[np.repeat(at + WIDTH - starts * 4, size[full] * 4) + np.arange(len(flat) * 4)] = flat.view(np.uint8)
-    valid = pa.array(full, pa.bool_()).buffers()[1]
-    return pa.Array.from_buffers(pa.binary(), len(ws), [valid, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out)])
+    return head
+
+
+def as_column(head: np.ndarray) -> pa.Array:
+    """Signatures as a column of bytes."""
+    ends = (np.arange(len(head) + 1) * WIDTH).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(head), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(head))])
 
 
 def shared_words(a: pa.Array, b: pa.Array) -> np.ndarray:
-    """How many words two packed sets have in common, pair by pair."""
-    words = lambda x: np.frombuffer(x, dtype="<i4", offset=WIDTH)
+    """How many words two sets have in common, pair by pair."""
+    words = lambda x: np.frombuffer(x, dtype="<i4")
     return np.array([len(np.intersect1d(words(x), words(y), assume_unique=True)) for x, y in zip(a.to_pylist(), b.to_pylist())], dtype=np.int64)
 
 
@@ -77,7 +79,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
-    """A column of the heads of packed sets (registers and sketch), without nulls, a row each."""
+    """A column of signatures, without nulls, a row each."""
     if not len(column):
         return np.empty((0, WIDTH), np.uint8)
     first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]

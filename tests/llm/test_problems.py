@@ -389,8 +389,8 @@ def test_estimate_is_corrected_for_collisions():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 31, (2, 4000, 30))
     half = np.concatenate([a[:, :20], b[:, :10]], axis=1)  # 20 of 40 words shared
-    lists = lambda x: registers.packed_sets(pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 30), pa.int32()), pa.array(x.ravel().astype(np.int32))))
-    sig = lambda x: registers.rows_of(pa.array([v[: registers.WIDTH] for v in lists(x).to_pylist()], pa.binary()))[:, : registers.REGISTERS]
+    lists = lambda x: pa.array([row.astype("<i4").tobytes() for row in x], pa.binary())
+    sig = lambda x: registers.rows_of(registers.as_column(registers.signatures(lists(x))))[:, : registers.REGISTERS]
     assert abs(registers.shared_words(lists(np.sort(a)), lists(np.sort(half))).mean() - 20) < 0.1
     n = np.full(4000, 30)
     assert abs(registers.estimate(sig(a), sig(b), n, n).mean()) < 0.005 < (sig(a) == sig(b)).mean()
