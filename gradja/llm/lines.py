@@ -114,10 +114,9 @@ MIN_WORDS = 10
 
 
 class Words:
-    """Sorted 31-bit hashes of the distinct words of a row, with a memory of words met before."""
+    """Sorted 31-bit hashes of the distinct words of a row, with a memory of words met before that all tasks of a worker share."""
 
-    def __init__(self) -> None:
-        self.memo: dict[str, int] = {}
+    memo: dict[str, int] = {}
 
     def of(self, tokens: list[str], latin: bool = False) -> list[int] | None:
         """None if there are under MIN_WORDS words, or if they are mainly of other scripts than Latin and Cyrillic; latin: they are surely of the first."""
@@ -128,14 +127,16 @@ class Words:
             joined = "".join(words)
             if _OTHER_SCRIPT.search(joined) and len(_LATIN_CYRILLIC.findall(joined)) * 2 <= sum(map(str.isalpha, joined)):
                 return None
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        known = self.memo.get
-        return sorted({known(w) or self.hashed(w) for w in words})
-
-    def hashed(self, word: str) -> int:
-        h = self.memo[word] = h64(word) & 0x7FFFFFFF
-        return h
+        memo = self.memo
+        out = set(map(memo.get, words))
+        if None in out:
+            if len(memo) >= MEMO:
+                memo.clear()
+            for w in words:
+                if w not in memo:
+                    memo[w] = h64(w) & 0x7FFFFFFF
+            out = set(map(memo.__getitem__, words))
+        return sorted(out)
 
 
 _COLUMNS = {
