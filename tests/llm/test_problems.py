@@ -370,6 +370,29 @@ def test_furniture_of_a_small_site_in_a_large_table(spark, monkeypatch):
     assert found(lines) == alone
 
 
+def test_paths_joined_by_shuffle_frame_pages_without_text_too(spark, monkeypatch):
+    """A page with a headline of its own and no text loses its furniture, however many framing paths there are."""
+    inv = spark.createDataFrame([], "title string, url string")
+    bare = [(f"abc-{2000 + a}-{i:03}", f"https://www.x.example/svet/samo-naslov-broj-{a}-{2000 + a}", "vest", "abc", t) for a in range(30) for i, t in enumerate(("Vrh strane", f"Samo naslov broj {a}", "Podelite ovu vest"), 1)]
+    lines = line_table(cut_table(site(spark).unionByName(corpus(spark, bare)))).cache()
+    found = lambda: {(r.sid, r.line) for r in p1_furniture.furniture_lines(lines, inv).collect()}
+    few = found()
+    assert {(f"abc-{2000 + a}-{i:03}", 0) for a in range(30) for i in (1, 3)} == {x for x in few if x[0] >= "abc-2000"}
+    monkeypatch.setattr(p1_furniture, "BROADCAST", 0)
+    for share in (0.9, 0.1, 1e-9):  # none, some and all of them are hot
+        monkeypatch.setattr(p1_furniture, "SHARE", share)
+        assert found() == few
+
+
+def test_hot_paths_are_told_by_all_their_lines(spark):
+    """What a path holds on pages without text counts for how it is joined, and not for whether it frames."""
+    bare = [(f"abc-{2000 + a}-{i:03}", None, "vest", "abc", t) for a in range(30) for i, t in enumerate(("Vrh strane", "Podelite ovu vest"), 1)]
+    judged = lambda df: {r.path: r for r in p1_furniture.judged_paths(p1_furniture.laid_out(line_table(cut_table(df)))).collect()}
+    alone, more = judged(site(spark)), judged(site(spark).unionByName(corpus(spark, bare)))
+    assert {p: r.frame for p, r in alone.items()} == {p: r.frame for p, r in more.items()}
+    assert sorted(more[p].n - r.n for p, r in alone.items() if more[p].n > r.n) == [30, 30]
+
+
 def test_a_page_of_many_blocks_is_one_page(spark):
     """Lines at the edges of the blocks of one long page stand inside its text; its furniture is at its ends only."""
     inv = spark.createDataFrame([], "title string, url string")
