@@ -428,6 +428,31 @@ def test_long_quotations_brackets_and_remarks():
     assert len(p2_sentences.starts("Prva (nije zatvorena. Druga je tu. Treća (jeste) tu.")[0]) == 2
 
 
+def test_articles_whose_lines_only_sum_alike_count_apart(spark):
+    """Two articles without a line in common are two, even if their lines are as many and their keys have the same exclusive or."""
+    table = lambda rows: spark.createDataFrame([("abc", *r) for r in rows], "src string, page long, lkey long")
+    keys = {r.lkey: r.key for r in table([(0, k) for k in range(1, 70)]).select("lkey", F.xxhash64("src", "lkey").alias("key")).collect()}
+    basis, alike = [], 0  # an even number of keys whose exclusive or is 0: bit 64 is the parity of their number
+    for k, key in keys.items():
+        v, used = key & (1 << 64) - 1 | 1 << 64, 1 << k
+        for b, u in basis:
+            if v ^ b < v:
+                v, used = v ^ b, used ^ u
+        if not v:
+            alike = used
+            break
+        basis = sorted([*basis, (v, used)], reverse=True)
+    lines = [k for k in keys if alike >> k & 1]
+    half = len(lines) // 2
+    rows = [(1, k) for k in lines[:half]] + [(2, k) for k in lines[half:]] + [(p, k) for p in range(10, 14) for k in lines[: p - 9] + lines[half:]] + [(p, k) for p in range(20, 24) for k in lines[:half]]
+    count = {}
+    for page, k in rows:
+        count.setdefault(keys[k], set()).add(page)
+    want = {key: len(pages) for key, pages in count.items()}
+    assert lines and {r.key: r.n for r in p3_repeated.repeated_keys(table(rows + rows[:5]), 1).collect()} == want
+    assert {r.key: r.n for r in p3_repeated.repeated_keys(table(rows)).collect()} == {key: n for key, n in want.items() if n >= 5}
+
+
 def test_spread_counts_clusters_and_listed_dates(spark, tmp_path):
     d, n = str(tmp_path), 120
     rows = [(f"abc-{a}-{i}", None, "vest", "abc", f"{a}", t, "2026-01-01") for a in range(n) for i, t in ((1, "Podelite ovu vest"), (2, "Isti tekst" if a < 3 else "Tekst " + "".join("abcdefghij"[int(c)] for c in str(a))))]
