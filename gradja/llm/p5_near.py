@@ -70,7 +70,8 @@ def near_rows(cut: DataFrame, skipped: DataFrame) -> tuple[DataFrame, DataFrame]
     cut: the lines of :func:`gradja.llm.lines.cut_table`, with words.
     """
     rows = cut.filter("cls is not null")
-    members = written(rows.groupBy("sid").agg(F.max("cls").alias("cls")).join(skipped.select("sid"), "sid", "left_anti"))
+    delivered = rows.select("sid", "cls", F.lit(0).alias("out")).union(skipped.select("sid", F.lit(None).cast("long"), F.lit(1)))
+    members = written(delivered.groupBy("sid").agg(F.max("cls").alias("cls"), F.max("out").alias("out")).filter("out = 0").select("sid", "cls"))
     n = int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number: later joins find the classes in place
     held = members.groupBy("cls").agg(F.count("*").alias("rows"), F.min("sid").alias("rep"))
     classes = rows.select("cls", "words").repartition(n, "cls").groupBy("cls").agg(F.first("words").alias("words")).join(held, "cls")

@@ -308,6 +308,29 @@ def test_subjects_on_held_out_documents(spark):
     assert p10_subjects.subject_shares(df, p10_subjects.train(df, lab.limit(0), sub)).count() == 0
 
 
+def test_words_of_a_row_are_told_as_defined(monkeypatch):
+    """The short ways of the line pass give what the definition gives: tokens of clean Latin text, words whose hashes collide."""
+    from gradja.llm import lines
+    from gradja.llm.textform import clean_latin
+
+    clean = [c for c in map(chr, range(0x110000)) if clean_latin(c)]
+    assert len(clean) > 100 and all(lines._LATIN_TOKEN.findall(f"a{c.lower()}b") == lines._TOKEN.findall(f"a{c.lower()}b") for c in clean)
+    monkeypatch.setattr(lines, "h64", lambda w: len(w))
+    ten = [c * n for c in "ab" for n in range(1, 6)]
+    assert lines.Words().of(ten) == [1, 2, 3, 4, 5] and lines.Words().of(ten[:9] * 3) is None
+    monkeypatch.setattr(lines, "MEMO", 3)
+    words = lines.Words()
+    assert [words.of(ten), words.of(ten)] == [[1, 2, 3, 4, 5]] * 2
+
+
+def test_skipped_rows_are_no_members(spark):
+    text = " ".join(f"reč{i}" for i in range(12))
+    df = corpus(spark, [(s, None, None, "a", t) for s, t in (("a-1-1", text), ("a-1-1", text), ("a-1-2", text), ("a-1-3", "kratko"), ("a-1-4", None), ("a-1-5", text))])
+    skipped = spark.createDataFrame([("a-1-2",), ("a-1-2",), ("a-1-3",), ("a-9-9",)], "sid string")
+    members, classes = p5_near.near_rows_of(df, skipped)
+    assert sorted(r.sid for r in members.collect()) == ["a-1-1", "a-1-5"] and [(r.rows, r.rep, r.n) for r in classes.collect()] == [(2, "a-1-1", 12)]
+
+
 def test_sections_give_weak_labels():
     labelled = [(p10_subjects.section_features(f"https://x.example/{w}-utakmica-liga-{i}", None, "s", None), [a]) for i, (w, a) in enumerate([("golman", "sport"), ("trener", "sport"), ("golman", "sport")] * 5)]
     labelled += [(p10_subjects.section_features(f"https://x.example/sudija-presuda-{i}", None, "s", None), ["pravo"]) for i in range(12)]
