@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gradja.operators import features as V
 from gradja.operators import models as M
 from gradja.operators import results as RS
+from gradja.operators.near import near_pairs
 from gradja.plans.base import WITH, query, sentences
 
 _W = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -63,8 +64,7 @@ select x.sentence_id as a, y.sentence_id as b from k x join k y on x.term = y.te
 
 
 def _pairs(spark, d):
-    g = V.char_grams(labelled(spark, d), "sentence_id", "text")
-    return V.similar_pairs(V.weights(g, "sentence_id"), "sentence_id").select("a", "b")
+    return near_pairs(labelled(spark, d), "sentence_id", "text").select("a", "b")
 
 
 @query("q_near_pairs", _COS)

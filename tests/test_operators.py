@@ -265,3 +265,67 @@ def test_contains_short_keys_and_clashes(spark):
     assert relational.no_clashes(ok, "k", "v").count() == 3
     with pytest.raises(Exception, match="clashes"):
         relational.no_clashes(ok.union(spark.createDataFrame([(2, "z")], "k int, v string")), "k", "v").collect()
+
+
+def _alike_texts():
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcčćdeđžшљ", k=rng.randint(1, 9))) for _ in range(60)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 14))) for _ in range(60)]
+    return [(f"{i:03}", t) for i, t in enumerate([*texts, *(t.replace(words[0], words[1]) + "!" * (i % 2) for i, t in enumerate(texts)), *texts[:9], "a", "a", "", " \t", None, "A  b c", "𐐀𐐁 x", "𐐀𐐁  x"])]
+
+
+def test_near_pairs_are_those_of_the_index_join(spark, monkeypatch):
+    from gradja.operators import near
+
+    docs = spark.createDataFrame(_alike_texts(), "d string, t string")
+    w = features.weights(features.char_grams(docs, "d", "t"), "d").cache()
+    for least in (0.6, 0.9):
+        want = {(r.a, r.b): round(r.cos, 9) for r in features.similar_pairs(w, "d", least).collect()}
+        assert len(want) > 20
+        for most in (2_000_000, 3):  # grams whose counts are sent, and too many
+            monkeypatch.setattr(near, "MOST_GRAMS", most)
+            assert {(r.a, r.b): round(r.cos, 9) for r in near.near_pairs(docs, "d", "t", least).collect()} == want
+
+
+def test_near_pairs_lose_none_in_blocks(monkeypatch):
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gradja.operators import near
+
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdeghijklmn", k=rng.randint(1, 9))) for _ in range(400)]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 30))) for _ in range(150)]
+    texts += [" ".join(w for w in t.split() if rng.random() > 0.12) + " " + rng.choice(words) for t in texts for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:04}" for i in range(len(texts))]), pa.array(texts)], ["d", "t"])
+    counts = pa.Table.from_batches(near._document_counts(iter([pa.RecordBatch.from_arrays([batch.column(1)], ["t"])]))).group_by("term").aggregate([("df", "sum")])
+    df = counts["df_sum"].to_numpy()
+
+    class Sent:
+        value = near.Vocabulary(counts["term"].to_numpy().view(np.uint64)[df > 1], df[df > 1], len(texts))
+
+    row, rank, w = Sent.value.vectors(texts)
+    whole = np.zeros((len(texts), len(Sent.value.keys)))
+    whole[row, rank] = w
+    for least in (0.7, 0.9):
+        want = {(f"{x:04}", f"{y:04}") for x, y in zip(*np.nonzero(np.triu(whole @ whole.T >= least, 1)))}
+        assert len(want) > 20
+        for piece, block, size in ((400_000, 2048, 100_000), (500, 3, 7)):
+            monkeypatch.setattr(near, "PIECE", piece)
+            monkeypatch.setattr(near, "BLOCK", block)
+            heads = pa.Table.from_batches(near._heads(Sent, least)(iter([batch]))).sort_by("term")
+            met = {(r["a"], r["b"]) for b in near._meet(least)(iter(heads.combine_chunks().to_batches(max_chunksize=size))) for r in b.to_pylist()}
+            assert want <= met and len(met) < len(texts) ** 2 / 4
+
+
+def test_near_pairs_shuffle_no_row_a_gram(spark, tmp_path):
+    from gradja.plans.registry import QUERIES
+
+    rows = [(f"s-{d}-1", "OBJ", t) for d, t in _alike_texts()]
+    spark.createDataFrame(rows, "sentence_id string, label string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
+    plan = QUERIES["q_near_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
