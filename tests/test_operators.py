@@ -329,3 +329,14 @@ def test_near_pairs_shuffle_no_row_a_gram(spark, tmp_path):
     spark.createDataFrame(rows, "sentence_id string, label string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
     plan = QUERIES["q_near_pairs"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+def test_near_dedup_takes_the_sketched_pairs(spark, tmp_path, monkeypatch):
+    from gradja.plans.registry import QUERIES
+
+    rows = [(f"s-{d}-1", "OBJ", t) for d, t in _alike_texts()]
+    spark.createDataFrame(rows, "sentence_id string, label string, text string").write.parquet(f"{tmp_path}/corpus.parquet")
+    w = features.weights(features.char_grams(spark.createDataFrame(rows, "d string, l string, t string"), "d", "t"), "d")
+    want = sorted(map(tuple, features.greedy_removal(features.similar_pairs(w, "d").select("a", "b")).collect()))
+    monkeypatch.setattr(features, "similar_pairs", None)  # the join of every gram
+    assert sorted(map(tuple, QUERIES["q_near_dedup"](spark, str(tmp_path)).collect())) == want and want
